@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranking
+
 COMPONENTS = ("ned", "rhythm_ned", "pitch_ned", "lift_ned", "articulation_ned", "slur_ned")
 
 
@@ -29,9 +31,9 @@ def component_statistics(scored: DataFrame, metrics=COMPONENTS) -> DataFrame:
             F.array(*[F.struct(F.lit(m).alias("component"), F.nanvl(F.col(m), F.lit(None)).alias("x")) for m in metrics])
         ).alias("_m")
     ).select("_m.*")
-    return long.groupBy("component").agg(
-        F.avg("x").alias("mean"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max")
-    )
+    basic = long.groupBy("component").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    middle = ranking.median(long, ["component"], "x", F.floor(F.col("_v") * 4096))
+    return basic.join(middle, "component", "left").select("component", "mean", "median", "min", "max")
 
 
 def score_histogram(scored: DataFrame, score: Column, buckets: int = 10) -> DataFrame:

@@ -29,10 +29,20 @@ def encode(tokens: Column, dictionary: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once inside an expression: a lambda body would recompute an outer expression per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def token_distance(expected: Column, actual: Column) -> Column:
     """Levenshtein distance between two token arrays."""
-    dictionary = F.array_distinct(F.concat(expected, actual))
-    return F.levenshtein(encode(expected, dictionary), encode(actual, dictionary))
+    return let(
+        F.struct(expected.alias("e"), actual.alias("a")),
+        lambda p: let(
+            F.array_distinct(F.concat(p["e"], p["a"])),
+            lambda d: F.levenshtein(encode(p["e"], d), encode(p["a"], d)),
+        ),
+    )
 
 
 def normalised(distance: Column, expected_len: Column, actual_len: Column) -> Column:
