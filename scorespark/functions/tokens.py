@@ -139,7 +139,7 @@ def duration_ticks(rhythm: Column) -> Column:
 def diatonic_step(pitch: Column) -> Column:
     letter = F.regexp_extract(pitch, r"^([A-G])[#bN]*([0-9])$", 1)
     octave = F.regexp_extract(pitch, r"^([A-G])[#bN]*([0-9])$", 2)
-    return F.when(letter != "", octave.try_cast("int") * 7 + F.instr(F.lit(V.PITCH_LETTERS), letter) - 1)
+    return F.when(letter != "", (octave.try_cast("int") * 7 + F.instr(F.lit(V.PITCH_LETTERS), letter) - 1).cast("int"))
 
 
 def clef_anchor(rhythm: Column) -> Column:
