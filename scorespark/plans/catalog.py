@@ -1,6 +1,6 @@
 """Importing the query modules fills the registry."""
 
-from . import corpus_queries, scoring_queries, sequence_queries  # noqa: F401
+from . import corpus_queries, scoring_queries, sequence_queries, window_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -29,13 +29,13 @@ def sql_list(values) -> str:
 
 def faulty(spark, sf):
     t = B.evt(spark, sf)
-    return t.withColumn("articulation", F.when(F.col("value") > 95, F.lit("bogus")).otherwise(F.col("articulation"))).withColumn(
+    return t.withColumn("articulation", F.when(F.col("value") > 330, F.lit("bogus")).otherwise(F.col("articulation"))).withColumn(
         "position", F.when(F.col("value") < 0.05, F.lit(".")).otherwise(F.col("position"))
     )
 
 
 FAULTY = B.EVT + """,
-faulty AS (SELECT * REPLACE (CASE WHEN value > 95 THEN 'bogus' ELSE articulation END AS articulation,
+faulty AS (SELECT * REPLACE (CASE WHEN value > 330 THEN 'bogus' ELSE articulation END AS articulation,
                              CASE WHEN value < 0.05 THEN '.' ELSE position END AS position) FROM evt)"""
 _UNKNOWN = " || ".join(
     f"CASE WHEN {f} NOT IN {sql_list(t)} THEN '{f},' ELSE '' END" for f, t in V.branch_tokens().items()

@@ -29,14 +29,13 @@ def cell(value):
     if isinstance(value, float):
         if value != value:
             return "nan"
-        text = f"{value:.6g}"
-        return "0" if text == "-0" else text
+        return repr(value + 0.0)
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(cell(v) for v in value) + "]"
     if isinstance(value, dict):
         return "{" + ",".join(cell(v) for v in value.values()) + "}"
     try:
-        return f"{float(value):.6g}" if not isinstance(value, str) else value
+        return repr(float(value)) if not isinstance(value, str) else value
     except (TypeError, ValueError):
         return str(value)
 
