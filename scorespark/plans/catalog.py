@@ -1,6 +1,13 @@
 """Importing the query modules fills the registry."""
 
-from . import corpus_queries, scoring_queries, sequence_queries, window_queries  # noqa: F401
+from . import (  # noqa: F401
+    corpus_queries,
+    layout_queries,
+    mixing_queries,
+    scoring_queries,
+    sequence_queries,
+    window_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -464,7 +464,7 @@ def class_predicates(spark, sf):
     )
 
 
-@query("sf26_probability_decay", "SELECT event_id, greatest(0.1, 0.9 - (0.9 - 0.1) * event_id / 5000) AS p FROM events")
+@query("sf26_probability_decay", "SELECT event_id, greatest(0.1e0, 0.9e0 - (0.9e0 - 0.1e0) * event_id / 5000) AS p FROM events")
 def probability_decay(spark, sf):
     p = F.greatest(F.lit(0.1), F.lit(0.9) - F.lit(0.9 - 0.1) * F.col("event_id") / F.lit(5000))
     return B.table(spark, sf, "events").select("event_id", p.alias("p"))

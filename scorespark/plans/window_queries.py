@@ -323,23 +323,23 @@ def part_classification(spark, sf):
     return p.select("seq_id", "user_id", "two", name.alias("part_name"), F.when(F.col("two"), F.lit(1)).otherwise(F.lit(54)).alias("program"))
 
 
-@query("wn21_running_average", f"""WITH {B.EVT} SELECT seq_id, pos, round(avg(value) OVER (PARTITION BY seq_id ORDER BY pos), 6) AS mean_so_far FROM evt""")
+@query("wn21_running_average", f"""WITH {B.EVT} SELECT seq_id, pos, avg(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY seq_id ORDER BY pos) / 100 AS mean_so_far FROM evt""")
 def running_average(spark, sf):
-    return B.evt(spark, sf).select("seq_id", "pos", F.round(F.avg("value").over(N.inclusive("seq_id")), 6).alias("mean_so_far"))
+    return B.evt(spark, sf).select("seq_id", "pos", (F.avg(F.round(F.col("value") * 100).cast("bigint")).over(N.inclusive("seq_id")) / 100).alias("mean_so_far"))
 
 
 @query("ag20_overlap_average", f"""WITH {B.EVT}, c AS (SELECT seq_id, pos + o AS cell, value FROM evt, (VALUES (0), (1), (2)) v(o)),
-    s AS (SELECT seq_id, cell, sum(value) AS total, count(*) AS n FROM c GROUP BY 1, 2),
+    s AS (SELECT seq_id, cell, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM c GROUP BY 1, 2),
     g AS (SELECT seq_id, max(pos) + 3 AS last FROM evt GROUP BY 1)
-    SELECT g.seq_id, CAST(i AS INTEGER) AS cell, coalesce(total, 0) / greatest(coalesce(n, 0), 1) AS mean FROM g, LATERAL (SELECT unnest(range(0, last + 1)) AS i) r
+    SELECT g.seq_id, CAST(i AS INTEGER) AS cell, coalesce(total, 0) / greatest(coalesce(n, 0), 1) / 100 AS mean FROM g, LATERAL (SELECT unnest(range(0, last + 1)) AS i) r
     LEFT JOIN s ON s.seq_id = g.seq_id AND s.cell = i""")
 def overlap_average(spark, sf):
     """Every value covers three cells; the mean per cell, 0 where nothing covers it."""
     e = B.evt(spark, sf)
-    cells = e.select("seq_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + 2)).alias("cell"), "value")
-    sums = cells.groupBy("seq_id", "cell").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    cells = e.select("seq_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + 2)).alias("cell"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    sums = cells.groupBy("seq_id", "cell").agg(F.sum("cents").alias("total"), F.count("*").alias("n"))
     grid = e.groupBy("seq_id").agg(F.max("pos").alias("last")).select("seq_id", F.explode(F.sequence(F.lit(0), F.col("last") + 3)).alias("cell"))
-    mean = F.coalesce("total", F.lit(0.0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
+    mean = F.coalesce("total", F.lit(0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)) / 100
     return grid.join(sums, ["seq_id", "cell"], "left").select("seq_id", "cell", mean.alias("mean"))
 
 
