@@ -132,7 +132,7 @@ def chain_fragments(fragments: DataFrame, keys, unit: str = "unit") -> DataFrame
 def colour_intervals(events: DataFrame, keys) -> DataFrame:
     """Voice of each event: by (start, end), the smallest number no running event of its key holds."""
     keys = list(keys)
-    schema = events.schema.add("voice", TY.IntegerType())
+    schema = TY.StructType([*events.schema.fields, TY.StructField("voice", TY.IntegerType())])
 
     def colour(pdf: pd.DataFrame) -> pd.DataFrame:
         running: list[tuple] = []

@@ -362,33 +362,38 @@ def _merged_end(new: Column, last: Column) -> Column:
     return F.when(pair, F.lit("repeatEndStart")).when(new.contains("repeat"), new).otherwise(last)
 
 
-def coalesce_bar_lines(tokens: DataFrame, keys=SEQ) -> DataFrame:
+def coalesce_bar_lines(tokens: DataFrame, keys=SEQ, carry=(), measures: DataFrame | None = None) -> DataFrame:
     """Merge adjacent bar lines and repeats, then close every measure with one.
 
     Start and end repeats combine, a repeat beats a bar line, two bar lines never merge. A run is folded in order; a
-    merged symbol stays in the measure where it began. Rows added at the end of a measure have no pos.
+    merged symbol stays in the measure where it began. Rows added at the end of a measure have no pos. `carry` names
+    further token columns to keep ('.' in added rows); `measures` lists measures that may hold no token at all.
     """
     w = ordered(*keys)
     end = T.is_measure_end(F.col("rhythm"))
     new_run = ~(end & F.coalesce(F.lag(end).over(w), F.lit(False)))
     runs = tokens.withColumn("_run", F.sum(new_run.cast("int")).over(w))
-    members = F.array_sort(F.collect_list(F.struct("pos", "measure", "rhythm")))
+    members = F.array_sort(F.collect_list(F.struct("pos", "measure", "rhythm", *carry)))
     folded = runs.groupBy(*keys, "_run").agg(members.alias("_m"))
     empty = F.slice(F.col("_m"), 1, 0)
 
     def step(out: Column, x: Column) -> Column:
         last = F.try_element_at(out, F.lit(-1))
         bars = x["rhythm"].contains("barline") & last["rhythm"].contains("barline")
-        joined = F.struct(last["pos"].alias("pos"), last["measure"].alias("measure"), _merged_end(x["rhythm"], last["rhythm"]).alias("rhythm"))
+        joined = F.struct(
+            last["pos"].alias("pos"), last["measure"].alias("measure"), _merged_end(x["rhythm"], last["rhythm"]).alias("rhythm"),
+            *[last[c].alias(c) for c in carry],
+        )
         return F.when((F.size(out) == 0) | bars, F.concat(out, F.array(x))).otherwise(
             F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))
         )
 
     kept = folded.select(*keys, F.explode(F.aggregate("_m", empty, step)).alias("_t")).select(*keys, "_t.*")
-    measures = tokens.groupBy(*keys, "measure").agg(F.count("*").alias("_n"))
+    every = (tokens if measures is None else measures).select(*keys, "measure").distinct()
     closing = kept.groupBy(*keys, "measure").agg(F.max_by(T.is_measure_end(F.col("rhythm")), "pos").alias("_closed"))
-    missing = measures.join(closing, [*keys, "measure"], "left").where("not coalesce(_closed, false)")
-    added = missing.select(*keys, F.lit(None).cast("int").alias("pos"), "measure", F.lit("barline").alias("rhythm"))
+    missing = every.join(closing, [*keys, "measure"], "left").where("not coalesce(_closed, false)")
+    nothing = F.lit(None).cast(tokens.schema["pos"].dataType).alias("pos")
+    added = missing.select(*keys, nothing, "measure", F.lit("barline").alias("rhythm"), *[F.lit(V.NOT_APPLICABLE).alias(c) for c in carry])
     return kept.unionByName(added)
 
 

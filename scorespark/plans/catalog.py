@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     corpus_queries,
+    ingest_queries,
     layout_queries,
     mixing_queries,
     scoring_queries,

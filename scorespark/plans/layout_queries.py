@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..operators import graphs as GR
 from ..operators import layout as L
 from ..operators import series as SE
+from ..session import ensure_checkpoint_dir
 from ..sources import layout_files
 from . import bindings as B
 from .registry import query
@@ -306,7 +307,9 @@ def anchors(spark, sf):
         *[F.col("b_" + c).alias(c) for c in ("cx", "cy", "w", "h", "angle")], F.lit(10.0).alias("unit"),
     )
     chains = GR.chain_fragments(lines, ["page", "probe"])
-    tagged = chains.join(lines, ["page", "probe", "box_id"])
+    # five plans read the chains; the checkpoint keeps the grouped Python step from running five times
+    ensure_checkpoint_dir(spark)
+    tagged = chains.join(lines, ["page", "probe", "box_id"]).checkpoint()
     heads = tagged.groupBy("page", "probe", "chain").agg(F.min_by(F.struct("cx", "cy", "w", "h", "angle"), F.struct("cx", "box_id")).alias("_f"), F.min("box_id").alias("line_id"))
     five = heads.groupBy("page", "probe").agg(F.count("*").alias("n")).where(F.col("n") == G.STAFF_LINES).select("page", "probe")
     kept = tagged.join(five, ["page", "probe"], "left_semi")
