@@ -18,11 +18,11 @@ def literal_map(values: dict, key: Column) -> Column:
 
 
 def has_position(rhythm: Column) -> Column:
-    return rhythm.rlike("^(note|rest|clef)")
+    return rhythm.startswith("note") | rhythm.startswith("rest") | rhythm.startswith("clef")
 
 
 def is_sounding(rhythm: Column) -> Column:
-    return rhythm.rlike("^(note|rest)")
+    return rhythm.startswith("note") | rhythm.startswith("rest")
 
 
 def is_measure_end(rhythm: Column) -> Column:

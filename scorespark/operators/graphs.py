@@ -41,111 +41,164 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+# ---- ordered selections in bounded groups --------------------------------------------------------------------------
+# The rows of a group travel as parallel arrays in one row, in the order the rule walks them; one Arrow batch holds
+# thousands of groups, and the answer (a flag or a number per element) is joined back by position in the JVM.
+
+
+def _packed(rows: DataFrame, keys, order) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    sorted_rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("_o"), F.struct(*rest).alias("_r")))).getField("_r")
+    return rows.groupBy(*keys).agg(sorted_rows.alias("_rows"))
+
+
+def _with_answer(packed: DataFrame, keys, udf, columns, name: str) -> DataFrame:
+    answer = udf(*[F.col("_rows").getField(c) for c in columns])
+    zipped = F.arrays_zip(F.col("_rows").alias("row"), answer.alias("answer"))
+    return packed.select(*keys, F.explode(zipped).alias("_z")).select(*keys, "_z.row.*", F.col("_z.answer").alias(name))
+
+
+def _spaced(distance: float):
+    def keep(positions) -> list[bool]:
+        chosen: list = []
+        flags = []
+        for p in positions:
+            flags.append(all(abs(p - c) >= distance for c in chosen))
+            if flags[-1]:
+                chosen.append(p)
+        return flags
+
+    return F.pandas_udf(lambda s: s.map(keep), TY.ArrayType(TY.BooleanType()))
+
+
 def spaced_peaks(peaks: DataFrame, key: str, distance: float) -> DataFrame:
     """Highest first, keep a peak when it is at least `distance` away from every kept one (the later one on ties)."""
+    packed = _packed(peaks, [key], [-F.col("h"), -F.col("pos")])
+    return _with_answer(packed, [key], _spaced(distance), ["pos"], "_keep").where("_keep").select(*peaks.columns)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
-        for row in pdf.sort_values(["h", "pos"], ascending=False).itertuples():
-            if all(abs(row.pos - p) >= distance for p in chosen):
-                chosen.append(row.pos)
-        return pdf[pdf["pos"].isin(chosen)]
 
-    return peaks.groupBy(key).applyInPandas(keep, peaks.schema)
+def _unused(first, second) -> list[bool]:
+    used: set = set()
+    flags = []
+    for a, b in zip(first, second):
+        flags.append(a not in used and b not in used)
+        if flags[-1]:
+            used.update((a, b))
+    return flags
 
 
 def exclusive_pairs(pairs: DataFrame, key: str) -> DataFrame:
     """Best score first, keep a pair when neither member was used. pairs: key, a, b, score."""
+    udf = F.pandas_udf(lambda a, b: pd.Series([_unused(x, y) for x, y in zip(a, b)]), TY.ArrayType(TY.BooleanType()))
+    packed = _packed(pairs, [key], [-F.col("score"), F.col("a"), F.col("b")])
+    return _with_answer(packed, [key], udf, ["a", "b"], "_keep").where("_keep").select(*pairs.columns)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        rows = []
-        for i, row in pdf.sort_values(["score", "a", "b"], ascending=[False, True, True]).iterrows():
-            if row["a"] not in used and row["b"] not in used:
-                used.update((row["a"], row["b"]))
-                rows.append(i)
-        return pdf.loc[sorted(rows)]
 
-    return pairs.groupBy(key).applyInPandas(keep, pairs.schema)
+def _undisputed(cx, cy, w, h, anchors) -> list[bool]:
+    kept: list[int] = []
+    for i in range(len(cx)):
+        hits = [o for o in kept if abs(cx[o] - cx[i]) <= (w[o] + w[i]) / 2 and abs(cy[o] - cy[i]) <= (h[o] + h[i]) / 2]
+        if not hits:
+            kept.append(i)
+        elif len(hits) == 1 and anchors[hits[0]] < anchors[i]:
+            kept.remove(hits[0])
+            kept.append(i)
+    chosen = set(kept)
+    return [i in chosen for i in range(len(cx))]
 
 
 def distinct_staffs(staffs: DataFrame, page: str) -> DataFrame:
     """In order of detection: a staff that overlaps one kept staff replaces it when it has more anchors; one that
     overlaps two or more is dropped. staffs: page, box_id, cx, cy, w, h, anchors (axis-aligned boxes)."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for s in pdf.sort_values("box_id").itertuples():
-            hits = [
-                o for o in kept
-                if abs(o.cx - s.cx) <= (o.w + s.w) / 2 and abs(o.cy - s.cy) <= (o.h + s.h) / 2
-            ]
-            if not hits:
-                kept.append(s)
-            elif len(hits) == 1 and hits[0].anchors < s.anchors:
-                kept = [o for o in kept if o.box_id != hits[0].box_id] + [s]
-        return pdf[pdf["box_id"].isin([o.box_id for o in kept])]
-
-    return staffs.groupBy(page).applyInPandas(keep, staffs.schema)
-
-
-def chain_fragments(fragments: DataFrame, keys, unit: str = "unit") -> DataFrame:
+    udf = F.pandas_udf(lambda *c: pd.Series([_undisputed(*row) for row in zip(*c)]), TY.ArrayType(TY.BooleanType()))
+    packed = _packed(staffs, [page], [F.col("box_id")])
+    return _with_answer(packed, [page], udf, ["cx", "cy", "w", "h", "anchors"], "_keep").where("_keep").select(*staffs.columns)
+
+
+def _chains(cx, cy, w, angle, unit) -> list[list[int]]:
+    """Chain numbers of each fragment (none for short ones); chains count from top to bottom."""
+    u = unit[0] if len(unit) else 1.0
+    slope = [math.tan(math.radians(a)) for a in angle]
+    chains: list[list[int]] = []
+    live: list[list[int]] = []
+    swept = 0.0
+    for i in range(len(cx)):
+        left = cx[i] - w[i] / 2
+        if left - swept > 5 * u:
+            live = [c for c in live if left - cx[c[-1]] - w[c[-1]] / 2 < 5 * u]
+            swept = left
+        if w[i] < u / 5:
+            continue
+        joined = False
+        for c in live:
+            lo, hi = (c[-1], i) if cx[c[-1]] <= cx[i] else (i, c[-1])
+            mid = (cx[lo] + cx[hi]) / 2
+            gap = max(mid - cx[lo] - w[lo] // 2, cx[hi] - mid - w[hi] // 2)
+            rise = (mid - cx[lo]) * slope[lo] + cy[lo] - ((mid - cx[hi]) * slope[hi] + cy[hi])
+            if gap <= 5 * u and abs(rise) <= u / 3:
+                c.append(i)
+                joined = True
+        if not joined:
+            chains.append([i])
+            live.append(chains[-1])
+    chains.sort(key=lambda c: (cy[c[0]], c[0]))
+    member: list[list[int]] = [[] for _ in range(len(cx))]
+    for number, chain in enumerate(chains):
+        for i in chain:
+            member[i].append(number)
+    return member
+
+
+def chain_fragments(fragments: DataFrame, keys) -> DataFrame:
     """Join line fragments from left to right into chains; a fragment joins every open chain it continues.
 
     Output: keys, chain, box_id. Fragments shorter than a fifth of a unit are skipped.
     """
     keys = list(keys)
-    schema = fragments.select(*keys).schema.add("chain", TY.IntegerType()).add(fragments.schema["box_id"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = float(pdf[unit].iloc[0])
-        rows = pdf.assign(left=pdf.cx - pdf.w / 2, right=pdf.cx + pdf.w / 2, slope=[math.tan(math.radians(a)) for a in pdf.angle])
-        chains: list[list] = []
-        live: list[list] = []
-        swept = 0.0
-        for f in rows.sort_values(["left", "box_id"]).itertuples():
-            if f.left - swept > 5 * u:
-                live = [c for c in live if f.left - c[-1].right < 5 * u]
-                swept = f.left
-            if f.w < u / 5:
-                continue
-            joined = False
-            for c in live:
-                lo, hi = (c[-1], f) if c[-1].cx <= f.cx else (f, c[-1])
-                mid = (lo.cx + hi.cx) / 2
-                gap = max(mid - lo.cx - lo.w // 2, hi.cx - mid - hi.w // 2)
-                rise = (mid - lo.cx) * lo.slope + lo.cy - ((mid - hi.cx) * hi.slope + hi.cy)
-                if gap <= 5 * u and abs(rise) <= u / 3:
-                    c.append(f)
-                    joined = True
-            if not joined:
-                chains.append([f])
-                live.append(chains[-1])
-        chains.sort(key=lambda c: (c[0].cy, c[0].box_id))
-        head = {k: pdf[k].iloc[0] for k in keys}
-        out = [{**head, "chain": i, "box_id": f.box_id} for i, c in enumerate(chains) for f in c]
-        return pd.DataFrame(out, columns=[*keys, "chain", "box_id"])
-
-    return fragments.groupBy(*keys).applyInPandas(chain, schema)
+    udf = F.pandas_udf(lambda *c: pd.Series([_chains(*row) for row in zip(*c)]), TY.ArrayType(TY.ArrayType(TY.IntegerType())))
+    needed = fragments.select(*keys, "box_id", "cx", "cy", "w", "angle", "unit")
+    packed = _packed(needed, keys, [F.col("cx") - F.col("w") / 2, F.col("box_id")])
+    return _with_answer(packed, keys, udf, ["cx", "cy", "w", "angle", "unit"], "chains").select(*keys, F.explode("chains").alias("chain"), "box_id")
 
 
-def colour_intervals(events: DataFrame, keys) -> DataFrame:
-    """Voice of each event: by (start, end), the smallest number no running event of its key holds."""
-    keys = list(keys)
-    schema = TY.StructType([*events.schema.fields, TY.StructField("voice", TY.IntegerType())])
+def _voices(start, stop) -> list[int]:
+    running: list[tuple] = []
+    out = []
+    for begin, end in zip(start, stop):
+        running = [(e, v) for e, v in running if e > begin]
+        taken = {v for _, v in running}
+        out.append(next(v for v in range(1, len(taken) + 2) if v not in taken))
+        running.append((end, out[-1]))
+    return out
 
-    def colour(pdf: pd.DataFrame) -> pd.DataFrame:
-        running: list[tuple] = []
-        voices = {}
-        for row in pdf.sort_values(["start", "stop", "ev_id"]).itertuples():
-            running = [(stop, v) for stop, v in running if stop > row.start]
-            taken = {v for _, v in running}
-            voice = next(v for v in range(1, len(taken) + 2) if v not in taken)
-            running.append((row.stop, voice))
-            voices[row.ev_id] = voice
-        return pdf.assign(voice=pdf["ev_id"].map(voices).astype("int32"))
 
-    return events.groupBy(*keys).applyInPandas(colour, schema)
+def colour_intervals(events: DataFrame, keys) -> DataFrame:
+    """Voice of each event: by (start, end), the smallest number no running event of its key holds."""
+    udf = F.pandas_udf(lambda a, b: pd.Series([_voices(x, y) for x, y in zip(a, b)]), TY.ArrayType(TY.IntegerType()))
+    packed = _packed(events, list(keys), [F.col("start"), F.col("stop"), F.col("ev_id")])
+    return _with_answer(packed, list(keys), udf, ["start", "stop"], "voice")
+
+
+def _repaired(points, unit: float) -> list[list[float] | None]:
+    previous, out = None, []
+    for point in points:
+        ys = [None if y is None or y != y else float(y) for y in point]
+        known = [y for y in ys if y is not None]
+        for i, (a, b) in enumerate(zip(known, known[1:])):
+            if b - a < 0.5 * unit:
+                ys[i] = ys[i + 1] = None
+        if previous is not None:
+            ys = [None if y is not None and abs(y - p) > 0.5 * unit else y for y, p in zip(ys, previous)]
+        source, n = -1, len(ys)
+        for i in [*range(n), *range(n - 1, -1, -1)]:
+            if ys[i] is not None:
+                source = i
+            elif source >= 0:
+                ys[i] = ys[source] + unit * (i - source)
+        whole = bool(known) and all(y is not None for y in ys)
+        previous = ys if whole else previous
+        out.append(ys if whole else None)
+    return out
 
 
 def fill_staff_lines(points: DataFrame, keys, unit: float) -> DataFrame:
@@ -154,31 +207,7 @@ def fill_staff_lines(points: DataFrame, keys, unit: float) -> DataFrame:
     points: keys, x, ys (array with NULL for a line not seen). Lines closer than half a unit to the next, or moved by
     more than half a unit since the last point, are dropped and refilled from the nearest known line.
     """
-    keys = list(keys)
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        previous, rows = None, []
-        for row in pdf.sort_values("x").itertuples():
-            ys = [None if y is None or y != y else float(y) for y in row.ys]
-            known = [y for y in ys if y is not None]
-            if not known:
-                continue
-            for i, (a, b) in enumerate(zip(known, known[1:])):
-                if b - a < 0.5 * unit:
-                    ys[i] = ys[i + 1] = None
-            if previous is not None:
-                ys = [None if y is not None and abs(y - p) > 0.5 * unit else y for y, p in zip(ys, previous)]
-            source = -1
-            n = len(ys)
-            for i in [*range(n), *range(n - 1, -1, -1)]:
-                if ys[i] is not None:
-                    source = i
-                elif source >= 0:
-                    ys[i] = ys[source] + unit * (i - source)
-            if any(y is None for y in ys):
-                continue
-            previous = ys
-            rows.append({**{k: getattr(row, k) for k in keys}, "x": row.x, "ys": ys})
-        return pd.DataFrame(rows, columns=[*keys, "x", "ys"])
-
-    return points.select(*keys, "x", "ys").groupBy(*keys).applyInPandas(fill, points.select(*keys, "x", "ys").schema)
+    udf = F.pandas_udf(lambda s: s.map(lambda p: _repaired(p, unit)), TY.ArrayType(TY.ArrayType(TY.DoubleType())))
+    packed = _packed(points.select(*keys, "x", "ys"), list(keys), [F.col("x")])
+    out = _with_answer(packed, list(keys), udf, ["ys"], "_filled").where("_filled is not null")
+    return out.select(*keys, "x", F.col("_filled").alias("ys"))

@@ -390,11 +390,12 @@ def coalesce_bar_lines(tokens: DataFrame, keys=SEQ, carry=(), measures: DataFram
 
     kept = folded.select(*keys, F.explode(F.aggregate("_m", empty, step)).alias("_t")).select(*keys, "_t.*")
     every = (tokens if measures is None else measures).select(*keys, "measure").distinct()
-    closing = kept.groupBy(*keys, "measure").agg(F.max_by(T.is_measure_end(F.col("rhythm")), "pos").alias("_closed"))
-    missing = every.join(closing, [*keys, "measure"], "left").where("not coalesce(_closed, false)")
     nothing = F.lit(None).cast(tokens.schema["pos"].dataType).alias("pos")
-    added = missing.select(*keys, nothing, "measure", F.lit("barline").alias("rhythm"), *[F.lit(V.NOT_APPLICABLE).alias(c) for c in carry])
-    return kept.unionByName(added)
+    # one marker per measure becomes its closing bar line unless the measure has one: a single pass over the tokens
+    markers = every.select(*keys, nothing, "measure", F.lit("barline").alias("rhythm"), *[F.lit(V.NOT_APPLICABLE).alias(c) for c in carry])
+    both = kept.withColumn("_marker", F.lit(False)).unionByName(markers.withColumn("_marker", F.lit(True)))
+    closed = F.max_by(T.is_measure_end(F.col("rhythm")), F.when(~F.col("_marker"), F.col("pos"))).over(W.partitionBy(*keys, "measure"))
+    return both.withColumn("_closed", F.coalesce(closed, F.lit(False))).where("not _marker or not _closed").drop("_marker", "_closed")
 
 
 def fill_mark(rows: DataFrame, mark: str, group) -> DataFrame:

@@ -47,8 +47,10 @@ def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((kind == "click") & (k % 7 == 0), F.lit("note_8G"))
         .otherwise(F.concat(F.lit("note_"), base))
     )
-    sounding = F.col("rhythm").startswith("note")
-    placed = F.col("rhythm").rlike("^(note|rest|clef)")
+    # stated on the raw columns: the long rhythm expression is not repeated in every field
+    resting = (kind == "click") & ((k % 11 == 0) | (k % 3 == 0))
+    sounding = kind.isin("view", "purchase") | ((kind == "click") & ~resting)
+    placed = sounding | resting | ((kind == "signup") & (k % 4 == 2))
 
     def note_field(values: list[str]) -> Column:
         return (

@@ -46,10 +46,10 @@ REASON = f"CASE WHEN {_UNKNOWN} <> '' THEN 'invalid symbol' WHEN NOT ({_VALID})
 
 
 @query("pf01_vocabulary_membership", f"""WITH {FAULTY}, u AS (SELECT seq_id, pos, {_UNKNOWN} AS unknown FROM faulty)
-    SELECT seq_id, pos, unknown FROM u WHERE unknown <> ''""")
+    SELECT seq_id, pos, rtrim(unknown, ',') AS unknown FROM u WHERE unknown <> ''""")
 def vocabulary_membership(spark, sf):
-    bad = faulty(spark, sf).withColumn("bad", P.unknown_fields()).where(F.size("bad") > 0)
-    return bad.select("seq_id", "pos", F.concat(F.array_join("bad", ","), F.lit(",")).alias("unknown"))
+    bad = faulty(spark, sf).where(~P.known_symbol())
+    return bad.select("seq_id", "pos", P.unknown_fields().alias("unknown"))
 
 
 @query("pf02_valid_combination", f"WITH {FAULTY} SELECT seq_id, pos, {_VALID} AS valid FROM faulty")

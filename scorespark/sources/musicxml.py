@@ -281,7 +281,7 @@ def musicxml_tokens(texts: DataFrame, key: str = "score") -> DataFrame:
     ensure_checkpoint_dir(texts.sparkSession)
     rows = event_rows(texts, key).checkpoint()  # parsed once, read several times below
     good = rows.join(_faults(rows, key).select(key), key, "left_anti")
-    tokens = _notes(_clocked(_symbols(good, key), key), key)
+    tokens = _notes(_clocked(_symbols(good, key), key), key).checkpoint()  # the clock check reads it too
     broken = tokens.where("broken").select(key).distinct()
     sounding = tokens.join(broken, key, "left_anti").where("visible and kind <> 'move'")
     filled = N.fill_mark(sounding, "arpeggiate", [key, "part", "measure", "onset", "position"])
