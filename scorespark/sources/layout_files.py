@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def to_line(width: float, height: float) -> Column:
+def to_line(width: float, height: float, digits: int | None = None) -> Column:
+    """Text of one staff; all digits by default, so that reading gives the same box."""
+
     def share(name: str, size: float) -> Column:
-        return F.format_string("%.8f", F.col(name) / size)
+        value = F.col(name) / size
+        return value.cast("string") if digits is None else F.format_string(f"%.{digits}f", value)
 
     return F.concat_ws(
         " ", F.col("class").cast("string"), share("cx", width), share("cy", height), share("w", width), share("h", height)
