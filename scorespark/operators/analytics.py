@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import ranking
 
 COMPONENTS = ("ned", "rhythm_ned", "pitch_ned", "lift_ned", "articulation_ned", "slur_ned")
@@ -31,8 +32,13 @@ def component_statistics(scored: DataFrame, metrics=COMPONENTS) -> DataFrame:
             F.array(*[F.struct(F.lit(m).alias("component"), F.nanvl(F.col(m), F.lit(None)).alias("x")) for m in metrics])
         ).alias("_m")
     ).select("_m.*")
-    basic = long.groupBy("component").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
-    middle = ranking.median(long, ["component"], "x", F.floor(F.col("_v") * 4096))
+    # scores are dear: reduce them to value counts once, everything else reads that small table
+    ensure_checkpoint_dir(scored.sparkSession)
+    counts = ranking.value_counts(long, ["component"], "x").checkpoint()
+    basic = counts.groupBy("component").agg(
+        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")
+    )
+    middle = ranking.median_of_counts(counts, ["component"], F.floor(F.col("_v") * 4096))
     return basic.join(middle, "component", "left").select("component", "mean", "median", "min", "max")
 
 

@@ -244,21 +244,21 @@ def canonical_key(rhythm_id: Column, pitch_id: Column, rhythm: Column, position:
     )
 
 
-def vocabulary_id(field: str, value: Column) -> Column:
-    """Id of a token in its branch; NULL when unknown. The map is a constant of a few hundred entries."""
-    return T.literal_map({t: i for i, t in enumerate(V.branch_tokens()[field])}, value)
+def with_vocabulary_ids(tokens: DataFrame, fields=V.TOKEN_FIELDS) -> DataFrame:
+    """Adds <field>_id for each field, NULL for an unknown token.
+
+    The vocabulary is a constant of about four hundred entries, so broadcasting its branches is safe at any data size.
+    """
+    spark = tokens.sparkSession
+    for field in fields:
+        entries = F.posexplode(F.array(*[F.lit(t) for t in V.branch_tokens()[field]])).alias(f"{field}_id", field)
+        tokens = tokens.join(F.broadcast(spark.range(1).select(entries)), field, "left")
+    return tokens
 
 
 def with_canonical_key(tokens: DataFrame) -> DataFrame:
-    return tokens.withColumn(
-        "sort_key",
-        canonical_key(
-            vocabulary_id("rhythm", F.col("rhythm")),
-            vocabulary_id("pitch", F.col("pitch")),
-            F.col("rhythm"),
-            F.col("position"),
-        ),
-    )
+    key = canonical_key(F.col("rhythm_id"), F.col("pitch_id"), F.col("rhythm"), F.col("position"))
+    return with_vocabulary_ids(tokens, ("rhythm", "pitch")).withColumn("sort_key", key).drop("rhythm_id", "pitch_id")
 
 
 def hoist_annotations(chords: DataFrame, keys=SEQ) -> DataFrame:

@@ -43,11 +43,20 @@ def with_rank(df: DataFrame, keys, order, bucket: Column, name: str = "rank", to
 def median(df: DataFrame, keys, value: str, width: Column) -> DataFrame:
     """Exact midpoint median per key. Values are counted first, then only the middle bucket is ranked.
 
-    `width` maps a value to its bucket, monotone in the value.
+    `width` maps a value (column `_v`) to its bucket, monotone in the value.
     """
-    keys = list(keys)
+    return median_of_counts(value_counts(df, keys, value), keys, width)
+
+
+def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, _v, _c): how often each value occurs; combined map-side."""
     valued = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    split = valued.withColumn("_v", F.col("_v").cast("double")).withColumn("_b", width)
+    return valued.withColumn("_v", F.col("_v").cast("double"))
+
+
+def median_of_counts(valued: DataFrame, keys, width: Column) -> DataFrame:
+    keys = list(keys)
+    split = valued.withColumn("_b", width)
     counts = split.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
     part = W.partitionBy(*keys)
     spans = counts.select(

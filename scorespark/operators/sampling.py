@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from . import ranking as R
-from .vocab_table import vocabulary
+from .chords import with_vocabulary_ids
 
 
 def union_sources(sources: list[DataFrame], key: str = "key") -> DataFrame:
@@ -91,16 +91,10 @@ def round_robin_sample(rows: DataFrame, strata, key: str, limit: int) -> DataFra
 def encode_sequences(tokens: DataFrame, keys=("seq_id",), length: int = V.MAX_SEQUENCE_LENGTH) -> DataFrame:
     """One row per sequence: six id arrays framed by begin and end tokens and padded to `length`, and their true length.
 
-    The vocabulary is a constant of about four hundred rows, so its six branches are broadcast. Sequences that do not
-    fit are dropped first, which also bounds the arrays.
+    Sequences that do not fit are dropped first, which also bounds the arrays.
     """
-    spark = tokens.sparkSession
-    table = vocabulary(spark)
     fitting = tokens.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") <= length - 2).select(*keys)
-    out = tokens.join(fitting, list(keys), "left_semi")
-    for field in V.TOKEN_FIELDS:
-        ids = table.where(F.col("branch") == field).select(F.col("token").alias(field), F.col("id").alias(f"{field}_id"))
-        out = out.join(F.broadcast(ids), field, "left")
+    out = with_vocabulary_ids(tokens.join(fitting, list(keys), "left_semi"))
     packed = F.array_sort(F.collect_list(F.struct("pos", *[f"{f}_id" for f in V.TOKEN_FIELDS])))
     rows = out.groupBy(*keys).agg(packed.alias("_t"))
     begin, end = V.CONTROL_TOKENS.index("BOS"), V.CONTROL_TOKENS.index("EOS")

@@ -61,7 +61,7 @@ def median_unit(spark, sf):
 
 
 # Staff points: boxes of kind 0, five lines eight units apart.
-POINTS = "pt AS (SELECT page, round(cx, 0) AS x, [cy, cy + 8, cy + 16, cy + 24, cy + 32] AS ys, cy FROM box WHERE kind = 0)"
+POINTS = "pt AS (SELECT page, round_even(cx, 0) AS x, [cy, cy + 8, cy + 16, cy + 24, cy + 32] AS ys, cy FROM box WHERE kind = 0)"
 NEAR = f"""{POINTS}, nr AS (SELECT b.page, b.box_id, b.cy, b.h, b.w, pt.x, pt.ys, row_number() OVER (PARTITION BY b.page, b.box_id ORDER BY abs(pt.x - b.cx), pt.x, pt.ys) AS r
   FROM box b JOIN pt ON pt.page = b.page AND abs(pt.x - b.cx) <= 50 WHERE b.kind > 0),
 nn AS (SELECT b.page, b.box_id, b.cy, b.h, b.w, nr.x, nr.ys, list_min([abs(y - b.cy) FOR y IN nr.ys]) AS y_distance FROM box b LEFT JOIN nr ON nr.page = b.page AND nr.box_id = b.box_id AND r = 1 WHERE b.kind > 0)"""

@@ -307,14 +307,15 @@ def run_summary(spark, sf):
 
 
 _STATS = " UNION ALL ".join(
-    f"SELECT '{m}' AS component, avg({m}) AS mean, median({m}) AS median, min({m}) AS min, max({m}) AS max FROM scored"
+    f"SELECT '{m}' AS component, round(avg({m}), 9) AS mean, median({m}) AS median, min({m}) AS min, max({m}) AS max FROM scored"
     for m in A.COMPONENTS
 )
 
 
 @query("ag02_component_statistics", f"WITH {SAMPLES} {_STATS}")
 def component_statistics(spark, sf):
-    return A.component_statistics(S.score_samples(event_samples(spark, sf), "seq_id"))
+    stats = A.component_statistics(S.score_samples(event_samples(spark, sf), "seq_id"))
+    return stats.withColumn("mean", F.round("mean", 9))
 
 
 @query("ag03_sample_variance", f"""WITH {SAMPLES} SELECT CASE WHEN count(*) > 1 THEN round(var_samp(100 * ned), 6) END AS variance,
