@@ -50,25 +50,23 @@ def take_first(rows: DataFrame, source: str, key: str, limit: Column, digits: in
     return ranked.where(F.col("_rank") <= limit).drop("_rank", "_d")
 
 
-def mix_sources(rows: DataFrame, source: str, key: str, weights: dict[str, float], wanted: Column | None) -> DataFrame:
-    """Weighted mix of the sources named in `weights`; `wanted` rows in all (an aggregate of the total), NULL for all.
+def mix_sources(rows: DataFrame, source: str, key: str, weights: dict[str, float], wanted) -> DataFrame:
+    """Weighted mix of the sources named in `weights`.
 
+    `wanted`: how many rows in all, a number or a function of the total (column in, column out); None takes all.
     Only one count per configured source reaches the driver.
     """
     names = list(weights)
-    counted = rows.where(F.col(source).isin(names)).groupBy(source).agg(F.count("*").alias("n"))
-    sizes = {r[source]: r["n"] for r in counted.collect()}
-    total = sum(sizes.values())
+    chosen = rows.where(F.col(source).isin(names))
     if wanted is None:
-        return rows.where(F.col(source).isin(names))
-    goal = rows.sparkSession.range(1).select(wanted_value(wanted, total)).first()[0]
+        return chosen
+    sizes = {r[source]: r["n"] for r in chosen.groupBy(source).agg(F.count("*").alias("n")).collect()}
+    goal = int(wanted) if isinstance(wanted, int) else chosen.sparkSession.range(1).select(
+        wanted(F.lit(sum(sizes.values()))).cast("bigint")
+    ).first()[0]
     take = dict(zip(names, quotas([sizes.get(n, 0) for n in names], [weights[n] for n in names], goal)))
     limit = F.coalesce(*[F.when(F.col(source) == n, F.lit(q)) for n, q in take.items()], F.lit(0))
-    return take_first(rows.where(F.col(source).isin(names)), source, key, limit)
-
-
-def wanted_value(wanted, total: int) -> Column:
-    return (wanted(F.lit(total)) if callable(wanted) else F.lit(wanted)).cast("bigint")
+    return take_first(chosen, source, key, limit)
 
 
 def split_rows(rows: DataFrame, key: str, share: float, rounded: bool = False) -> DataFrame:
