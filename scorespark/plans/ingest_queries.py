@@ -144,23 +144,21 @@ def semantic_texts(spark, sf):
     return words.groupBy(F.col("seq_id").alias("score")).agg(text.alias("text"))
 
 
-@query("sc05_semantic_ingest")
-def semantic_ingest(spark, sf):
-    return semantic.semantic_tokens(semantic_texts(spark, sf)).select("score", "pos", *V.TOKEN_FIELDS)
-
-
 _NAMES = "CASE regexp_replace(replace(replace(ln, '_fermata', ''), '.', ''), '', '') WHEN 'whole' THEN '1' WHEN 'half' THEN '2' WHEN 'quarter' THEN '4' WHEN 'eighth' THEN '8' ELSE '16' END"
 
 
-@query("sf31_semantic_words", f"""WITH {B.EVT}, {_SEMANTIC} SELECT seq_id, pos, word,
-    CASE WHEN regexp_matches(word, '^(grace)?note-') THEN 'note_' || {_NAMES} || CASE WHEN starts_with(word, 'grace') THEN 'G' ELSE '' END || CASE WHEN contains(ln, '.') THEN '.' ELSE '' END
+SEMANTIC_FIELDS = f"""CASE WHEN regexp_matches(word, '^(grace)?note-') THEN 'note_' || {_NAMES} || CASE WHEN starts_with(word, 'grace') THEN 'G' ELSE '' END || CASE WHEN contains(ln, '.') THEN '.' ELSE '' END
       WHEN starts_with(word, 'rest-') THEN 'rest_' || {_NAMES} || CASE WHEN contains(ln, '.') THEN '.' ELSE '' END
       WHEN starts_with(word, 'multirest') THEN CASE WHEN k % 14 = 0 THEN 'rest_0' ELSE 'rest_' || least(k % 14 + 1, 10) || 'm' END
       WHEN starts_with(word, 'clef') THEN replace(word, '-', '_') WHEN starts_with(word, 'key') THEN 'keySignature_' || (k % 15 - 7)
       WHEN starts_with(word, 'time') THEN ['timeSignature/4','timeSignature/2','timeSignature/8'][k % 3 + 1] WHEN word = 'tie' THEN 'tieSlur' ELSE word END AS rhythm,
     CASE WHEN regexp_matches(word, '^(grace)?note-') THEN substr('CDEFGAB', k % 7 + 1, 1) || (k // 20 + 2) WHEN regexp_matches(word, '^(multi)?rest|^clef') THEN '_' ELSE '.' END AS pitch,
     CASE WHEN regexp_matches(word, '^(grace)?note-') THEN ['_','b','#','_'][event_id % 4 + 1] WHEN regexp_matches(word, '^(multi)?rest|^clef') THEN '_' ELSE '.' END AS lift,
-    CASE WHEN regexp_matches(word, '^(grace)?note-|^rest-') AND contains(ln, 'fermata') THEN 'fermata' WHEN regexp_matches(word, '^(grace)?note-|^(multi)?rest|^clef') THEN '_' ELSE '.' END AS articulation FROM sw""")
+    CASE WHEN regexp_matches(word, '^(grace)?note-|^rest-') AND contains(ln, 'fermata') THEN 'fermata' WHEN regexp_matches(word, '^(grace)?note-|^(multi)?rest|^clef') THEN '_' ELSE '.' END AS articulation"""
+
+
+@query("sf31_semantic_words", f"""WITH {B.EVT}, {_SEMANTIC} SELECT seq_id, pos, word,
+    {SEMANTIC_FIELDS} FROM sw""")
 def semantic_words(spark, sf):
     words = B.evt(spark, sf).select("seq_id", "pos", semantic_word().alias("word"))
     return words.select("seq_id", "pos", "word", semantic.word_token(F.col("word")).alias("_t")).select("seq_id", "pos", "word", "_t.rhythm", "_t.pitch", "_t.lift", "_t.articulation")
@@ -174,6 +172,23 @@ def _zip(text: str, name: str) -> bytes:
     return buffer.getvalue()
 
 
+_TIED = f"""t0 AS (SELECT seq_id AS score, pos, {SEMANTIC_FIELDS} FROM sw),
+la AS (SELECT score, max(pos) AS lp, arg_max(rhythm, pos) AS lr FROM t0 GROUP BY 1),
+tt AS (SELECT * FROM t0 UNION ALL SELECT score, lp + 1, 'barline', '.', '.', '.' FROM la WHERE lr <> 'barline'),
+ti AS (SELECT *, count(*) OVER (PARTITION BY score) AS n, starts_with(rhythm, 'note') AS isn FROM tt),
+tm AS (SELECT score, pos AS t FROM ti WHERE rhythm = 'tieSlur' AND pos BETWEEN 1 AND n - 2),
+nx AS (SELECT DISTINCT score, m FROM (SELECT tm.score, t, min(ti.pos) AS m FROM tm JOIN ti ON ti.score = tm.score AND ti.pos > t AND isn GROUP BY 1, 2) x),
+pv AS (SELECT score, m, count(*) AS c FROM (SELECT tm.score, t, max(ti.pos) AS m FROM tm JOIN ti ON ti.score = tm.score AND ti.pos < t AND ti.pos >= 1 AND isn GROUP BY 1, 2) x GROUP BY 1, 2)"""
+
+
+@query("sc05_semantic_ingest", f"""WITH {B.EVT}, {_SEMANTIC}, {_TIED} SELECT ti.score, CAST(pos AS INTEGER) AS pos, rhythm, pitch, lift, articulation,
+    CASE WHEN isn THEN CASE WHEN pv.c IS NULL THEN CASE WHEN nx.m IS NULL THEN '_' ELSE 'slurStop' END WHEN pv.c = 1 AND nx.m IS NOT NULL THEN 'slurStart_slurStop' ELSE 'slurStart' END
+      WHEN regexp_matches(rhythm, '^(rest|clef)') THEN '_' ELSE '.' END AS slur, CASE WHEN regexp_matches(rhythm, '^(note|rest|clef)') THEN 'upper' ELSE '.' END AS position
+    FROM ti LEFT JOIN nx ON nx.score = ti.score AND nx.m = pos LEFT JOIN pv ON pv.score = ti.score AND pv.m = pos WHERE rhythm <> 'tieSlur' OR pos >= n - 2""")
+def semantic_ingest(spark, sf):
+    return semantic.semantic_tokens(semantic_texts(spark, sf)).select("score", "pos", *V.TOKEN_FIELDS)
+
+
 @F.pandas_udf(TY.BinaryType())
 def _zipped(text: pd.Series, folder: pd.Series) -> pd.Series:
     return pd.Series([_zip(t, "inner/score.xml" if f else "score.xml") for t, f in zip(text, folder)])

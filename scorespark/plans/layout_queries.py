@@ -474,8 +474,7 @@ def reading_order(spark, sf):
 def ordered_union(spark, sf):
     """Union of the even and the odd list of a page, first appearance kept, in order."""
     b = B.boxes(spark, sf)
-    order = F.when(F.col("box_id") % 2 == 0, F.col("box_id")).otherwise(F.col("box_id") + 1_000_000_000)
-    first = b.groupBy("page", "kind").agg(F.min(order).alias("o"))
+    first = b.groupBy("page", "kind").agg(F.min(F.struct(F.col("box_id") % 2, "box_id")).alias("o"))
     return first.select("page", "kind", F.row_number().over(W.partitionBy("page").orderBy("o")).alias("nth"))
 
 

@@ -299,5 +299,10 @@ def musicxml_tokens(texts: DataFrame, key: str = "score") -> DataFrame:
 
 
 def musicxml_errors(texts: DataFrame, key: str = "score") -> DataFrame:
-    rows = event_rows(texts, key)
-    return _faults(rows, key)
+    """(key, error) of every text that `musicxml_tokens` leaves out."""
+    ensure_checkpoint_dir(texts.sparkSession)
+    rows = event_rows(texts, key).checkpoint()
+    faults = _faults(rows, key)
+    good = rows.join(faults.select(key), key, "left_anti")
+    broken = _clocked(_symbols(good, key), key).where("broken").select(key).distinct()
+    return faults.unionByName(broken.withColumn("error", F.lit("backup before the start of the measure")))
