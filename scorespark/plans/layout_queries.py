@@ -238,13 +238,16 @@ def staff_rows(b):
     )
 
 
-@query("jn18_brace_scores", f"""WITH {B.BOX}, {STAFFS}, p AS (SELECT *, lead(staff_id) OVER w AS lid, lead(min_x) OVER w AS lx, lead(min_y) OVER w AS ly, lead(max_y) OVER w AS lm, lead(unit) OVER w AS lu,
+BRACES = f"""{B.BOX}, {STAFFS}, p AS (SELECT *, lead(staff_id) OVER w AS lid, lead(min_x) OVER w AS lx, lead(min_y) OVER w AS ly, lead(max_y) OVER w AS lm, lead(unit) OVER w AS lu,
       lag(max_y) OVER w AS above, lead(min_y, 2) OVER w AS beneath FROM sf WINDOW w AS (PARTITION BY page ORDER BY min_y, staff_id)),
     b AS (SELECT page, cx, cy - h * 1.5 AS lo, cy + h * 1.5 AS hi, h * 3 AS bh FROM box WHERE kind >= 3),
     c AS (SELECT p.*, cx, lo, hi, bh, least(abs(min_x - cx), abs(lx - cx)) AS dx, least(hi, lm) - greatest(lo, min_y) AS ov, greatest(hi, lm) - least(lo, min_y) AS un, (unit + lu) / 2 * 5 AS lim FROM p LEFT JOIN b USING (page) WHERE lid IS NOT NULL),
     s AS (SELECT *, CASE WHEN NOT (coalesce(lo < (above + min_y) / 2, false) OR coalesce(hi > (lm + beneath) / 2, false)) AND dx < lim AND ov > bh * 0.5 AND ov > dx
-      THEN CASE WHEN un > 0 THEN ov / un ELSE 0 END - dx / lim ELSE 0 END AS sc FROM c)
-    SELECT page, staff_id, lid AS next_id, coalesce(max(sc), 0.0) AS score FROM s GROUP BY 1, 2, 3""")
+      THEN CASE WHEN un > 0 THEN ov / un ELSE 0 END - dx / lim ELSE 0 END AS sc FROM c),
+    br AS (SELECT page, staff_id, lid AS next_id, coalesce(max(sc), 0.0) AS score FROM s GROUP BY 1, 2, 3)"""
+
+
+@query("jn18_brace_scores", f"WITH {BRACES} SELECT page, staff_id, next_id, score FROM br")
 def brace_scores(spark, sf):
     b = B.boxes(spark, sf)
     return L.brace_scores(staff_rows(b), b.where("kind >= 3").withColumn("h", F.col("h") * 3))
@@ -255,7 +258,11 @@ def scored_pairs(spark, sf):
     return s.select("page", F.col("staff_id").alias("a"), F.col("next_id").alias("b"), "score")
 
 
-@query("sq12_grand_staff_selection")
+@query("sq12_grand_staff_selection", f"""WITH RECURSIVE {BRACES}, rk AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, staff_id, next_id) AS i FROM br WHERE score > 0),
+    r AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, false AS hit FROM rk UNION ALL
+      SELECT r.page, rk.i, CASE WHEN list_contains(used, staff_id) OR list_contains(used, next_id) THEN used ELSE list_concat(used, [staff_id, next_id]) END,
+        NOT (list_contains(used, staff_id) OR list_contains(used, next_id)) FROM r JOIN rk ON rk.page = r.page AND rk.i = r.i + 1)
+    SELECT rk.page, staff_id AS a, next_id AS b, score FROM rk JOIN r ON r.page = rk.page AND r.i = rk.i AND hit""")
 def grand_staff_selection(spark, sf):
     """Best pairs first, each staff once; the rest stay single."""
     return GR.exclusive_pairs(scored_pairs(spark, sf), "page")
@@ -383,7 +390,15 @@ def distinct_staffs(spark, sf):
     return GR.distinct_staffs(b, "page")
 
 
-@query("sq11_spaced_peaks")
+@query("sq11_spaced_peaks", f"""WITH RECURSIVE {B.EVT}, v AS (SELECT seq_id, pos, value AS h FROM evt UNION ALL SELECT seq_id, min(pos) - 1, 0.0 FROM evt GROUP BY 1 UNION ALL SELECT seq_id, max(pos) + 1, 0.0 FROM evt GROUP BY 1),
+    rn AS (SELECT *, CASE WHEN h IS NOT DISTINCT FROM lag(h) OVER (PARTITION BY seq_id ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM v),
+    rg AS (SELECT *, sum(nw) OVER (PARTITION BY seq_id ORDER BY pos) AS run FROM rn), rr AS (SELECT seq_id, run, min(pos) AS lo, max(pos) AS hi, min(h) AS h FROM rg GROUP BY 1, 2),
+    pk AS (SELECT *, lag(h) OVER (PARTITION BY seq_id ORDER BY run) AS lh, lead(h) OVER (PARTITION BY seq_id ORDER BY run) AS rh FROM rr),
+    rk AS (SELECT seq_id, CAST((lo + hi) // 2 AS INTEGER) AS pos, h, row_number() OVER (PARTITION BY seq_id ORDER BY h DESC, (lo + hi) // 2 DESC) AS i FROM pk WHERE h > lh AND h > rh),
+    s AS (SELECT DISTINCT seq_id, CAST(0 AS BIGINT) AS i, CAST([] AS INTEGER[]) AS kept FROM rk UNION ALL
+      SELECT s.seq_id, rk.i, CASE WHEN len([p FOR p IN kept IF abs(p - pos) < 5]) = 0 THEN list_append(kept, pos) ELSE kept END FROM s JOIN rk ON rk.seq_id = s.seq_id AND rk.i = s.i + 1),
+    f AS (SELECT seq_id, arg_max(kept, i) AS kept FROM s GROUP BY 1)
+    SELECT rk.seq_id, rk.pos, rk.h FROM rk JOIN f ON f.seq_id = rk.seq_id AND list_contains(kept, pos)""")
 def spaced_peaks(spark, sf):
     rows = B.evt(spark, sf).select("seq_id", "pos", "value")
     peaks = SE.local_maxima(SE.zero_padded(rows), "value").withColumnRenamed("value", "h")
