@@ -8,7 +8,6 @@ from ..functions import durations as DU
 from ..functions import text as X
 from ..functions import tokens as T
 from ..functions import vocabulary as V
-from ..operators import chords as C
 from ..operators import filters as P
 from ..operators import vocab_table
 from ..sources import datasets as D

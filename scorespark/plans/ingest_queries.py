@@ -13,7 +13,6 @@ from pyspark.sql import types as TY
 from ..functions import tokens as T
 from ..functions import vocabulary as V
 from ..operators import analytics as A
-from ..operators import filters as P
 from ..operators import producers
 from ..operators import scoring as S
 from ..operators import windows as N
@@ -22,7 +21,7 @@ from ..sources import archives, kern, musicxml, semantic
 from ..streaming import incremental
 from . import bindings as B
 from .registry import query
-from .scoring_queries import FIELDS, TURNS, alignment_events, turn_scores
+from .scoring_queries import TURNS, alignment_events, turn_scores
 
 # ---- texts derived from the events ---------------------------------------------------------------------------------
 
