@@ -165,3 +165,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` of the spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def with_length(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with its length column, if it has one, set to the characters of the text."""
+    if length_col not in docs.columns:
+        return docs
+    kind = docs.schema[length_col].dataType
+    return docs.withColumn(length_col, F.length(text_col).cast(kind))
