@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, language_id, language_model, packing, quality, secrets, simhash, toxicity
+from . import decontaminate, extraction, imatch, language_id, language_model, packing, quality, secrets, simhash, toxicity
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+@query("op2_imatch_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op3_kneser_ney_scoring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder("doc_id", 7) == 2
@@ -52,6 +57,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+@query("op5_tag_path_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op6_fm_index_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
