@@ -68,14 +68,14 @@ def with_parts(df: DataFrame, name: str, text_col: str, bits: Column) -> DataFra
 
         df = df.withColumns({parts[n][way]: left(way) for way in range(WAYS)})
     hashes = [
-        F.when(F.size(c) > 0, F.xxhash64(c).bitwiseAND(0xFFFFFFFF)) for n in (0, *HALVINGS) for c in parts[n]
+        F.when(F.size(c) > 0, F.shiftright(F.xxhash64(c), 32).cast("int")) for n in (0, *HALVINGS) for c in parts[n]
     ]
     return df.withColumn(name, F.array(*hashes)).drop(f"_{name}_all", *[c for cs in parts.values() for c in cs])
 
 
 def as_text(hashes: Column) -> Column:
     """Eight hex digits per part, dots between, ``-`` for a part without terms."""
-    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 8, "0")), F.lit("-"))), ".")
+    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), F.lit("-"))), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,7 +91,8 @@ def likeness(a: Column, b: Column) -> Column:
         return F.aggregate(both, F.lit(0.0), lambda acc, p: acc + F.when(which(p), p["w"]).otherwise(0.0))
 
     either = total(lambda p: p["a"].isNotNull() | p["b"].isNotNull())
-    return F.when(either == 0, 1.0).otherwise(total(lambda p: p["a"] == p["b"]) / either)
+    alike = F.when(either == 0, 1.0).otherwise(total(lambda p: p["a"] == p["b"]) / either)
+    return F.when(a.isNotNull() & b.isNotNull(), alike)
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -117,28 +118,32 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts are empty; a text without terms has a fingerprint of empty parts. Rows that repeat an id are kept; as next
     document such an id counts once, with its least text. A row without an id has no next document: its edited text only
     loses its half, near_next is 0. Other columns are not read; an empty table gives no rows.
+
+    Texts are shuffled once, by id; from there each document sends the head of its text and its fingerprint to the one
+    before it.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bits = lexicon(rows)
-
-    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    sizes = rows.groupBy("doc_id").agg(F.max(half).alias("need"))
-    chain = following(rows.select(F.col("doc_id").alias("id"))).join(sizes, F.col("id") == F.col("doc_id")).select("id", "next_id", "need")
-    chain = cut(chain)
-    parts = rows.join(chain, F.col("doc_id") == F.col("next_id")).select(
-        "id", F.expr("left(text, need)").alias("head")
-    ).groupBy("id").agg(F.min("head").alias("head"))
-    own = rows.select("doc_id", "text", n.alias("n_chars"), half.alias("half"))
-    joined = own.join(parts, F.col("doc_id") == F.col("id"), "left")
-    kept = F.expr("left(text, n_chars - half)")
-    edited = F.concat(kept, F.coalesce(F.expr("left(head, half)"), F.lit("")))
-    texts = joined.select("doc_id", "text", F.col("n_chars").cast("long"), edited.alias("edited"))
-    digests = texts.withColumns({"edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256), "order": F.xxhash64("text")})
-    both = with_parts(with_parts(digests, "own", "text", bits), "changed", "edited", bits)
-    prints = cut(both.select("doc_id", "n_chars", "edited_sha256", "own", "changed", "order"))
-    nexts = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("own", "order").alias("next"))
-    to_next = chain.join(nexts, F.col("next_id") == F.col("doc_id")).select("id", "next")
-    return prints.join(to_next, F.col("doc_id") == F.col("id"), "left").select(
+    named = rows.where("doc_id is not null")
+    need = rows.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).cast("int").alias("need"))
+    chain = cut(
+        following(rows.select(F.col("doc_id").alias("id"))).join(need, F.col("id") == F.col("doc_id")).select("id", "next_id", "need")
+    )
+    heads = named.join(chain, F.col("doc_id") == F.col("next_id")).select("id", "text", F.expr("left(text, need)").alias("head"))
+    sent = with_parts(heads, "next", "text", bits).groupBy("id").agg(F.min(F.struct("head", "next")).alias("sent"))
+    joined = named.join(sent, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "sent.head", "sent.next")
+    nameless = rows.where("doc_id is null").select(
+        "doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<int>").alias("next")
+    )
+    texts = joined.union(nameless).withColumn("half", F.floor(F.length("text") / 2).cast("int")).withColumn(
+        "edited", F.expr("concat(left(text, length(text) - half), coalesce(left(head, half), ''))")
+    )
+    digests = texts.select(
+        "doc_id", "text", "edited", "next", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+    )
+    prints = with_parts(with_parts(digests, "own", "text", bits), "changed", "edited", bits)
+    return prints.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         F.coalesce(likeness(F.col("own"), F.col("next")), F.lit(0.0)).alias("near_next"),
