@@ -119,8 +119,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document such an id counts once, with its least text. A row without an id has no next document: its edited text only
     loses its half, near_next is 0. Other columns are not read; an empty table gives no rows.
 
-    Texts are shuffled once, by id; from there each document sends the head of its text and its fingerprint to the one
-    before it.
+    Texts are shuffled by id once; from there each document sends the head of its text and its fingerprint to the one
+    before it, which it meets with the kept half only.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bits = lexicon(rows)
@@ -131,18 +131,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     heads = named.join(chain, F.col("doc_id") == F.col("next_id")).select("id", "text", F.expr("left(text, need)").alias("head"))
     sent = with_parts(heads, "next", "text", bits).groupBy("id").agg(F.min(F.struct("head", "next")).alias("sent"))
-    joined = named.join(sent, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "sent.head", "sent.next")
-    nameless = rows.where("doc_id is null").select(
-        "doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<int>").alias("next")
+    halved = rows.withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    own = with_parts(halved, "own", "text", bits).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "half", "own",
+        F.expr("left(text, length(text) - half)").alias("kept"),
     )
-    texts = joined.union(nameless).withColumn("half", F.floor(F.length("text") / 2).cast("int")).withColumn(
-        "edited", F.expr("concat(left(text, length(text) - half), coalesce(left(head, half), ''))")
-    )
-    digests = texts.select(
-        "doc_id", "text", "edited", "next", F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-    )
-    prints = with_parts(with_parts(digests, "own", "text", bits), "changed", "edited", bits)
+    joined = own.join(sent, F.col("doc_id") == F.col("id"), "left")
+    edited = joined.select(
+        "doc_id", "n_chars", "own", "sent.next", F.expr("concat(kept, coalesce(left(sent.head, half), ''))").alias("edited")
+    ).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    prints = with_parts(edited, "changed", "edited", bits)
     return prints.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"),
