@@ -13,13 +13,17 @@ def left_stripped(text: Column) -> Column:
 
 
 def is_xml(text: Column) -> Column:
+    """An XML declaration, or a score as the first element; comments do not count, however long."""
     stripped = left_stripped(text)
-    return stripped.startswith("<?xml") | F.substring(stripped, 1, 500).contains("<score-partwise")
+    bare = left_stripped(F.regexp_replace(stripped, r"(?s)<!--.*?-->", ""))
+    first = F.regexp_extract(bare, r"<([A-Za-z][^\s/>]*)", 1)
+    return stripped.startswith("<?xml") | (bare.startswith("<") & (first == "score-partwise"))
 
 
 def is_kern(text: Column) -> Column:
-    stripped = left_stripped(text)
-    return stripped.startswith("**") | F.substring(stripped, 1, 200).contains("\t**kern")
+    """The first line that is no `!!` comment opens spines, one of them kern or the first of any kind."""
+    line = F.regexp_extract(left_stripped(text), r"(?md)^([^!\n][^\n]*|!(?:[^!\n][^\n]*)?)$", 1)
+    return line.startswith("**") | line.contains("\t**kern")
 
 
 def is_tempo_marking(text: Column) -> Column:
@@ -39,7 +43,7 @@ def occurrences(text: Column, term: str) -> Column:
 def camel_case(name: Column) -> Column:
     """inverted-mordent -> invertedMordent."""
     parts = F.split(name, "-")
-    tail = F.transform(F.slice(parts, 2, 1000), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000)))
+    tail = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
     return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
 
 

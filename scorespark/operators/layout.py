@@ -81,16 +81,19 @@ def on_staff_zone() -> Column:
 
 def nearest_above_below(probes: DataFrame, regions: DataFrame, keys) -> DataFrame:
     """above: greatest stop of the regions that start before y (0 if none); below: least start of those that stop
-    after y (1e12 if none). One window per side over the union, so no pairs are formed."""
-    probe = probes.select(*keys, "probe_id", F.col("y").alias("_k"), F.lit(None).cast("double").alias("_v"))
+    after y (1e12 if none). Running frames over the union, a probe before the regions at its own value, so no pairs are
+    formed and equal values do not count."""
+    probe = probes.select(*keys, "probe_id", F.col("y").cast("double").alias("_k"), F.lit(None).cast("double").alias("_v"), F.lit(0).alias("_region"))
 
     def side(key: str, value: str) -> DataFrame:
-        reg = regions.select(*keys, F.lit(None).cast("bigint").alias("probe_id"), F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+        reg = regions.select(*keys, F.lit(None).cast("bigint").alias("probe_id"), F.col(key).cast("double").alias("_k"), F.col(value).cast("double").alias("_v"), F.lit(1).alias("_region"))
         return probe.unionByName(reg)
 
-    w = W.partitionBy(*keys).orderBy("_k")
-    above = side("start", "stop").withColumn("above", F.max("_v").over(w.rangeBetween(W.unboundedPreceding, -1)))
-    below = side("stop", "start").withColumn("below", F.min("_v").over(w.rangeBetween(1, W.unboundedFollowing)))
+    def before(*order) -> W:
+        return W.partitionBy(*keys).orderBy(*order, "_region").rowsBetween(W.unboundedPreceding, -1)
+
+    above = side("start", "stop").withColumn("above", F.max("_v").over(before("_k")))
+    below = side("stop", "start").withColumn("below", F.min("_v").over(before(F.desc("_k"))))
     a = above.where("probe_id is not null").select(*keys, "probe_id", F.coalesce("above", F.lit(0.0)).alias("above"))
     b = below.where("probe_id is not null").select(*keys, "probe_id", F.coalesce("below", F.lit(1e12)).alias("below"))
     return a.join(b, [*keys, "probe_id"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,18 +22,37 @@ def register(name: str):
     return add
 
 
-def run(samples: DataFrame, tool: str, text: str = "expected_text", max_chars: int | None = None) -> DataFrame:
-    """(sample_id, tool, output, error). A row that fails gives its error and does not stop the others.
+@contextmanager
+def _time_limit(seconds: float | None) -> Iterator[None]:
+    """Stop what runs inside after so many seconds. Workers run their task in the main thread, where the timer's signal
+    arrives."""
 
-    Spark has no time limit per row; `max_chars` marks longer inputs as failed instead.
-    """
+    def expire(*_) -> None:
+        raise TimeoutError(f"stopped after {seconds:g} s")
+
+    if seconds is None:
+        yield
+        return
+    before = signal.signal(signal.SIGALRM, expire)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def run(samples: DataFrame, tool: str, text: str = "expected_text", seconds: float | None = None) -> DataFrame:
+    """(sample_id, tool, output, error). A row that fails, or takes longer than ``seconds``, gives its error and does not
+    stop the others; a NULL text gives the error `no input`."""
     fn = REGISTRY[tool]
 
-    def one(value: str) -> tuple[str | None, str | None]:
-        if max_chars is not None and len(value) > max_chars:
-            return None, f"input longer than {max_chars}"
+    def one(value: str | None) -> tuple[str | None, str | None]:
+        if value is None:
+            return None, "no input"
         try:
-            return fn(value), None
+            with _time_limit(seconds):
+                return fn(value), None
         except Exception as exc:
             return None, f"{type(exc).__name__}: {exc}"
 

@@ -86,25 +86,38 @@ def round_robin_sample(rows: DataFrame, strata, key: str, limit: int) -> DataFra
     return ranked.where(F.col("turn_no") <= limit).orderBy("turn_no", *strata).limit(limit).drop("_d")
 
 
+def _with_ids(tokens: DataFrame, keys) -> DataFrame:
+    """One row per sequence: its id structs in order and the number of tokens that the vocabulary does not have."""
+    known = F.lit(True)
+    for f in V.TOKEN_FIELDS:
+        known = known & F.col(f"{f}_id").isNotNull()
+    packed = F.array_sort(F.collect_list(F.struct("pos", *[f"{f}_id" for f in V.TOKEN_FIELDS])))
+    return with_vocabulary_ids(tokens).groupBy(*keys).agg(packed.alias("_t"), F.count_if(~known).alias("_unknown"))
+
+
 def encode_sequences(tokens: DataFrame, keys=("seq_id",), length: int = V.MAX_SEQUENCE_LENGTH) -> DataFrame:
     """One row per sequence: six id arrays framed by begin and end tokens and padded to `length`, and their true length.
 
-    Sequences that do not fit are dropped first, which also bounds the arrays.
+    Longer sequences are encoded whole (the length filter is a step of its own); those with unknown tokens are left to
+    :func:`encoding_rejects`.
     """
-    fitting = tokens.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") <= length - 2).select(*keys)
-    out = with_vocabulary_ids(tokens.join(fitting, list(keys), "left_semi"))
-    packed = F.array_sort(F.collect_list(F.struct("pos", *[f"{f}_id" for f in V.TOKEN_FIELDS])))
-    rows = out.groupBy(*keys).agg(packed.alias("_t"))
+    rows = _with_ids(tokens, keys).where("_unknown = 0")
     begin, end = V.CONTROL_TOKENS.index("BOS"), V.CONTROL_TOKENS.index("EOS")
 
     def framed(field: str) -> Column:
         first, last = (begin, end) if field == "rhythm" else (0, 0)
         whole = F.concat(F.array(F.lit(first)), F.col("_t").getField(f"{field}_id"), F.array(F.lit(last)))
-        return F.concat(whole, F.array_repeat(F.lit(0), F.lit(length) - F.size(whole))).alias(field)
+        return F.concat(whole, F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(length) - F.size(whole)))).alias(field)
 
     return rows.select(*keys, *[framed(f) for f in V.TOKEN_FIELDS], (F.size("_t") + 2).alias("mask_length"))
 
 
+def encoding_rejects(tokens: DataFrame, keys=("seq_id",)) -> DataFrame:
+    """(keys, reason) of the sequences that cannot be encoded."""
+    bad = _with_ids(tokens, keys).where("_unknown > 0")
+    return bad.select(*keys, F.concat(F.col("_unknown").cast("string"), F.lit(" tokens are not in the vocabulary")).alias("reason"))
+
+
 def branch_accuracy(pairs: DataFrame, fields, positional: Column) -> DataFrame:
     """Correct / total per branch over rows where the label counts, and over all branches together.
 

@@ -15,8 +15,6 @@ from pyspark.sql import types as TY
 
 from ..functions import vocabulary as V
 
-EXACT_PARTS = 8
-
 
 def encode(tokens: Column, dictionary: Column) -> Column:
     """An array of tokens as a string of one character per token, so that character distance is token distance.
@@ -91,30 +89,73 @@ def _encoded_parts(parts: Column, fields, dictionary: Column) -> Column:
 
 @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
 def assign_parts(costs: pd.Series) -> pd.Series:
-    """Cheapest assignment of each cost matrix; up to eight parts exact, the first in lexicographic order on ties."""
+    """Cheapest assignment of each cost matrix, the first in lexicographic order on ties."""
     return costs.map(_assignment)
 
 
 def _assignment(cost) -> list[int]:
+    """Shortest augmenting paths give a cheapest assignment and prices under which every cheapest one uses only tight
+    cells (cost = row price + column price). Among the tight ones the first in lexicographic order is taken."""
     n = len(cost)
-    if n > EXACT_PARTS:
-        chosen, used = {}, set()
-        for _, i, j in sorted((int(cost[i][j]), i, j) for i in range(n) for j in range(n)):
-            if i not in chosen and j not in used:
+    row_price, column_price = [0] * n, [0] * n
+    row_of: list[int | None] = [None] * n
+    for start in range(n):
+        slack, came, done = [None] * n, [None] * n, [False] * n
+        row, last = start, None
+        while True:
+            for j in range(n):
+                if not done[j]:
+                    left = int(cost[row][j]) - row_price[row] - column_price[j]
+                    if slack[j] is None or left < slack[j]:
+                        slack[j], came[j] = left, last
+            column = min((j for j in range(n) if not done[j]), key=lambda j: slack[j])
+            step = slack[column]
+            row_price[start] += step
+            for j in range(n):
+                if done[j]:
+                    row_price[row_of[j]] += step
+                    column_price[j] -= step
+                elif slack[j] is not None:
+                    slack[j] -= step
+            done[column], last = True, column
+            if row_of[column] is None:
+                break
+            row = row_of[column]
+        while column is not None:
+            before = came[column]
+            row_of[column] = start if before is None else row_of[before]
+            column = before
+    tight = [[j for j in range(n) if cost[i][j] == row_price[i] + column_price[j]] for i in range(n)]
+    chosen = [0] * n
+    for j, i in enumerate(row_of):
+        chosen[i] = j
+    fixed: set[int] = set()
+
+    def move(i: int, taken: set[int], free: int) -> bool:
+        """Give row ``i`` another tight column, moving other rows on; ``free`` is the one column without a row."""
+        for j in tight[i]:
+            if j in taken:
+                continue
+            taken.add(j)
+            if j == free or move(chosen.index(j), taken, free):
                 chosen[i] = j
-                used.add(j)
-        return [chosen[i] for i in range(n)]
-    # rest[mask]: cheapest way to place rows bit_count(mask).. n-1 when the columns in mask are taken
-    rest = {(1 << n) - 1: 0}
-    for mask in range((1 << n) - 2, -1, -1):
-        row = cost[mask.bit_count()]
-        rest[mask] = min(row[j] + rest[mask | 1 << j] for j in range(n) if not mask >> j & 1)
-    perm, mask = [], 0
+                return True
+        return False
+
     for i in range(n):
-        j = next(j for j in range(n) if not mask >> j & 1 and cost[i][j] + rest[mask | 1 << j] == rest[mask])
-        perm.append(j)
-        mask |= 1 << j
-    return perm
+        for j in tight[i]:
+            if j in fixed:
+                continue
+            if j == chosen[i]:
+                break
+            kept, other, free = list(chosen), chosen.index(j), chosen[i]
+            chosen[i] = -1
+            if move(other, fixed | {j}, free):
+                chosen[i] = j
+                break
+            chosen[:] = kept
+        fixed.add(chosen[i])
+    return chosen
 
 
 def align_parts(samples: DataFrame, fields=V.SCORED_FIELDS) -> DataFrame:

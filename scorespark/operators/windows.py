@@ -174,7 +174,7 @@ def with_context(tokens: DataFrame, keys=SEQ) -> DataFrame:
     part = W.partitionBy(*keys)
     r = F.col("rhythm")
     first_note = F.min(F.when((F.col("measure") == 0) & T.is_sounding(r), F.col("pos"))).over(part)
-    opening = (F.col("measure") == 0) & r.startswith("clef") & (F.col("pos") < F.coalesce(first_note, F.lit(1 << 30)))
+    opening = (F.col("measure") == 0) & r.startswith("clef") & (first_note.isNull() | (F.col("pos") < first_note))
     staves = F.when(F.count_if(opening).over(part) >= 2, F.lit(2)).otherwise(F.lit(1))
     low = (F.col("position") == "lower") & (F.col("staves") == 2)
 
@@ -222,7 +222,7 @@ def cut_windows(tokens: DataFrame, size: int = 8, keys=SEQ) -> DataFrame:
     header_kind = signature_kind(r).isNotNull() | (r == "chord")
     first_other = F.min(F.when(~header_kind, F.col("pos"))).over(win)
     state = state.withColumn("_first_measure", F.expr(f"measure % {size} = 0")).withColumn(
-        "_leading", F.col("_first_measure") & (F.col("pos") < F.coalesce(first_other, F.lit(1 << 30)))
+        "_leading", F.col("_first_measure") & (first_other.isNull() | (F.col("pos") < first_other))
     )
     w = ordered(*keys)
     defaults = {"clef_upper": "clef_G2", "clef_lower": "clef_F4", "key": "keySignature_0", "time": "timeSignature/4"}

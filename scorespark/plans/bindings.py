@@ -133,17 +133,12 @@ tok AS (
        LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) r)"""
 
 
-# One letter per word keeps both engines' character distance equal to the token distance.
-def class_letters(text: Column) -> Column:
-    """Words of a text reduced to one ASCII letter each: its first letter, or `#`."""
-    first = F.transform(F.split(text, r"\s+"), lambda w: F.lower(F.substring(w, 1, 1)))
-    return F.transform(first, lambda c: F.when(c.rlike("^[a-z]$"), c).otherwise(F.lit("#")))
+def text_words(text: Column) -> Column:
+    """The words of a text: its pieces between white space."""
+    return F.split(text, r"\s+")
 
 
-CLASS_LETTERS = (
-    "[CASE WHEN regexp_matches(lower(substr(w, 1, 1)), '^[a-z]$') THEN lower(substr(w, 1, 1)) ELSE '#' END "
-    "FOR w IN regexp_split_to_array({text}, '\\s+')]"
-)
+TEXT_WORDS = "regexp_split_to_array({text}, '\\s+')"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,9 +143,11 @@ def upper_staff(spark, sf):
 
 
 @query("pf16_format_sniffing", """WITH t AS (SELECT page_id, regexp_replace(
-      CASE page_id % 4 WHEN 0 THEN '  <?xml version="1.0"?>' WHEN 1 THEN '<!-- c --><score-partwise>' WHEN 2 THEN '**kern' ELSE '' END || html, '^\\s+', '') AS x FROM pages)
-    SELECT page_id, starts_with(x, '<?xml') OR contains(substr(x, 1, 500), '<score-partwise') AS is_xml,
-      starts_with(x, '**') OR contains(substr(x, 1, 200), chr(9) || '**kern') AS is_kern FROM t""")
+      CASE page_id % 4 WHEN 0 THEN '  <?xml version="1.0"?>' WHEN 1 THEN '<!-- c --><score-partwise>' WHEN 2 THEN '**kern' ELSE '' END || html, '^\\s+', '') AS x FROM pages),
+    u AS (SELECT *, regexp_replace(regexp_replace(x, '<!--.*?-->', '', 'gs'), '^\\s+', '') AS y,
+      regexp_extract(x, '(?m)^([^!\\n][^\\n]*|!(?:[^!\\n][^\\n]*)?)$', 1) AS line FROM t)
+    SELECT page_id, starts_with(x, '<?xml') OR (starts_with(y, '<') AND regexp_extract(y, '<([A-Za-z][^\\s/>]*)', 1) = 'score-partwise') AS is_xml,
+      starts_with(line, '**') OR contains(line, chr(9) || '**kern') AS is_kern FROM u""")
 def format_sniffing(spark, sf):
     head = B.pick(['  <?xml version="1.0"?>', "<!-- c --><score-partwise>", "**kern", ""], F.col("page_id") % 4)
     t = B.table(spark, sf, "pages").select("page_id", F.concat(head, "html").alias("x"))

@@ -158,6 +158,18 @@ def nearest_above_below(spark, sf):
     return above_below(spark, sf)
 
 
+@query("jn08_nearest_box_heights", f"""WITH {B.BOX}, r AS (SELECT page, cy - h / 2 AS start, cy + h / 2 AS stop FROM box WHERE kind % 2 = 0)
+    SELECT p.page, p.box_id AS probe_id, coalesce(max(CASE WHEN r.start < p.cy THEN r.stop END), 0.0e0) AS above,
+      coalesce(min(CASE WHEN r.stop > p.cy THEN r.start END), 1e12) AS below
+    FROM box p LEFT JOIN r ON r.page = p.page GROUP BY 1, 2""")
+def nearest_box_heights(spark, sf):
+    """Fractional heights: every box centre against the even kinds' spans of its page."""
+    box = B.boxes(spark, sf)
+    probes = box.select("page", F.col("box_id").alias("probe_id"), F.col("cy").alias("y"))
+    spans = box.where("kind % 2 = 0").select("page", (F.col("cy") - F.col("h") / 2).alias("start"), (F.col("cy") + F.col("h") / 2).alias("stop"))
+    return L.nearest_above_below(probes, spans, ["page"])
+
+
 @query("jn22_region_clamp", f"""WITH {B.IV}, {PROBE} SELECT a.line, probe_id, greatest(start - 5, above) * 1.0e0 AS start, least(stop + 5, below) * 1.0e0 AS stop
     FROM ab a JOIN iv ON iv_id = probe_id AND iv.line = a.line""")
 def region_clamp(spark, sf):

@@ -70,19 +70,22 @@ scored AS (SELECT seq_id, CAST(sum(d0) AS INTEGER) AS distance, CAST(sum(elen) A
   sum(d3) / greatest(sum(elen + alen), 1) AS lift_ned, sum(d4) / greatest(sum(elen + alen), 1) AS articulation_ned,
   sum(d5) / greatest(sum(elen + alen), 1) AS slur_ned FROM al GROUP BY seq_id)"""
 
-# Turns: word classes as one-letter tokens.
+# Turns: words as tokens. The distance depends on equality only, so a word both sides have gets a character of its own, and
+# the words of just one side share one character per side.
 TURNS = B.TURN + f""",
-tl AS (SELECT *, {B.CLASS_LETTERS.format(text='expected_text')} AS e, {B.CLASS_LETTERS.format(text='actual_text')} AS a
+tl AS (SELECT *, {B.TEXT_WORDS.format(text='expected_text')} AS e, {B.TEXT_WORDS.format(text='actual_text')} AS a
        FROM turn_pairs),
-td AS (SELECT *, array_to_string(e, '') AS es, array_to_string(a, '') AS acs, len(e) AS el, len(a) AS alen FROM tl),
+ts AS (SELECT *, list_intersect(e, a) AS sh FROM tl),
+td AS (SELECT *, len(e) AS el, len(a) AS alen,
+  array_to_string([CASE WHEN list_contains(sh, w) THEN chr(CAST(35 + list_position(sh, w) AS INTEGER)) ELSE '!' END FOR w IN e], '') AS es,
+  array_to_string([CASE WHEN list_contains(sh, w) THEN chr(CAST(35 + list_position(sh, w) AS INTEGER)) ELSE '"' END FOR w IN a], '') AS acs FROM ts),
 turn_scores AS (SELECT *, CAST(levenshtein(es, acs) AS INTEGER) AS distance FROM td)"""
 
 
 def turn_scores(spark, sf):
     t = B.turns(spark, sf)
-    e, a = B.class_letters(F.col("expected_text")), B.class_letters(F.col("actual_text"))
-    lettered = t.withColumn("e", e).withColumn("a", a)
-    return lettered.withColumn("distance", S.token_distance(F.col("e"), F.col("a"))).withColumn("el", F.size("e").cast("bigint")).withColumn(
+    worded = t.withColumn("e", B.text_words(F.col("expected_text"))).withColumn("a", B.text_words(F.col("actual_text")))
+    return worded.withColumn("distance", S.token_distance(F.col("e"), F.col("a"))).withColumn("el", F.size("e").cast("bigint")).withColumn(
         "alen", F.when(F.col("a").isNotNull(), F.size("a").cast("bigint"))
     )
 

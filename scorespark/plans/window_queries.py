@@ -80,7 +80,7 @@ _RM = """rm AS (SELECT *, CAST(coalesce(sum(CASE WHEN contains(rhythm, 'barline'
 @query("wn09_pending_clefs", f"""WITH {B.EVT}, {_RM},
     q AS (SELECT seq_id, measure + 1 AS measure, position AS staff, arg_max(rhythm, pos) AS rhythm FROM rm WHERE starts_with(rhythm, 'clef') AND k % 8 = 2 GROUP BY 1, 2, 3),
     f AS (SELECT *, min(CASE WHEN NOT (starts_with(rhythm, 'clef') AND k % 8 <> 2) THEN pos END) OVER (PARTITION BY seq_id, measure) AS other FROM rm),
-    e AS (SELECT DISTINCT seq_id, measure, position AS staff FROM f WHERE starts_with(rhythm, 'clef') AND k % 8 <> 2 AND pos < coalesce(other, 99))
+    e AS (SELECT DISTINCT seq_id, measure, position AS staff FROM f WHERE starts_with(rhythm, 'clef') AND k % 8 <> 2 AND (other IS NULL OR pos < other))
     SELECT q.* FROM q ANTI JOIN e USING (seq_id, measure, staff) WHERE (q.seq_id, q.measure) IN (SELECT (seq_id, measure) FROM rm)""")
 def pending_clefs(spark, sf):
     m = N.row_measures(B.evt(spark, sf))
@@ -88,7 +88,7 @@ def pending_clefs(spark, sf):
     other = F.min(F.when(~(clef & ~later), F.col("pos"))).over(W.partitionBy("seq_id", "measure"))
     tagged = m.withColumn("staff", F.col("position")).withColumn("_other", other)
     announced = tagged.where(clef & later)
-    leading = tagged.where(clef & ~later & (F.col("pos") < F.coalesce("_other", F.lit(99))))
+    leading = tagged.where(clef & ~later & (F.col("_other").isNull() | (F.col("pos") < F.col("_other"))))
     existing = m.select("seq_id", "measure").distinct()
     return N.pending_clefs(announced, leading).join(existing, ["seq_id", "measure"], "left_semi").select("seq_id", "measure", "staff", "rhythm")
 
@@ -114,7 +114,7 @@ _STATE = [("clef_upper", f"{_CLEF} AND NOT {_LOW}", "clef_G2"), ("clef_lower", f
           ("key", "starts_with(rhythm, 'keySignature')", "keySignature_0"), ("time", "starts_with(rhythm, 'timeSignature')", "timeSignature/4")]
 CONTEXT = f"""{_RM},
 st0 AS (SELECT *, min(CASE WHEN measure = 0 AND regexp_matches(rhythm, '^(note|rest)') THEN pos END) OVER (PARTITION BY seq_id) AS fn FROM rm),
-st AS (SELECT *, CASE WHEN count(*) FILTER (measure = 0 AND {_CLEF} AND pos < coalesce(fn, 999)) OVER (PARTITION BY seq_id) >= 2 THEN 2 ELSE 1 END AS staves FROM st0),
+st AS (SELECT *, CASE WHEN count(*) FILTER (measure = 0 AND {_CLEF} AND (fn IS NULL OR pos < fn)) OVER (PARTITION BY seq_id) >= 2 THEN 2 ELSE 1 END AS staves FROM st0),
 cx AS (SELECT *, {", ".join(f"{_last(c, d, 'CURRENT ROW')} AS a_{n}, {_last(c, d, '1 PRECEDING')} AS b_{n}" for n, c, d in _STATE)} FROM st)"""
 
 
@@ -127,7 +127,7 @@ def signature_context(spark, sf):
 @query("wn11_measure_windows", f"""WITH {B.EVT}, {CONTEXT},
     w0 AS (SELECT *, measure // 4 AS win, max(measure) OVER (PARTITION BY seq_id) + 1 AS ms FROM cx),
     w1 AS (SELECT *, min(CASE WHEN NOT ({KIND} IS NOT NULL OR rhythm = 'chord') THEN pos END) OVER (PARTITION BY seq_id, win) AS fo FROM w0 WHERE ms >= 2),
-    w2 AS (SELECT *, measure % 4 = 0 AND pos < coalesce(fo, 999) AS ldg FROM w1),
+    w2 AS (SELECT *, measure % 4 = 0 AND (fo IS NULL OR pos < fo) AS ldg FROM w1),
     hd AS (SELECT seq_id, win, max(staves) AS staves, {", ".join(f"coalesce(arg_max(a_{n}, pos) FILTER (ldg), arg_min(b_{n}, pos)) AS {n}" for n, _, _ in _STATE)} FROM w2 GROUP BY 1, 2)
     SELECT seq_id, win AS "window", ord, rhythm, position FROM (
       SELECT seq_id, win, -5 AS ord, clef_upper AS rhythm, 'upper' AS position FROM hd UNION ALL SELECT seq_id, win, -4, 'chord', '.' FROM hd WHERE staves = 2
@@ -304,13 +304,13 @@ def division_and_numerator(spark, sf):
 
 
 @query("ag24_leading_clefs", f"""WITH {B.EVT}, {_RM}, f AS (SELECT *, min(CASE WHEN measure = 0 AND regexp_matches(rhythm, '^(note|rest)') THEN pos END) OVER (PARTITION BY seq_id) AS fn FROM rm),
-    c AS (SELECT seq_id, count(*) FILTER (measure = 0 AND {_CLEF} AND pos < coalesce(fn, 999)) AS clefs FROM f GROUP BY 1)
+    c AS (SELECT seq_id, count(*) FILTER (measure = 0 AND {_CLEF} AND (fn IS NULL OR pos < fn)) AS clefs FROM f GROUP BY 1)
     SELECT seq_id, clefs, CASE WHEN clefs = 0 THEN 0 WHEN clefs >= 2 THEN 2 ELSE 1 END AS staffs, clefs >= 2 AS grand FROM c""")
 def leading_clefs(spark, sf):
     m = N.row_measures(B.evt(spark, sf))
     r = F.col("rhythm")
     first = F.min(F.when((F.col("measure") == 0) & T.is_sounding(r), F.col("pos"))).over(W.partitionBy("seq_id"))
-    hit = (F.col("measure") == 0) & r.startswith("clef") & (F.col("pos") < F.coalesce("_fn", F.lit(999)))
+    hit = (F.col("measure") == 0) & r.startswith("clef") & (F.col("_fn").isNull() | (F.col("pos") < F.col("_fn")))
     c = m.withColumn("_fn", first).groupBy("seq_id").agg(F.count_if(hit).alias("clefs"))
     return c.select("seq_id", "clefs", F.least("clefs", F.lit(2)).cast("int").alias("staffs"), (F.col("clefs") >= 2).alias("grand"))
 

@@ -136,10 +136,10 @@ def _next_map(now: Column, cells: Column) -> Column:
     )
 
 
-def staff_cells(lines: DataFrame, key: str = "score") -> DataFrame:
+def staff_cells(lines: DataFrame, key: str = "score", merged: bool = False) -> DataFrame:
     """(key, doc, part, parts, pos, cell): the text of one staff on one line, cells of its spines joined by blanks.
 
-    With exactly two staffs the upper one (the last spine) comes first.
+    With two staffs, and always where they are to be merged, the upper one (the last spine) comes first.
     """
     cells = F.split("line", "\t")
     manipulates = F.forall(cells, lambda c: c.startswith("**")) | F.array_contains(cells, "*^") | F.array_contains(cells, "*v")
@@ -155,15 +155,29 @@ def staff_cells(lines: DataFrame, key: str = "score") -> DataFrame:
 
     maps = moves.select(key, "doc", F.aggregate("_m", start, step).alias("_maps"))
     maps = maps.withColumn("parts", F.array_max(F.transform("_maps", lambda m: F.coalesce(F.array_max(m["map"]), F.lit(-1)))) + 1)
-    data = tagged.where("not _moves").join(maps, [key, "doc"])
-    in_force = F.element_at(F.filter("_maps", lambda m: m["line_no"] < F.col("line_no")), -1)["map"]
-    data = data.withColumn("_map", in_force).withColumn("_blank", F.trim("line") == "")
+    # the map in force on a line is the last one before it: a running frame over lines and maps together
+    changes = maps.select(key, "doc", "parts", F.explode("_maps").alias("_c")).select(
+        key, "doc", "_c.line_no", F.lit(None).cast("array<string>").alias("_cells"), F.lit(False).alias("_blank"),
+        F.col("_c.map").alias("_map"), "parts",
+    )
+    data = tagged.where("not _moves").select(
+        key, "doc", "line_no", "_cells", (F.trim("line") == "").alias("_blank"), F.lit(None).cast("array<int>").alias("_map"),
+        F.lit(None).cast("int").alias("parts"),
+    )
+    document = W.partitionBy(key, "doc")
+    running = document.orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    data = (
+        data.unionByName(changes)
+        .withColumns({"_map": F.last("_map", ignorenulls=True).over(running), "parts": F.max("parts").over(document)})
+        .where("_cells is not null and parts is not null")
+    )
     staffs = F.when(F.col("_blank"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
         F.array_distinct(F.slice("_map", F.lit(1), F.size("_cells")))
     )
     rows = data.withColumn("_staff", F.explode(staffs))
     own = F.filter(F.col("_cells"), lambda c, i: F.get(F.col("_map"), i) == F.col("_staff"))
-    part = F.when(F.col("parts") == 2, F.lit(1) - F.col("_staff")).otherwise(F.col("_staff"))
+    upwards = F.lit(merged) | (F.col("parts") == 2)
+    part = F.when(upwards, F.col("parts") - 1 - F.col("_staff")).otherwise(F.col("_staff"))
     return rows.select(key, "doc", part.alias("part"), "parts", F.col("line_no").alias("pos"), F.when(F.col("_blank"), F.lit("")).otherwise(F.array_join(own, " ")).alias("cell"))
 
 
@@ -175,7 +189,7 @@ def kern_tokens(texts: DataFrame, key: str = "score", merged: bool = False) -> D
     cannot be decoded is left out whole; see `kern_errors`.
     """
     ensure_checkpoint_dir(texts.sparkSession)
-    decoded = _decode(texts, key).checkpoint()  # read four times below; parsed once
+    decoded = _decode(texts, key, merged).checkpoint()  # read four times below; parsed once
     good = decoded.join(_faults(decoded, key).select(key), key, "left_anti")
     part_keys = [key, "part"]
     fields = V.TOKEN_FIELDS
@@ -191,7 +205,7 @@ def kern_tokens(texts: DataFrame, key: str = "score", merged: bool = False) -> D
         F.struct(F.lit("key").alias("kind"), F.lit("keySignature_0").alias("rhythm"), F.lit(".").alias("position")),
         F.struct(F.lit("time").alias("kind"), F.lit("timeSignature/4").alias("rhythm"), F.lit(".").alias("position")),
     ))
-    defaults = parts.select(*part_keys, "doc", default.alias("_d")).select(*part_keys, "doc", F.lit(-1).alias("line"), F.lit(-1).alias("slot"), "_d.*", F.lit(True).alias("_open"))
+    defaults = parts.select(*part_keys, "doc", default.alias("_d")).select(*part_keys, "doc", F.lit(-1).alias("line"), F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(-1).cast("bigint").alias("nth")).alias("slot"), "_d.*", F.lit(True).alias("_open"))
     signs = signs.select(*part_keys, "doc", "line", "slot", "kind", F.col("token.rhythm").alias("rhythm"), F.lit(".").alias("position"), "_open").unionByName(defaults)
     order = F.struct("line", "slot")
     latest = F.max(F.when(F.col("_open"), order)).over(W.partitionBy(*part_keys, "doc", "kind"))
@@ -226,9 +240,9 @@ def _collapse(tokens: DataFrame, group) -> DataFrame:
     return C.collapse_adjacent_keys(tokens.withColumnRenamed("pos", "_p").withColumnRenamed("ord", "pos"), tuple(group)).withColumnRenamed("pos", "ord").drop("_p")
 
 
-def _decode(texts: DataFrame, key: str) -> DataFrame:
+def _decode(texts: DataFrame, key: str, merged: bool = False) -> DataFrame:
     """One row per decoded cell entry: kind, line (shared by neighbouring control lines), slot, token, error."""
-    cells = staff_cells(split_documents(texts, key), key)
+    cells = staff_cells(split_documents(texts, key), key, merged)
     numbered = N.control_line_numbers(cells, F.col("cell").startswith("*"), (key, "part", "doc"))
     c = F.col("cell")
     kind = (
@@ -252,7 +266,7 @@ def _decode(texts: DataFrame, key: str) -> DataFrame:
         .when(F.col("kind") == "time", plain(time_token(e))).when(F.col("kind") == "clef", plain(clef_token(e)))
     )
     # slot keeps the order of lines that share a number, and of the notes on a line
-    slot = (F.col("pos") * 1000 + F.col("_i")).cast("int")
+    slot = F.struct(F.col("pos").cast("bigint").alias("at"), F.col("_i").cast("bigint").alias("nth"))
     return rows.select(key, "doc", "part", "line", slot.alias("slot"), "kind", "entry", token.alias("token"))
 
 
