@@ -33,10 +33,10 @@ from .common import cut, pieces_of, sorted_groups, texts_of
 WORD_BITS = 48
 WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 BEGIN, END = np.uint64(0), np.uint64(1)
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 SCORE_TOKENS = 1_000_000
 PAIRS_PER_BUCKET = 1 << 16
-BUCKETS_PER_FILE = 256
+BUCKETS_PER_FILE = 64
 WORD_SHARDS = 256
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SMALL = 255  # counts from here on are kept apart
@@ -176,7 +176,7 @@ def merge_pairs(batches: Iterator[pa.RecordBatch], folder: str, bits: int) -> It
         stats.append((v, np.stack([n, one, none, none, none, none])))  # count, continuations
         stats.append((unmixed(key, v), np.stack([none, none, n, ones, twos, more])))  # followers: total, with 1, 2, more
         held += 2 * len(n)
-        if held >= 2 * CHUNK_TOKENS:
+        if held >= CHUNK_TOKENS:
             yield from by_word()
             stats, held = [], 0
     close()
