@@ -21,6 +21,13 @@ def id_remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    while base in df.columns:
+        base = f"_{base}"
+    return base
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: later reads survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)

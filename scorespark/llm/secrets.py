@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -130,23 +132,30 @@ def find_secrets(
     Null texts have no spans. Rows may repeat and ids be null: each row is scanned on its own. Columns of any other name
     are passed through. An empty table gives no rows.
     """
+    return _scanned(docs, "_spans", rules, id_col, text_col)
+
+
+def _scanned(docs: DataFrame, name: str, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the spans as column ``name``."""
     found = candidates(postings(docs, rules, id_col, text_col), rules)
-    keyed = docs.withColumn("_key", text_key(id_col, text_col))
-    marked = keyed.join(found.select(F.col("key").alias("_key"), F.col("rules").alias("_rules")), "_key", "left")
+    key, hits = free_name(docs, "key_of_text"), free_name(docs, "rules_of_text")
+    keyed = docs.withColumn(key, text_key(id_col, text_col))
+    marked = keyed.join(found.select(F.col("key").alias(key), F.col("rules").alias(hits)), key, "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     empty = F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int>>")
     per_rule = [
-        F.when(F.coalesce(F.array_contains("_rules", r.kind), F.lit(False)), _spans_of(r, n, text)).otherwise(empty)
+        F.when(F.coalesce(F.array_contains(hits, r.kind), F.lit(False)), _spans_of(r, n, text)).otherwise(empty)
         if r.words else _spans_of(r, n, text)
         for n, r in enumerate(rules)
     ]
-    return marked.withColumn("_spans", F.sort_array(F.concat(*per_rule))).drop("_key", "_rules")
+    return marked.withColumn(name, F.sort_array(F.concat(*per_rule))).drop(key, hits)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``mark``, spans that overlap by one mark; columns stay as they are."""
-    found = find_secrets(docs, rules, id_col, text_col)
+    spans = free_name(docs, "spans")
+    found = _scanned(docs, spans, rules, id_col, text_col)
     state = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -155,10 +164,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         grown = F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
         return F.when((s["start"] >= acc["at"]) | (F.length(acc["done"]) == 0), fresh).otherwise(grown)
 
-    rest = F.aggregate("_spans", state, add, lambda acc: F.concat(
+    rest = F.aggregate(spans, state, add, lambda acc: F.concat(
         acc["done"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))
     ))
-    clean = F.when(F.size("_spans") > 0, rest).otherwise(F.col(text_col))
+    clean = F.when(F.size(spans) > 0, rest).otherwise(F.col(text_col))
     return found.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of, sorted_groups, texts_of
+from .common import cut, free_name, pieces_of, sorted_groups, texts_of
 from .components import component_roots
 
 RADIUS = 3
@@ -165,10 +165,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = near_duplicates(docs, id_col, text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = kept.select(F.col("doc_id").alias(key := free_name(docs, "kept")))
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
     content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     order = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(content)
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    nth = free_name(docs, "nth")
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
 
 
 def hex_digits(column: str) -> F.Column:
