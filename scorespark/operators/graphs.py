@@ -6,14 +6,13 @@ does not replay the loop. The greedy selections run per page, a bounded group, a
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from ..session import ensure_checkpoint_dir
+from . import layout as L
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -94,71 +93,79 @@ def exclusive_pairs(pairs: DataFrame, key: str) -> DataFrame:
     return _with_answer(packed, [key], udf, ["a", "b"], "_keep").where("_keep").select(*pairs.columns)
 
 
-def _undisputed(cx, cy, w, h, anchors) -> list[bool]:
-    kept: list[int] = []
-    for i in range(len(cx)):
-        hits = [o for o in kept if abs(cx[o] - cx[i]) <= (w[o] + w[i]) / 2 and abs(cy[o] - cy[i]) <= (h[o] + h[i]) / 2]
-        if not hits:
-            kept.append(i)
-        elif len(hits) == 1 and anchors[hits[0]] < anchors[i]:
-            kept.remove(hits[0])
-            kept.append(i)
-    chosen = set(kept)
-    return [i in chosen for i in range(len(cx))]
-
-
 def distinct_staffs(staffs: DataFrame, page: str) -> DataFrame:
     """In order of detection: a staff that overlaps one kept staff replaces it when it has more anchors; one that
-    overlaps two or more is dropped. staffs: page, box_id, cx, cy, w, h, anchors (axis-aligned boxes)."""
-    udf = F.pandas_udf(lambda *c: pd.Series([_undisputed(*row) for row in zip(*c)]), TY.ArrayType(TY.BooleanType()))
-    packed = _packed(staffs, [page], [F.col("box_id")])
-    return _with_answer(packed, [page], udf, ["cx", "cy", "w", "h", "anchors"], "_keep").where("_keep").select(*staffs.columns)
-
-
-def _chains(cx, cy, w, angle, unit) -> list[list[int]]:
-    """Chain numbers of each fragment (none for short ones); chains count from top to bottom."""
-    u = unit[0] if len(unit) else 1.0
-    slope = [math.tan(math.radians(a)) for a in angle]
-    chains: list[list[int]] = []
-    live: list[list[int]] = []
-    swept = 0.0
-    for i in range(len(cx)):
-        left = cx[i] - w[i] / 2
-        if left - swept > 5 * u:
-            live = [c for c in live if left - cx[c[-1]] - w[c[-1]] / 2 < 5 * u]
-            swept = left
-        if w[i] < u / 5:
-            continue
-        joined = False
-        for c in live:
-            lo, hi = (c[-1], i) if cx[c[-1]] <= cx[i] else (i, c[-1])
-            mid = (cx[lo] + cx[hi]) / 2
-            gap = max(mid - cx[lo] - w[lo] // 2, cx[hi] - mid - w[hi] // 2)
-            rise = (mid - cx[lo]) * slope[lo] + cy[lo] - ((mid - cx[hi]) * slope[hi] + cy[hi])
-            if gap <= 5 * u and abs(rise) <= u / 3:
-                c.append(i)
-                joined = True
-        if not joined:
-            chains.append([i])
-            live.append(chains[-1])
-    chains.sort(key=lambda c: (cy[c[0]], c[0]))
-    member: list[list[int]] = [[] for _ in range(len(cx))]
-    for number, chain in enumerate(chains):
-        for i in chain:
-            member[i].append(number)
-    return member
+    overlaps two or more is dropped. staffs: page, box_id (unique in a page), cx, cy, w, h, anchors (axis-aligned boxes).
+
+    The overlaps come from the grid join; the ordered step of a page sees ids and anchor counts only.
+    """
+    sides = staffs.select(page, "box_id", "cx", "cy", "w", "h")
+    overlaps = L.overlapping_pairs(sides, sides, page).where("b_box_id < a_box_id")
+    earlier = overlaps.groupBy(page, F.col("a_box_id").alias("box_id")).agg(F.collect_set("b_box_id").alias("earlier"))
+    listed = staffs.select(page, "box_id", "anchors").join(earlier, [page, "box_id"], "left")
+    kinds = {c: staffs.schema[c].dataType.simpleString() for c in ("box_id", "anchors")}
+    none = F.array().cast(f"array<struct<box_id:{kinds['box_id']},anchors:{kinds['anchors']}>>")
+
+    def step(kept: Column, staff: Column) -> Column:
+        rivals = F.filter(kept, lambda k: F.array_contains(staff["earlier"], k["box_id"]))
+        own = F.array(F.struct(staff["box_id"].alias("box_id"), staff["anchors"].alias("anchors")))
+        stronger = (F.size(rivals) == 1) & F.exists(rivals, lambda k: k["anchors"] < staff["anchors"])
+        return F.when((F.size(rivals) == 0) | stronger, F.concat(F.array_except(kept, rivals), own)).otherwise(kept)
+
+    walked = F.struct("box_id", "anchors", F.coalesce("earlier", F.array()).alias("earlier"))
+    packed = listed.groupBy(page).agg(F.array_sort(F.collect_list(walked)).alias("_staffs"))
+    kept = packed.select(page, F.explode(F.aggregate("_staffs", none, step)).alias("_k")).select(page, "_k.box_id")
+    return staffs.join(kept, [page, "box_id"], "left_semi").select(*staffs.columns)
 
 
 def chain_fragments(fragments: DataFrame, keys) -> DataFrame:
-    """Join line fragments from left to right into chains; a fragment joins every open chain it continues.
+    """Chains of line fragments from left to right: (keys, chain, box_id), chains numbered from top to bottom.
 
-    Output: keys, chain, box_id. Fragments shorter than a fifth of a unit are skipped.
+    A fragment is continued by the first later one (by left end, then id) that meets its prolongation: their facing ends
+    lie within ten units and their lines within a third of a unit half-way. A chain starts at each fragment that continues
+    none, so chains that meet share their tail. Fragments shorter than a fifth of a unit join no chain. Line ends are
+    swept at the first left end more than five units past the last sweep: what ended five units before is closed then.
+    ``unit`` is the same for all fragments of a key, box_id is unique there.
+
+    Candidates meet in x buckets as wide as two fragments of the key can lie apart.
     """
     keys = list(keys)
-    udf = F.pandas_udf(lambda *c: pd.Series([_chains(*row) for row in zip(*c)]), TY.ArrayType(TY.ArrayType(TY.IntegerType())))
-    needed = fragments.select(*keys, "box_id", "cx", "cy", "w", "angle", "unit")
-    packed = _packed(needed, keys, [F.col("cx") - F.col("w") / 2, F.col("box_id")])
-    return _with_answer(packed, keys, udf, ["cx", "cy", "w", "angle", "unit"], "chains").select(*keys, F.explode("chains").alias("chain"), "box_id")
+    row = F.struct((F.col("cx") - F.col("w") / 2).alias("at"), "box_id", "cx", "cy", "w", F.tan(F.radians("angle")).alias("slope"), "unit")
+    lanes = fragments.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_f"), F.max(F.col("w") + 10 * F.col("unit")).alias("_reach"))
+    never = F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("swept"), F.array().cast("array<double>").alias("all"))
+
+    def sweep(acc: Column, f: Column) -> Column:
+        due = f["at"] - acc["at"] > 5 * f["unit"]
+        swept = F.when(due, f["at"]).otherwise(acc["swept"])
+        return F.struct(F.when(due, f["at"]).otherwise(acc["at"]).alias("at"), swept.alias("swept"), F.array_append(acc["all"], swept).alias("all"))
+
+    swept = F.aggregate("_f", never, sweep, lambda acc: acc["all"])
+    rows = lanes.select(*keys, "_reach", F.posexplode(F.arrays_zip(F.col("_f").alias("f"), swept.alias("swept"))).alias("i", "_z"))
+    numbered = rows.select(*keys, "i", "_z.f.*", "_z.swept", F.floor(F.col("_z.f.cx") / F.col("_reach")).alias("_b"))
+    numbered = numbered.withColumn("long", F.col("w") >= F.col("unit") / 5)
+
+    used = numbered.where("long")
+    ends = used.select(*keys, "_b", *[F.col(c).alias("e_" + c) for c in ("i", "cx", "cy", "w", "slope", "unit")])
+    nexts = used.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("_b") + d)))
+    half = (F.col("cx") - F.col("e_cx")) / 2
+    rise = half * F.col("e_slope") + F.col("e_cy") - (F.col("cy") - half * F.col("slope"))
+    closed = F.coalesce(F.col("swept") - F.col("e_cx") - F.col("e_w") / 2 >= 5 * F.col("unit"), F.lit(False))
+    met = (F.abs(half) - F.floor(F.least("w", "e_w") / 2) <= 5 * F.col("unit")) & (F.abs(rise) <= F.col("unit") / 3) & ~closed
+    links = ends.join(nexts, [*keys, "_b"]).where((F.col("i") > F.col("e_i")) & met).groupBy(*keys, "e_i").agg(F.min("i").alias("i"))
+    before = links.groupBy(*keys, "i").agg(F.sort_array(F.collect_list("e_i")).alias("before"))
+
+    item = F.struct("i", "box_id", "cy", "long", F.coalesce("before", F.array().cast("array<int>")).alias("before"))
+    walks = numbered.select(*keys, "i", "box_id", "cy", "long").join(before, [*keys, "i"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_f"))
+
+    def heads(acc: Column, f: Column) -> Column:
+        carried = F.flatten(F.transform(f["before"], lambda e: F.element_at(acc, e + 1)))
+        return F.array_append(acc, F.when(F.size(f["before"]) == 0, F.array(f["i"])).otherwise(carried))
+
+    starts = F.array_sort(F.transform(F.filter("_f", lambda f: f["long"] & (F.size(f["before"]) == 0)), lambda f: F.struct(f["cy"].alias("cy"), f["i"].alias("i"))))
+    heads_of = F.aggregate("_f", F.array().cast("array<array<int>>"), heads)
+    members = walks.select(*keys, starts.getField("i").alias("_starts"), F.explode(F.arrays_zip(F.col("_f").alias("f"), heads_of.alias("heads"))).alias("_z")).where("_z.f.long")
+    members = members.select(*keys, "_starts", F.col("_z.f.box_id").alias("box_id"), F.explode("_z.heads").alias("_head"))
+    return members.select(*keys, (F.array_position("_starts", F.col("_head")) - 1).cast("int").alias("chain"), "box_id")
 
 
 def _voices(start, stop) -> list[int]:
@@ -179,35 +186,43 @@ def colour_intervals(events: DataFrame, keys) -> DataFrame:
     return _with_answer(packed, list(keys), udf, ["start", "stop"], "voice")
 
 
-def _repaired(points, unit: float) -> list[list[float] | None]:
-    previous, out = None, []
-    for point in points:
-        ys = [None if y is None or y != y else float(y) for y in point]
-        known = [y for y in ys if y is not None]
-        for i, (a, b) in enumerate(zip(known, known[1:])):
-            if b - a < 0.5 * unit:
-                ys[i] = ys[i + 1] = None
-        if previous is not None:
-            ys = [None if y is not None and abs(y - p) > 0.5 * unit else y for y, p in zip(ys, previous)]
-        source, n = -1, len(ys)
-        for i in [*range(n), *range(n - 1, -1, -1)]:
-            if ys[i] is not None:
-                source = i
-            elif source >= 0:
-                ys[i] = ys[source] + unit * (i - source)
-        whole = bool(known) and all(y is not None for y in ys)
-        previous = ys if whole else previous
-        out.append(ys if whole else None)
-    return out
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def fill_staff_lines(points: DataFrame, keys, unit: float) -> DataFrame:
     """Repair missing or jumping line heights along a staff, walking in x.
 
     points: keys, x, ys (array with NULL for a line not seen). Lines closer than half a unit to the next, or moved by
-    more than half a unit since the last point, are dropped and refilled from the nearest known line.
+    more than half a unit since the last whole point, are dropped; gaps are refilled from the nearest line to the left, or
+    else the first one. A point without any line left is dropped. Neighbours are counted among the lines seen, and
+    their count marks the place to drop.
     """
-    udf = F.pandas_udf(lambda s: s.map(lambda p: _repaired(p, unit)), TY.ArrayType(TY.ArrayType(TY.DoubleType())))
-    packed = _packed(points.select(*keys, "x", "ys"), list(keys), [F.col("x")])
-    out = _with_answer(packed, list(keys), udf, ["ys"], "_filled").where("_filled is not null")
-    return out.select(*keys, "x", F.col("_filled").alias("ys"))
+    apart = unit / 2
+    ys = F.transform("ys", lambda y: F.when(~F.isnan(y), y.cast("double")))
+    seen = F.filter("_ys", lambda y: y.isNotNull())
+    close = F.transform("_seen", lambda y, i: F.coalesce(F.get("_seen", i + 1) - y < apart, F.lit(False)))
+    tight = lambda i: F.coalesce(F.get("_close", i), F.lit(False)) | F.coalesce(F.get("_close", i - 1), F.lit(False))
+    clear = F.transform("_ys", lambda y, i: F.when(~tight(i), y))
+    rows = points.select(*keys, "x", ys.alias("_ys")).withColumn("_seen", seen).withColumn("_close", close).select(*keys, "x", clear.alias("ys"))
+    walks = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "ys"))).alias("_p"))
+
+    def filled(steady: Column, places: Column) -> Column:
+        def at(y: Column, i: Column) -> Column:
+            source = F.coalesce(F.array_max(F.filter(places, lambda p: p <= i)), F.array_min(places))
+            return F.coalesce(y, _let(source, lambda p: F.get(steady, p) + unit * (i - p)))
+
+        return F.transform(steady, at)
+
+    def step(acc: Column, point: Column) -> Column:
+        last = acc["last"]
+        steady = F.transform(point["ys"], lambda y, i: F.when(last.isNull() | (F.abs(y - F.get(last, i)) <= apart), y))
+        places = lambda s: F.filter(F.transform(s, lambda y, i: F.when(y.isNotNull(), i)), lambda p: p.isNotNull())
+        whole = _let(steady, lambda s: _let(places(s), lambda p: F.when(F.size(p) > 0, filled(s, p))))
+        return _let(whole, lambda w: F.struct(F.coalesce(w, last).alias("last"), F.array_append(acc["all"], w).alias("all")))
+
+    start = F.struct(F.lit(None).cast("array<double>").alias("last"), F.array().cast("array<array<double>>").alias("all"))
+    out = F.aggregate("_p", start, step, lambda acc: acc["all"])
+    zipped = walks.select(*keys, F.explode(F.arrays_zip(F.col("_p.x").alias("x"), out.alias("ys"))).alias("_z"))
+    return zipped.select(*keys, "_z.x", "_z.ys").where("ys is not null")
