@@ -298,9 +298,13 @@ def order_inversion(spark, sf):
 # ---- fragments, anchors, staffs ------------------------------------------------------------------------------------
 
 
+FR = """fr AS (SELECT page, box_id * 5 + g.n AS box_id, cx, cy + (g.n - 2) * 10 AS cy, tan(radians(kind * 0.5)) AS slope, row_number() OVER (PARTITION BY page ORDER BY cx - 30, box_id * 5 + g.n) AS i
+      FROM box, (SELECT unnest(range(5)) AS n) g)"""
+
+
 def fragments(spark, sf):
-    """Every box of kind 0 to 6 gives five line fragments, ten apart; the unit of a page is ten."""
-    b = kinds(boxes(spark, sf), 0, 6)
+    """Every box gives five line fragments, ten apart; the unit of a page is ten."""
+    b = boxes(spark, sf)
     i = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")
     return b.select("page", "box_id", "cx", "cy", "kind", i).select(
         "page", (F.col("box_id") * 5 + F.col("i")).alias("box_id"), "cx", (F.col("cy") + (F.col("i") - 2) * 10).alias("cy"), F.lit(60.0).alias("w"), F.lit(2.0).alias("h"),
@@ -308,7 +312,14 @@ def fragments(spark, sf):
     )
 
 
-@query("sq14_fragment_chains")
+@query("sq14_fragment_chains", f"""WITH RECURSIVE {B.BOX}, {FR},
+    sw AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS swept, false AS any_sweep FROM fr UNION ALL
+      SELECT fr.page, fr.i, CASE WHEN cx - 30 - swept > 50 THEN cx - 30 ELSE swept END, any_sweep OR cx - 30 - swept > 50 FROM sw JOIN fr ON fr.page = sw.page AND fr.i = sw.i + 1),
+    nx AS (SELECT a.page, a.i, min(b.i) AS nxt FROM fr a JOIN fr b ON a.page = b.page AND a.i < b.i JOIN sw ON sw.page = b.page AND sw.i = b.i
+      WHERE NOT (any_sweep AND swept - a.cx - 30 >= 50) AND abs(b.cx - a.cx) / 2 - 30 <= 50 AND abs((b.cx - a.cx) / 2 * (a.slope + b.slope) + a.cy - b.cy) <= 10 / 3.0 GROUP BY 1, 2),
+    hd AS (SELECT fr.page, fr.i, CAST(row_number() OVER (PARTITION BY fr.page ORDER BY cy, fr.i) - 1 AS INTEGER) AS chain FROM fr LEFT JOIN (SELECT DISTINCT page, nxt FROM nx) k ON k.page = fr.page AND k.nxt = fr.i WHERE k.nxt IS NULL),
+    pa AS (SELECT * FROM hd UNION ALL SELECT pa.page, nx.nxt, pa.chain FROM pa JOIN nx ON nx.page = pa.page AND nx.i = pa.i)
+    SELECT pa.page, chain, box_id FROM pa JOIN fr ON fr.page = pa.page AND fr.i = pa.i""")
 def fragment_chains(spark, sf):
     return GR.chain_fragments(fragments(spark, sf), ["page"])
 
@@ -396,7 +407,14 @@ def connected_components(spark, sf):
     return GR.connected_components(b.select(F.col("box_id").alias("node")), edges)
 
 
-@query("so10_distinct_staffs")
+@query("so10_distinct_staffs", f"""WITH RECURSIVE {BX}, rn AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY box_id) AS i FROM bx),
+    ov AS (SELECT a.page, a.i, list(b.i) AS near FROM rn a JOIN rn b ON {HIT} AND b.i < a.i GROUP BY 1, 2),
+    st AS (SELECT rn.page, rn.i, rn.kind, coalesce(near, CAST([] AS BIGINT[])) AS near FROM rn LEFT JOIN ov ON ov.page = rn.page AND ov.i = rn.i),
+    w AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, n BIGINT)[]) AS kept FROM st UNION ALL
+      SELECT page, i, CASE WHEN len(r) = 0 THEN list_append(kept, {{'i': i, 'n': kind}}) WHEN len(r) = 1 AND r[1].n < kind THEN list_append([k FOR k IN kept IF k.i <> r[1].i], {{'i': i, 'n': kind}}) ELSE kept END
+      FROM (SELECT st.page, st.i, CAST(st.kind AS BIGINT) AS kind, kept, [k FOR k IN kept IF list_contains(near, k.i)] AS r FROM w JOIN st ON st.page = w.page AND st.i = w.i + 1)),
+    f AS (SELECT page, arg_max([k.i FOR k IN kept], i) AS kept FROM w GROUP BY 1)
+    SELECT rn.page, box_id, cx, cy, w, h, kind AS anchors FROM rn JOIN f ON f.page = rn.page AND list_contains(kept, rn.i)""")
 def distinct_staffs(spark, sf):
     b = boxes(spark, sf).select("page", "box_id", "cx", "cy", "w", "h", F.col("kind").alias("anchors"))
     return GR.distinct_staffs(b, "page")
@@ -426,7 +444,11 @@ def timed_events(spark, sf):
     )
 
 
-@query("sq16_interval_colouring")
+@query("sq16_interval_colouring", f"""WITH RECURSIVE {B.EVT}, {EV16}, rn AS (SELECT *, row_number() OVER (PARTITION BY measure, staff ORDER BY start, stop, ev_id) AS i FROM ev),
+    w AS (SELECT DISTINCT measure, staff, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(e BIGINT, v BIGINT)[]) AS run, CAST(0 AS BIGINT) AS voice FROM rn UNION ALL
+      SELECT measure, staff, i, list_append(busy, {{'e': stop, 'v': v}}), v FROM (SELECT *, list_min([x FOR x IN range(1, len(busy) + 2) IF NOT list_contains([b.v FOR b IN busy], x)]) AS v
+        FROM (SELECT w.measure, w.staff, rn.i, CAST(rn.stop AS BIGINT) AS stop, [r FOR r IN run IF r.e > rn.start] AS busy FROM w JOIN rn ON rn.measure = w.measure AND rn.staff = w.staff AND rn.i = w.i + 1)))
+    SELECT rn.measure, rn.staff, ev_id, start, stop, CAST(voice AS INTEGER) AS voice FROM w JOIN rn ON rn.measure = w.measure AND rn.staff = w.staff AND rn.i = w.i""")
 def interval_colouring(spark, sf):
     return GR.colour_intervals(timed_events(spark, sf), ["measure", "staff"])
 
@@ -441,10 +463,14 @@ def voices_needed(spark, sf):
     return coloured.withColumn("_c", clash).groupBy("measure", "staff").agg(F.max("voice").cast("bigint").alias("voices"), F.sum("_c").alias("clashes"))
 
 
-@query("wn20_line_repair")
+@query("wn20_line_repair", f"""WITH RECURSIVE {B.BOX}, pt AS (SELECT page, cx AS x, [CASE WHEN (box_id + i) % 4 <> 0 THEN i * CAST(10 AS DOUBLE) + cy / 100 END FOR i IN [0, 1, 2, 3, 4]] AS ys, row_number() OVER (PARTITION BY page ORDER BY cx) AS n FROM box),
+    w AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE[]) AS prev, CAST(NULL AS DOUBLE[]) AS ys FROM pt UNION ALL
+      SELECT page, n, coalesce(filled, prev), filled FROM (SELECT page, n, prev, CASE WHEN len(seen) > 0 THEN [coalesce(st[i], st[coalesce(list_max([s FOR s IN seen IF s <= i]), seen[1])] + 10 * (i - coalesce(list_max([s FOR s IN seen IF s <= i]), seen[1]))) FOR i IN [1, 2, 3, 4, 5]] END AS filled
+        FROM (SELECT *, [i FOR i IN [1, 2, 3, 4, 5] IF st[i] IS NOT NULL] AS seen FROM (SELECT pt.page, pt.n, prev, [CASE WHEN prev IS NULL OR abs(pt.ys[i] - prev[i]) <= 5 THEN pt.ys[i] END FOR i IN [1, 2, 3, 4, 5]] AS st FROM w JOIN pt ON pt.page = w.page AND pt.n = w.n + 1))))
+    SELECT pt.page, x, w.ys FROM w JOIN pt ON pt.page = w.page AND pt.n = w.n WHERE w.ys IS NOT NULL""")
 def line_repair(spark, sf):
     """Staff points of a page with some lines not seen."""
-    b = kinds(boxes(spark, sf), 0, 5)
+    b = boxes(spark, sf)
     lines = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when((F.col("box_id") + i) % 4 != 0, i * 10.0 + F.col("cy") / 100))
     return GR.fill_staff_lines(b.select("page", F.col("cx").alias("x"), lines.alias("ys")), ["page"], 10.0)
 
