@@ -277,22 +277,30 @@ def truth_prediction_join(spark, sf):
     return A.attach_predictions(truth, out, "sample_id", "output").select("sample_id", "error", "expected_chars")
 
 
+# Tokens of a pair of files as characters, in the way of the turns above.
 _FILES = """
 files AS (SELECT seq_id, seq_id // 4 AS folder, sum(k) % 4 = 0 AS is_ref,
-  string_agg(chr(CAST(48 + k % 40 AS INTEGER)), '' ORDER BY pos) FILTER (regexp_matches(rhythm, '^(note|rest)')) AS s0 FROM evt GROUP BY 1),
-f1 AS (SELECT * REPLACE (coalesce(s0, '') AS s0), count(*) FILTER (is_ref) OVER (PARTITION BY folder) AS refs FROM files),
-pairs AS (SELECT a.folder, a.seq_id, b.seq_id AS other, levenshtein(b.s0, a.s0) AS diff FROM f1 a JOIN f1 b
+  list(concat_ws(' ', rhythm, pitch, lift, articulation, slur, position) ORDER BY pos) FILTER (regexp_matches(rhythm, '^(note|rest)')) AS s0 FROM evt GROUP BY 1),
+f1 AS (SELECT * REPLACE (coalesce(s0, CAST([] AS VARCHAR[])) AS s0), count(*) FILTER (is_ref) OVER (PARTITION BY folder) AS refs FROM files),
+f2 AS (SELECT a.folder, a.seq_id, b.seq_id AS other, a.s0 AS x, b.s0 AS y, list_intersect(a.s0, b.s0) AS sh FROM f1 a JOIN f1 b
   ON a.folder = b.folder AND a.seq_id <> b.seq_id WHERE a.refs <> 1 OR (b.is_ref AND NOT a.is_ref)),
+pairs AS (SELECT folder, seq_id, other, levenshtein(
+  array_to_string([CASE WHEN list_contains(sh, t) THEN chr(CAST(35 + list_position(sh, t) AS INTEGER)) ELSE '!' END FOR t IN y], ''),
+  array_to_string([CASE WHEN list_contains(sh, t) THEN chr(CAST(35 + list_position(sh, t) AS INTEGER)) ELSE '"' END FOR t IN x], '')) AS diff FROM f2),
 best AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY diff, other) AS r FROM pairs)"""
 
 
 @query("jn15_nearest_in_group", f"""WITH {B.EVT}, {_FILES} SELECT folder, seq_id, other, CAST(diff AS INTEGER) AS diff FROM best WHERE r = 1""")
 def nearest_in_group(spark, sf):
-    """Each file against its closest other file of the folder, or against the one reference. Folders hold four files."""
+    """Each file against its closest other file of the folder, or against the one reference. Folders hold four files.
+
+    Whole tokens of notes and rests are compared, all six fields of them.
+    """
     t = B.evt(spark, sf)
+    token = F.concat_ws(" ", *V.TOKEN_FIELDS)
     files = t.groupBy("seq_id").agg(
         F.array_sort(
-            F.collect_list(F.when(T.is_sounding(F.col("rhythm")), F.struct("pos", (F.col("k") % 40).cast("string").alias("t"))))
+            F.collect_list(F.when(T.is_sounding(F.col("rhythm")), F.struct("pos", token.alias("t"))))
         ).getField("t").alias("notes"),
         (F.sum("k") % 4 == 0).alias("is_ref"),
     ).withColumn("folder", F.expr("seq_id div 4"))

@@ -12,7 +12,7 @@ from ..operators import series as SE
 from ..operators import windows as N
 from . import bindings as B
 from .registry import query
-from .sequence_queries import MEASURES, TICKS, tick_sql
+from .sequence_queries import CHORDS, MEASURES, TICKS, tick_sql
 
 FIELDS = ", ".join(V.TOKEN_FIELDS)
 KIND = "CASE WHEN starts_with(rhythm, 'clef') THEN 'clef' WHEN starts_with(rhythm, 'key') THEN 'key' WHEN starts_with(rhythm, 'time') THEN 'time' END"
@@ -205,8 +205,8 @@ def stride_pairing(spark, sf):
     return N.pair_in_stride(m, 3, 1)
 
 
-@query("sq06_two_staff_merge", f"""WITH {B.EVT}, o AS (SELECT *, pos // 4 AS onset, CASE WHEN contains(rhythm, 'barline') OR contains(rhythm, 'repeat') THEN 0 WHEN starts_with(rhythm, 'clef') THEN 1
-      WHEN starts_with(rhythm, 'key') THEN 2 WHEN starts_with(rhythm, 'time') THEN 3 ELSE 4 END AS rank FROM evt WHERE rhythm <> 'chord'),
+@query("sq06_two_staff_merge", f"""WITH {CHORDS}, o AS (SELECT *, chord_id // 2 AS onset, CASE WHEN contains(rhythm, 'barline') OR contains(rhythm, 'repeat') THEN 0 WHEN starts_with(rhythm, 'clef') THEN 1
+      WHEN starts_with(rhythm, 'key') THEN 2 WHEN starts_with(rhythm, 'time') THEN 3 ELSE 4 END AS rank FROM chords),
     d AS (SELECT *, row_number() OVER (PARTITION BY seq_id, onset, rank, {FIELDS} ORDER BY pos) AS cp FROM o),
     u AS (SELECT *, row_number() OVER (PARTITION BY seq_id, onset, rank ORDER BY pos) > 1 AND rank IN (1, 4) AS glued,
       row_number() OVER (PARTITION BY seq_id ORDER BY onset DESC, rank DESC, pos DESC) = 1 AS fin FROM d WHERE cp = 1 OR rank IN (1, 4))
@@ -215,7 +215,8 @@ def stride_pairing(spark, sf):
       UNION ALL SELECT seq_id, onset, rank, pos, 1, CASE WHEN fin AND rhythm = 'repeatEndStart' THEN 'repeatEnd' ELSE rhythm END, pitch FROM u
       UNION ALL SELECT seq_id, onset, rank, pos, 2, 'barline', '.' FROM u WHERE fin AND NOT (contains(rhythm, 'barline') OR starts_with(rhythm, 'repeat'))) x""")
 def two_staff_merge(spark, sf):
-    rows = B.evt(spark, sf).where("rhythm <> 'chord'").withColumn("onset", F.expr("pos div 4").cast("int"))
+    """Every token: chord markers are folded first, and two chords in turn share an onset."""
+    rows = C.group_chords(B.evt(spark, sf)).withColumn("onset", F.expr("chord_id div 2").cast("int"))
     return N.merge_staves(rows).select("seq_id", "onset", "rank", "pos", "slot", "rhythm", "pitch")
 
 
@@ -260,14 +261,14 @@ def periodic_core(spark, sf):
     return N.periodic_core(rows.groupBy("page").agg(layout.alias("layout")), "layout")
 
 
-@query("sq17_grand_staff_split", f"""WITH {B.EVT}, r AS (SELECT seq_id, pos, CAST(user_id % 3 AS INTEGER) AS part, CASE position WHEN 'upper' THEN 1 WHEN 'lower' THEN 2 END AS staff FROM evt WHERE rhythm <> 'rest_2m'),
+@query("sq17_grand_staff_split", f"""WITH {B.EVT}, r AS (SELECT seq_id, pos, CAST(user_id % 3 AS INTEGER) AS part, CASE position WHEN 'upper' THEN 1 WHEN 'lower' THEN 2 END AS staff FROM evt),
     w AS (SELECT *, coalesce(bool_or(staff = 2) OVER (PARTITION BY seq_id, part), false) AS two FROM r),
     x AS (SELECT *, 1 AS s FROM w WHERE NOT two UNION ALL SELECT *, staff FROM w WHERE two AND staff IS NOT NULL UNION ALL
       SELECT *, 1 FROM w WHERE two AND staff IS NULL UNION ALL SELECT *, 2 FROM w WHERE two AND staff IS NULL)
     SELECT seq_id, pos, part, CAST(dense_rank() OVER (PARTITION BY seq_id ORDER BY part, s) AS INTEGER) AS new_part FROM x""")
 def grand_staff_split(spark, sf):
     staff = F.when(F.col("position") == "upper", F.lit(1)).when(F.col("position") == "lower", F.lit(2))
-    rows = B.evt(spark, sf).where("rhythm <> 'rest_2m'").select(
+    rows = B.evt(spark, sf).select(
         "seq_id", "pos", (F.col("user_id") % 3).cast("int").alias("part"), staff.alias("staff")
     )
     return N.split_grand_staff(rows).select("seq_id", "pos", "part", "new_part")
