@@ -15,12 +15,17 @@ from ..session import ensure_checkpoint_dir
 from . import layout as L
 
 
+#: Keys over which a label is spread when its nodes look up where it leads.
+SALTS = 16
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node id reachable. nodes: node; edges: src, dst in any direction.
 
     Rounds of large-star / small-star style hooking: every node takes the least label around it, then jumps to the label of its
     label. The number of rounds grows with the logarithm of the component diameter. Every step aggregates with
-    map-side combine, so a node with very many edges is no hot spot.
+    map-side combine, so a node with very many edges is no hot spot. Labels that jump on are looked up once each and
+    salted, so the one label that most nodes of a giant component share is spread over ``SALTS`` keys.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -31,9 +36,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hooked = labels.join(around, labels.node == around.src, "left").select(
             "node", F.least("label", F.coalesce("near", "label")).alias("hook"), "label"
         )
-        target = hooked.select(F.col("node").alias("hook"), F.col("hook").alias("jump"))
-        jumped = hooked.join(target, "hook").select("node", F.least("hook", "jump").alias("label"), F.col("label").alias("old"))
-        jumped = jumped.checkpoint()
+        target = hooked.select(F.col("node").alias("hook"), F.col("hook").alias("jump")).where("jump < hook")
+        jumps = hooked.select("hook").distinct().join(target, "hook").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = hooked.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(jumps, ["hook", "_salt"], "left")
+        jumped = salted.select("node", F.coalesce("jump", "hook").alias("label"), F.col("label").alias("old")).checkpoint()
         changed = not jumped.where("label <> old").isEmpty()
         labels = jumped.select("node", "label")
         if not changed:
