@@ -384,7 +384,7 @@ def remove_tuplet(spark, sf):
 
 @query("sf04_diatonic_step", f"WITH {B.EVT} SELECT seq_id, pos, {step_sql('pitch')} AS step FROM evt")
 def diatonic_step(spark, sf):
-    return B.evt(spark, sf).select("seq_id", "pos", T.diatonic_step(F.col("pitch")).alias("step"))
+    return B.evt(spark, sf).select("seq_id", "pos", T.diatonic_step(F.col("pitch")).cast("bigint").alias("step"))
 
 
 _KEYS = list(V.KEY_FIFTHS) + ["HM"]

@@ -562,18 +562,22 @@ def neighbours(spark, sf):
     return B.boxes(spark, sf).select("page", "box_id", F.lag("box_id").over(w).alias("previous"), F.lead("box_id").over(w).alias("next"))
 
 
+def with_long_ends(zones):
+    return zones.withColumns({c: F.col(c).cast("bigint") for c in ("start", "stop")})
+
+
 @query("wn22_interval_merge", f"""WITH {B.IV}, n AS (SELECT *, CASE WHEN start < lag(stop) OVER w THEN 0 ELSE 1 END AS nw FROM iv WINDOW w AS (PARTITION BY line ORDER BY start, iv_id)),
     z AS (SELECT *, sum(nw) OVER (PARTITION BY line ORDER BY start, iv_id) AS zone FROM n)
     SELECT line, CAST(zone AS BIGINT) AS zone, min(start) AS start, last(stop ORDER BY start, iv_id) AS stop, count(*) AS n FROM z GROUP BY line, zone""")
 def interval_merge(spark, sf):
-    return L.merge_intervals(B.intervals(spark, sf), ["line"])
+    return with_long_ends(L.merge_intervals(B.intervals(spark, sf), ["line"]))
 
 
 @query("wn22_interval_union", f"""WITH {B.IV}, n AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY line ORDER BY start, iv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM iv),
     z AS (SELECT *, sum(nw) OVER (PARTITION BY line ORDER BY start, iv_id) AS zone FROM n)
     SELECT line, CAST(zone AS BIGINT) AS zone, min(start) AS start, max(stop) AS stop, count(*) AS n FROM z GROUP BY line, zone""")
 def interval_union(spark, sf):
-    return L.merge_intervals(B.intervals(spark, sf), ["line"], end_is_last=False)
+    return with_long_ends(L.merge_intervals(B.intervals(spark, sf), ["line"], end_is_last=False))
 
 
 @query("wn23_rank_groups", f"""WITH {B.BOX}, g AS (SELECT page, box_id, cy, count(*) OVER p AS n, row_number() OVER (PARTITION BY page, kind ORDER BY cy, box_id) - 1 AS r, kind FROM box WINDOW p AS (PARTITION BY page, kind))

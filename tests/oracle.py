@@ -52,7 +52,7 @@ def compare(spark, con, sf_dir, name, fn, sql):
     rows = [tuple(r) for r in df.collect()]
     took = time.time() - start
     if sql is None:
-        return True, f"rows-only {len(rows)} rows {took:.1f}s"
+        return bool(rows), f"rows-only {len(rows)} rows {took:.1f}s"
     res = con.execute(sql)
     want_names = [d[0] for d in res.description]
     want_types = {d[0]: str(d[1]) for d in res.description}
@@ -69,7 +69,7 @@ def compare(spark, con, sf_dir, name, fn, sql):
         if good and d not in good:
             note += f" type[{c}: {s} vs {d}]"
     if a == b:
-        return True, f"{len(rows)} rows {took:.1f}s{note}"
+        return not note, f"{len(rows)} rows {took:.1f}s{note}"
     only_a = [x for x in a if x not in set(b)][:3]
     only_b = [x for x in b if x not in set(a)][:3]
     return False, f"{len(a)} vs {len(b)} rows\n   cols {sorted(df.columns)}\n   spark {only_a}\n   duck  {only_b}"
