@@ -34,6 +34,18 @@ class Rule:
         return [[w[i : i + 3] for i in range(len(w) - 2)] for w in self.words]
 
 
+# A private key from its BEGIN line to its END line. Where the END line is missing: the header lines of an encrypted key and
+# the base64 runs that follow, the last of them shorter. Possessive throughout, so that long keys need no deep stack.
+_GAP = r"(?:\s|\\[nr])"
+_KEY_LINES = (
+    rf"(?:{_GAP}*+(?:Proc-Type:\x20?\S++|DEK-Info:\x20?\S++|[A-Za-z0-9+/]{{20,}}+={{0,2}}+))++"
+    rf"(?:(?:\r\n|{_GAP})(?=[A-Za-z0-9+/]*+=|[A-Za-z]*+[0-9+/]|[A-Za-z]*?[a-z][A-Z])[A-Za-z0-9+/]++={{0,2}}+)?+"
+)
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rf"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----|{_KEY_LINES})?+"
+)
+
 # Fixed values of the base rules, then further token shapes.
 RULES = (
     Rule(
@@ -44,7 +56,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", ("AKIA",), 0, 18),
     Rule("hex", r"[0-9a-f]+", (), 0, 16),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), 0, 24),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("-----BEGIN ", "PRIVATE KEY-----"), 0, 27),
+    Rule("pem", PRIVATE_KEY, ("-----BEGIN ", "PRIVATE KEY-----"), 0, 27),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), 0, 16),
 )
 BASE_KINDS = ("assign", "access", "hex")
