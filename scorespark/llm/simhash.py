@@ -140,6 +140,15 @@ def links(distinct: DataFrame) -> DataFrame:
     )
 
 
+def _least_of_class(least: DataFrame) -> DataFrame:
+    """(fp, least), one row per fingerprint, with ``least`` replaced by the least one of the fingerprint's class."""
+    least = cut(least)
+    linked = component_roots(links(least)).join(least.withColumnRenamed("fp", "node"), "node")
+    classes = linked.groupBy("root").agg(F.min("least").alias("of_class"))
+    linked = linked.join(classes, "root").select(F.col("node").alias("fp"), "of_class")
+    return least.join(linked, "fp", "left").select("fp", F.coalesce("of_class", "least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id) for every row of ``docs``.
 
@@ -149,28 +158,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     besides id and text are not read. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = component_roots(links(least))
-    linked = roots.join(least.select(F.col("fp").alias("node"), "least_id"), "node")
-    classes = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = linked.join(classes, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = _least_of_class(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return fps.join(by_fp.withColumnRenamed("least", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: the one with the least id (rows that repeat an id and fingerprint: the first by content).
+    """One row of each class: the one with the least id, of rows that repeat it the first by content.
 
-    Columns are those of ``docs``. Rows without an id are kept once per fingerprint if their class has no id at all.
+    Columns are those of ``docs``. A row without an id is kept only if its class has no id at all. Rows are told apart by two
+    hashes of their columns, so that an id that is repeated with other texts stands for each of its classes.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias(key := free_name(docs, "kept")))
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    order = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(content)
-    nth = free_name(docs, "nth")
-    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    columns = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    keys = F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
+    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), keys[0].alias("a"), keys[1].alias("b"))
+    rows = fingerprints(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    kept = _least_of_class(least).select("least.a", "least.b").distinct()
+    a, b, nth = (free_name(docs, c) for c in ("key_a", "key_b", "nth"))
+    keyed = docs.withColumn(a, keys[0]).withColumn(b, keys[1])
+    found = keyed.join(kept.select(F.col("a").alias(a), F.col("b").alias(b)), [a, b], "left_semi")
+    order = Window.partitionBy(a, b).orderBy(a)  # what is left to number are rows that are equal in every column
+    return found.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex_digits(column: str) -> F.Column:

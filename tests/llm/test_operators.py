@@ -144,6 +144,21 @@ def test_simhash_awkward(spark):
     assert simhash.near_duplicates(helpers.empty(spark)).collect() == []
 
 
+def test_keep_first_keeps_one_row_of_every_class(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400))
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, near(a)), (None, b), (None, c), (None, near(c)), (None, d), (9, d), (None, None), (None, None)]
+    docs = helpers.corpus(spark, rows)
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    group = dict(zip([t for _, t in rows], classes(fps)))
+    assert group[a] == group[near(a)] and group[c] == group[near(c)] and len(set(group.values())) == 5
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect()]
+    assert Counter(group[t] for _, t in kept) == dict.fromkeys(group.values(), 1)
+    assert {(i, group[t]) for i, t in kept} == {(3, group[a]), (5, group[b]), (None, group[c]), (9, group[d]), (None, group[None])}
+
+
 # ---- decontamination -----------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
