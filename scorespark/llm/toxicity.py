@@ -1,6 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the passages that mark toxic text. The texts are cut
+Two zstandard dictionaries are trained: one on passages of ordinary texts, one on those stretches of passages of toxic texts
+that tell them from ordinary ones, whatever their script, length or number. The texts are cut
 into windows; a window is toxic to the degree that the toxic dictionary (with the ordinary one behind it, so that ordinary
 words compress alike) makes it shorter than the ordinary one alone. Windows that look toxic are compressed again with more
 and more of their surroundings, because a real hit stays and a chance match does not. A logistic rule over the window
@@ -26,8 +27,9 @@ WINDOW = 160
 SURROUNDINGS = ((24, 0), (0, 24), (48, 16), (16, 48), (72, 0), (0, 72), (40, 40))
 ORDINARY_BYTES = 110 << 10
 TOXIC_BYTES = 4 << 10
-ORDINARY_PASSAGES = 60_000
+MOST_PASSAGES = 60_000
 PASSAGE = 200
+RUNS = (4, 6, 8)
 FEATURES = 5
 
 
@@ -96,28 +98,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40)))
 
 
-def _marks(sample: DataFrame, at_most: int, least_evidence: float) -> list[tuple[str, int]]:
-    """Words that toxic texts hold far more often than ordinary ones, by the log-likelihood bound of their document
-    counts. Exact copies count once."""
-    texts = sample.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))
-    totals = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    toxic, other = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not other:
+def _runs(text: bytes, n: int) -> np.ndarray:
+    """The runs of ``n`` bytes (at most eight) at each place, as numbers."""
+    own = np.frombuffer(text, np.uint8).astype(np.uint64)
+    places = max(0, len(own) - n + 1)
+    out = np.zeros(places, np.uint64)
+    for i in range(n):
+        out = out << np.uint64(8) | own[i : places + i]
+    return out
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in the sorted ``known``, and whether it stands there."""
+    at = np.searchsorted(known, values).clip(max=max(0, len(known) - 1))
+    return at, known[at] == values if len(known) else np.zeros(len(values), bool)
+
+
+def telling_stretches(toxic: list[list[bytes]], ordinary: list[list[bytes]], least_evidence: float) -> list[bytes]:
+    """The stretches of the toxic passages (one list per text) made up of byte runs that more toxic than ordinary texts hold,
+    by the log-likelihood bound of their text counts. Runs know no words, so marks may be short, hold digits or signs, be
+    phrases, or stand in scripts without spaces. Exact copies count once."""
+    pad = lambda texts: [[b" " + p + b" " for p in t] for t in sorted({tuple(t) for t in texts if t})]
+    toxic, ordinary = pad(toxic), pad(ordinary)
+    if not toxic or not ordinary:
         return []
-    words = texts.select(
-        "label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    ).where(F.length("word") >= 4)
-    counts = words.groupBy("word").agg(
-        F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")
-    )
-    share = toxic / (toxic + other)
-    n, p = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
-    evidence = n * (
-        p * F.log10(p / share) + F.when(p < 1, (1 - p) * F.log10((1 - p) / (1 - share))).otherwise(0.0)
-    )
-    best = counts.where((F.col("a") >= 5 * F.greatest(F.col("b"), F.lit(1))) & (p > share)).withColumn("e", evidence)
-    rows = best.where(F.col("e") >= least_evidence).orderBy(F.desc("e"), "word").limit(at_most).collect()
-    return [(r["word"], r["a"]) for r in rows]
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    covered = [[np.zeros(len(p) + 1, np.int64) for p in t] for t in toxic]
+    for n in RUNS:
+        runs, a = np.unique(np.concatenate([np.unique(np.concatenate([_runs(p, n) for p in t])) for t in toxic]), return_counts=True)
+        enough = a * -math.log10(share) >= least_evidence  # ordinary texts only lower the evidence
+        runs, a = runs[enough], a[enough]
+        b = np.zeros(len(runs), np.int64)
+        for t in ordinary:
+            at, hit = _among(np.concatenate([_runs(p, n) for p in t]), runs)
+            b[np.unique(at[hit])] += 1
+        p = a / np.maximum(1, a + b)
+        rest = np.where(p < 1, (1 - p) * np.log10(np.where(p < 1, 1 - p, 1) / (1 - share)), 0.0)
+        telling = runs[(p > share) & ((a + b) * (p * np.log10(p / share) + rest) >= least_evidence)]
+        for t, marks in zip(toxic, covered):
+            for passage, mark in zip(t, marks):
+                at = np.flatnonzero(_among(_runs(passage, n), telling)[1])
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + n, -1)
+    out = []
+    for t, marks in zip(toxic, covered):
+        for passage, mark in zip(t, marks):
+            edges = np.flatnonzero(np.diff(np.r_[False, np.cumsum(mark[:-1]) > 0, False]))
+            out += [passage[i:j] for i, j in zip(edges[::2], edges[1::2])]
+    return out
 
 
 def _trained(size: int, passages: list[bytes], **settings: int) -> bytes:
@@ -129,14 +157,14 @@ def _trained(size: int, passages: list[bytes], **settings: int) -> bytes:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_ordinary: int = 4_000, max_marks: int = 100,
-    least_evidence: float = 4.0,
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_ordinary: int = 4_000, least_evidence: float = 4.0,
 ) -> Model:
     """Fit on at most about ``max_labelled`` labelled texts outside the held-out fold.
 
-    The ordinary dictionary is trained on passages of at most ``max_ordinary`` of them (bounded, so the driver can hold
-    them); the toxic one on at most ``max_marks`` marking words, found in Spark. Without labels of both kinds the model
-    gives every text the share of toxic labels (0.0 if there are none).
+    The ordinary dictionary is trained on passages of at most ``max_ordinary`` of the ordinary ones (bounded, so the driver
+    can hold them), the toxic one on passages of as many toxic ones: on their telling stretches, or on the passages as they
+    are where none has enough evidence. Without labels of both kinds the model gives every text the share of toxic labels
+    (0.0 if there are none).
     """
     sample = labelled_sample(docs, labels, "toxic", max_labelled).repartition(32, "doc_id").cache()
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -146,26 +174,26 @@ def train(
         sample.unpersist()
         return Model(b"", b"", np.zeros(FEATURES), np.ones(FEATURES), constant)
     shuffled = random.Random(1)
-    marks = [(w.encode(), n) for w, n in _marks(sample, max_marks, least_evidence)]
-    toxic = [b" " + w + b" " + w + b" " for w, n in marks for _ in range(min(n, 700))]
-    shuffled.shuffle(toxic)
-    share = min(1.0, max_ordinary / max(1, counts[0]))
-    pick = F.pmod(F.xxhash64(F.lit("ordinary"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    passages_per_text = max(1, ORDINARY_PASSAGES // max(1, min(counts[0], max_ordinary)))
+    per_text = {k: max(1, MOST_PASSAGES // min(n, max_ordinary)) for k, n in counts.items()}
+    share = {k: int(min(1.0, max_ordinary / n) * (1 << 20)) for k, n in counts.items()}
+    pick = F.pmod(F.xxhash64(F.lit("ordinary"), "doc_id"), F.lit(1 << 20)) < F.when(F.col("label") == 1, share[1]).otherwise(share[0])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in texts_of(batch):
-                body = normal(text)
-                spans = list(windows(body, PASSAGE))
+            out, kinds = [], batch.column(batch.schema.get_field_index("label"))
+            for text, kind in zip(texts_of(batch), kinds.to_pylist()):
+                body, most = normal(text), 4 * PASSAGE
+                spans = [(i, min(b, i + most)) for a, b in windows(body, PASSAGE) for i in range(a, b, most)]
                 own = random.Random(len(body))
-                out += [body[a:b][: 4 * PASSAGE] for a, b in own.sample(spans, min(len(spans), passages_per_text))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["passage"])
-
-    ordinary = [bytes(r[0]) for r in sample.where((F.col("label") == 0) & pick).select("text")
-                .mapInArrow(passages, "passage binary").collect()]
-    ordinary.sort()
+                out.append([body[a:b] for a, b in own.sample(spans, min(len(spans), per_text[kind]))])
+            yield pa.RecordBatch.from_arrays([kinds, pa.array(out, pa.list_(pa.binary()))], names=["label", "passages"])
+
+    found: dict[int, list[list[bytes]]] = {0: [], 1: []}
+    for r in sample.where(pick).select("label", "text").mapInArrow(passages, "label int, passages array<binary>").collect():
+        found[r[0]].append([bytes(p) for p in r[1]])
+    ordinary = sorted(p for t in found[0] for p in t)
+    toxic = [2 * s for s in telling_stretches(found[1], found[0], least_evidence)] or sorted(p for t in found[1] for p in t)
+    shuffled.shuffle(toxic)
     shuffled.shuffle(ordinary)
     both = (_trained(ORDINARY_BYTES, ordinary)[-ORDINARY_BYTES + 300 :], _trained(TOXIC_BYTES, toxic, k=24, d=6) if toxic else b"")
     rows = _features(sample.select("doc_id", "text", "label"), *both).select("label", "features").collect()

@@ -442,6 +442,30 @@ def test_toxicity(spark, sf_dir):
     assert toxicity.score(helpers.awkward(spark), one_kind).where("score > 0.01").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["short", "signs", "phrases", "no spaces", "many"])
+def test_toxicity_of_marks_that_are_no_long_words(spark, kind):
+    rng = random.Random(3)
+    plain = ["".join(rng.choice(["the", "an", "er", "ing", "on", "th"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    if kind == "no spaces":
+        plain = [chr(rng.randrange(0x4E00, 0x5058)) for _ in range(500)]
+    rude = {
+        "short": ["kys", "fck", "zog"], "signs": ["88-14", "6mwe", "@#!&"], "phrases": [" ".join(rng.sample(plain, 4)) for _ in range(3)],
+        "no spaces": ["滚蛋垃圾", "蠢猪去死"], "many": ["".join(rng.choice("qvxzjkwpy") for _ in range(7)) for _ in range(160)],
+    }[kind]
+
+    def text(bad):
+        words = [rng.choice(plain) for _ in range(150)]
+        for _ in range(8 if bad else 0):
+            words[rng.randrange(150)] = rng.choice(rude)
+        return ("" if kind == "no spaces" else " ").join(words)
+
+    marks = {k: int(k % 4 == 0) for k in range(800)}
+    docs = helpers.corpus(spark, [(k, text(y)) for k, y in marks.items()])
+    model = toxicity.train(docs, spark.createDataFrame(list(marks.items()), "doc_id bigint, toxic int"))
+    fresh = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
+    assert np.mean([(s >= 0.5) == marks[i] for i, s in fresh.items()]) > 0.9
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 
 
