@@ -3,6 +3,7 @@
 A page is a sequence of text nodes, each below a root-to-leaf path of tags. Text length and punctuation are aggregated per
 path and divided by the path's nodes; the ratios are smoothed over neighbouring paths in page order, fused into one value
 per path and compared with a threshold of the page. Paths that pass give content nodes, and these are joined into blocks.
+Inline tags belong to the path around them, the text of links weighs little, and headings go with what they introduce.
 Tags and class names that announce boilerplate (menus, footers, adverts, forms, scripts, comments) weigh nothing.
 """
 
@@ -38,6 +39,8 @@ SIDE_NAMES = re.compile(
     r"signup|login|share\w*|social|related|recommend\w*|pagination|pager|copyright|legal|disclaimer|toolbar|search)(?:$|[-_\s\d])",
     re.IGNORECASE,
 )
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TAG = re.compile(
@@ -49,17 +52,25 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^'
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟।]")
 SPACE = re.compile(r"\s+")
-SHARE_OF_MEAN = 0.02
-KERNEL = (0.1, 0.2, 0.4, 0.2, 0.1)
+SENTENCE = 20
+LINK_WEIGHT = 0.1
+SHARE_OF_MEAN = 0.1
+KERNEL = (0.05, 0.1, 0.7, 0.1, 0.05)
 
 
 class Node:
-    """A run of text: its path, block number, and whether a side element holds it."""
+    """A run of text: its path without inline tags, block number, whether a side element holds it, the numbers of the doubtful
+    elements that do, whether it is a link's, and the heading that it is in."""
 
-    __slots__ = ("path", "block", "side", "text")
+    __slots__ = ("path", "block", "side", "doubts", "link", "heading", "text")
 
-    def __init__(self, path: str, block: int, side: bool, text: str):
-        self.path, self.block, self.side, self.text = path, block, side, text
+    def __init__(self, stack: list[tuple[str, bool, int]], block: int, text: str):
+        tags = [t for t, _, _ in stack]
+        self.path, self.block, self.text = "/".join(t for t in tags if t not in INLINE), block, text
+        self.side = bool(stack) and stack[-1][1]
+        self.doubts = [d for _, _, d in stack if d]
+        self.heading = next((t for t in tags if t in HEADINGS), "")
+        self.link = "a" in tags and not self.heading
 
 
 def _is_side(name: str, attrs: str, inside: tuple[str, ...]) -> bool:
@@ -75,21 +86,39 @@ def _is_side(name: str, attrs: str, inside: tuple[str, ...]) -> bool:
     return False
 
 
+def _settled(found: list[Node]) -> list[Node]:
+    """Nodes outside side elements, and outside the doubtful ones without a sentence or a title."""
+    kept = [n for n in found if not n.side]
+    good: set[int] = set()
+    plain: dict[tuple[int, int], list[str]] = {}
+    for node in kept:
+        for d in node.doubts:
+            if node.heading == "h1" and node.text.strip():
+                good.add(d)
+            elif not node.link and not node.heading:
+                plain.setdefault((d, node.block), []).append(node.text)
+    for (d, _), parts in plain.items():
+        text = SPACE.sub(" ", "".join(parts)).strip()
+        if len(text) >= SENTENCE and PUNCTUATION.search(text):
+            good.add(d)
+    return [n for n in kept if good.issuperset(n.doubts)]
+
+
 def nodes(page: str) -> list[Node]:
     """Text nodes of a page in order. Unclosed paragraphs and list items end where the next one starts; what a page cut
     short leaves of a tag is dropped."""
-    stack: list[tuple[str, bool]] = []  # tag, side
+    stack: list[tuple[str, bool, int]] = []  # tag, side, number if doubtful
     out: list[Node] = []
-    block = 0
+    block = doubtful = 0
     at = 0
 
     def add(text: str) -> None:
         if text:
-            out.append(Node("/".join(t for t, _ in stack), block, bool(stack) and stack[-1][1], text))
+            out.append(Node(stack, block, text))
 
     def leave(index: int) -> None:
         nonlocal block
-        if any(t in BLOCK for t, _ in stack[index:]):
+        if any(t in BLOCK for t, _, _ in stack[index:]):
             block += 1
         del stack[index:]
 
@@ -136,25 +165,30 @@ def nodes(page: str) -> list[Node]:
                 block += 1
         if name in VOID or attrs.rstrip().endswith("/"):
             continue
-        side = bool(stack) and stack[-1][1] or _is_side(name, attrs, tuple(t for t, _ in stack))
+        side = bool(stack) and stack[-1][1] or _is_side(name, attrs, tuple(t for t, _, _ in stack))
+        doubtful += side is None
         if name in RAW:
             end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((name, side))
+        stack.append((name, bool(side), doubtful if side is None else 0))
     return out
 
 
-def content_paths(found: list[Node]) -> set[str]:
-    """Paths whose fused ratio passes the page's threshold."""
+def content_paths(found: list[Node], contained: bool = False) -> set[str]:
+    """Paths whose fused ratio passes the page's threshold. Inside a container, only paths that are mostly links can fail."""
     total: dict[str, list[float]] = {}
+    blocks = set()
     for node in found:
         text = node.text.strip()
-        if text and not node.side:
-            entry = total.setdefault(node.path, [0.0, 0.0, 0.0])
-            entry[0] += len(text)
-            entry[1] += len(PUNCTUATION.findall(text))
-            entry[2] += 1
+        if text and not node.side and not node.heading:
+            entry = total.setdefault(node.path, [0.0, 0.0, 0.0, 0.0])
+            share = LINK_WEIGHT if node.link else 1.0
+            entry[0] += share * len(text)
+            entry[1] += share * len(PUNCTUATION.findall(text))
+            entry[2] += (node.path, node.block) not in blocks
+            entry[3] += len(text) * (1 if node.link else -1)
+            blocks.add((node.path, node.block))
     if not total:
         return set()
     order = list(total)
@@ -162,32 +196,44 @@ def content_paths(found: list[Node]) -> set[str]:
     points = [(total[p][1] + 1) / total[p][2] for p in order]
 
     def smooth(values: list[float]) -> list[float]:
-        padded = [values[0], values[0], *values, values[-1], values[-1]]
-        return [sum(k * v for k, v in zip(KERNEL, padded[i:])) for i in range(len(values))]
+        """In logarithms: a long text must not lift the menu beside it."""
+        logs = [math.log(v) for v in values]
+        padded = [logs[0], logs[0], *logs, logs[-1], logs[-1]]
+        return [math.exp(sum(k * v for k, v in zip(KERNEL, padded[i:]))) for i in range(len(values))]
 
     fused = [math.sqrt(a * b) for a, b in zip(smooth(length), smooth(points))]
     weight = sum(total[p][0] for p in order)
     mean = sum(f * total[p][0] for f, p in zip(fused, order)) / weight  # of a character, not of a path
-    return {p for p, f in zip(order, fused) if f >= SHARE_OF_MEAN * mean}
+    return {p for p, f in zip(order, fused) if f >= SHARE_OF_MEAN * mean or contained and total[p][3] <= 0}
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page in order, white space inside a block as one space, blocks joined by a line feed.
 
-    Null, empty and text-free pages give the empty text. Inside an ``article`` or ``main`` element, if the page has one
-    with text, only nodes below it count.
+    Null, empty and text-free pages give the empty text. Ratios are those of all nodes; inside an ``article`` or ``main``
+    element, if the page has one with text, only nodes below it are returned. A first-level heading stays, any other if the
+    text after it does.
     """
-    found = [n for n in nodes(page or "") if not n.side]
+    found = _settled(nodes(page or ""))
+    inner: list[Node] = []
     for container in ("article", "main"):
         inner = [n for n in found if container in n.path.split("/")]
         if any(n.text.strip() for n in inner):
-            found = inner
             break
-    chosen = content_paths(found)
+        inner = []
+    chosen = content_paths(found, bool(inner))
     blocks: dict[int, list[str]] = {}
-    for node in found:
-        if node.path in chosen or not node.text.strip():
-            blocks.setdefault(node.block, []).append(node.text)
+    keep = follows = not chosen or bool(inner)
+    kept = []
+    for node in reversed(inner or found):
+        if node.text.strip():
+            if not node.heading:
+                follows = node.path in chosen
+            keep = follows or node.heading == "h1"
+        if keep or not node.text.strip():
+            kept.append(node)
+    for node in reversed(kept):
+        blocks.setdefault(node.block, []).append(node.text)
     texts = (SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(t for t in texts if t)
 

@@ -357,6 +357,20 @@ def test_extraction_cases():
     assert extraction.main_text(f"<article><p>{text}</p><p>cut <a hre") == f"{text}\ncut"
 
 
+def test_ratios_tell_text_from_menus():
+    text = ("Some words of a longer sentence, as articles have them. " * 6).strip()
+    paragraphs = "".join(f"<p>{text} <a href='#'>source</a></p>" for _ in range(5))
+    want = "\n".join([f"{text} source"] * 5)
+    links = "".join(f"<a href='/{k}'>Item{k}</a> " for k in range(6))
+    assert extraction.main_text(f"<body><div class=top>{links}</div><div class=content>{paragraphs}</div></body>") == want
+    items = "".join(f"<li><a href='/{k}'>Topic {k}</a></li>" for k in range(8))
+    assert extraction.main_text(
+        f"<body><div class=a><ul>{items}</ul></div><div class=b><h1>Title</h1><h2>First part</h2>{paragraphs}</div><div class=c><h3>More</h3><ul>{items}</ul></div>"
+        f"<table><tr><td><a>Imprint</a></td><td><a>Contact</a></td></tr></table></body>"
+    ) == f"Title\nFirst part\n{want}"
+    assert extraction.main_text("<div><a>only</a> <a>links</a></div>") == "only links"
+
+
 def test_extraction_keeps_whole_articles(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in table(spark, sf_dir, "pages").collect()}
     rows = queries.op5(spark, sf_dir).collect()
