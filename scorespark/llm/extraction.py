@@ -4,7 +4,8 @@ A page is a sequence of text nodes, each below a root-to-leaf path of tags. Text
 path and divided by the path's nodes; the ratios are smoothed over neighbouring paths in page order, fused into one value
 per path and compared with a threshold of the page. Paths that pass give content nodes, and these are joined into blocks.
 Inline tags belong to the path around them, the text of links weighs little, and headings go with what they introduce.
-Tags and class names that announce boilerplate (menus, footers, adverts, forms, scripts, comments) weigh nothing.
+Tags and class names that announce boilerplate (menus, footers, adverts, forms, scripts, comments) weigh nothing. Names that
+an article's own parts may bear as well, and ids there, only count if the element holds neither a sentence nor a title.
 """
 
 from __future__ import annotations
@@ -33,12 +34,26 @@ SAME_LEVEL = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",)
 
 # Names that announce something else than the article.
 SIDE_TAGS = frozenset("nav footer aside form button select option label dialog menu script style noscript template iframe svg head title".split())
-SIDE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widgets?|footer|foot|header|"
-    r"masthead|comments?|commentlist|replies|reply|respond|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|"
-    r"signup|login|share\w*|social|related|recommend\w*|pagination|pager|copyright|legal|disclaimer|toolbar|search)(?:$|[-_\s\d])",
-    re.IGNORECASE,
+ADDED = (  # by others than the article's author: these count inside an article too
+    r"ads?|advert\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|comments?|commentlist|replies|reply|respond|disqus|cookies?|"
+    r"consent|popup|modal|newsletter|subscribe|signup|login|pagination|pager"
 )
+OTHER = (
+    r"banner|promo\w*|side|widgets?|footer|foot|header|masthead|notices?|alert|share\w*|social|related|recommend\w*|copyright|legal|"
+    r"disclaimer|toolbar|search"
+)
+LAYOUT = r"wrapper|wrap|container|inner|outer|area|box|bar|block|links|panel|top|bottom|left|right|\d+"
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[-_\s])(?:{words})(?:$|[-_\s\d])", re.IGNORECASE)
+
+
+SIDE_NAMES, ADDED_NAMES, HEADER_NAMES = _names(f"{ADDED}|{OTHER}"), _names(ADDED), _names("header|head")
+OWN_HEADER = re.compile(r"(?:^|\s)(?:article|post|entry|story)[-_]+header(?=$|[-_\s])", re.IGNORECASE)
+# An id that says more (related-work, share-prices) is a slug of the text below it.
+SIDE_ID = re.compile(rf"(?:(?:site|page|main|global|{LAYOUT})[-_]?)*(?:{ADDED}|{OTHER})(?:[-_]?(?:{LAYOUT}))*", re.IGNORECASE)
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption blockquote pre figcaption".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -73,17 +88,29 @@ class Node:
         self.link = "a" in tags and not self.heading
 
 
-def _is_side(name: str, attrs: str, inside: tuple[str, ...]) -> bool:
-    if name in SIDE_TAGS or name == "header" and not ({"article", "main"} & set(inside)):
+def _is_side(name: str, attrs: str, inside: tuple[str, ...]) -> bool | None:
+    """None: in doubt, its text decides."""
+    own = bool({"article", "main"} & set(inside))
+    if name in SIDE_TAGS or name == "header" and not own:
         return True
+    doubt = False
     for key, value in ATTRIBUTE.findall(attrs) if attrs else ():
         value = value.strip("\"'")
         key = key.lower()
         if key == "hidden" or key == "role" and value.lower() in SIDE_ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and SIDE_NAMES.search(value):
-            return True
-    return False
+        if name in ("html", "body", "article", "main"):
+            continue
+        if key == "class":
+            value = HEADER_NAMES.sub(" ", value) if own else OWN_HEADER.sub(" ", value)
+            if (ADDED_NAMES if own else SIDE_NAMES).search(value):
+                return True
+            doubt = doubt or bool(SIDE_NAMES.search(value))
+        if key == "id" and name not in TEXT_TAGS and SIDE_ID.fullmatch(value):
+            if not own and name != "section":
+                return True
+            doubt = doubt or not (own and HEADER_NAMES.search(value))
+    return None if doubt else False
 
 
 def _settled(found: list[Node]) -> list[Node]:

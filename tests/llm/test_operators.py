@@ -371,6 +371,17 @@ def test_ratios_tell_text_from_menus():
     assert extraction.main_text("<div><a>only</a> <a>links</a></div>") == "only links"
 
 
+def test_names_inside_articles_do_not_delete_their_text():
+    text = "A first sentence, long enough to matter. And another one."
+    assert extraction.main_text(
+        f"<article><div class='article-header'><h1>Title</h1></div><h2 id='related-work'>Related work</h2><p id=legal>{text}</p><h2 id=search>Search</h2><p>{text}</p>"
+        f"<section id='side-effects'><h2>Effects</h2><p>{text}</p></section><div class='alert'>Do not mix the two, ever.</div><section id=notices><p>{text}</p></section>"
+        f"<div class=share><a>Face</a> <a>Mail</a></div><div class='related'><ul><li><a>Other story</a></ul></div><div class=comments><p>{text}</p></div></article>"
+    ) == f"Title\nRelated work\n{text}\nSearch\n{text}\nEffects\n{text}\nDo not mix the two, ever.\n{text}"
+    page = f"<body><div class='site-header'>Site, and more of it.</div><div class='post-header'><h1>Title</h1></div><div><h2 id='share-prices'>Prices</h2><p>{text}</p></div><div id=footer-links><p>{text}</p></div></body>"
+    assert extraction.main_text(page) == f"Title\nPrices\n{text}"
+
+
 def test_extraction_keeps_whole_articles(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in table(spark, sf_dir, "pages").collect()}
     rows = queries.op5(spark, sf_dir).collect()
