@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -93,6 +94,69 @@ def error_rates(events: DataFrame, field: str, min_count: int = 20, limit: int =
     )
 
 
+#: Sections of the report: event type (None: all), fields, sides that are counted.
+SECTIONS = (
+    ("event_breakdown", None, (None,), ()),
+    ("missing", "delete", ("rhythm", "pitch", "lift"), ("exp",)),
+    ("hallucinated", "insert", ("rhythm", "pitch", "lift"), ("act",)),
+    ("substitutions", "substitute", ("rhythm", "pitch"), ("exp", "act")),
+    ("error_rates", None, ("rhythm", "pitch"), ("exp",)),
+)
+
+
+def report_rows(events: DataFrame, min_count: int = 20, limit: int = 20) -> DataFrame:
+    """All token tables of a report in one pass: section, field, rank, token, other, n, errors, rate.
+
+    Every event says in which tables it counts; one aggregation, combined before its only shuffle, counts them all. The
+    first ``limit`` of each table are taken by a ranked filter, which Spark applies in every partition before it brings the
+    tables together. Order: most frequent first, error rates highest first, then by token. The rate is in percent.
+    """
+
+    def entries() -> list[Column]:
+        found = []
+        for section, kind, fields, sides in SECTIONS:
+            for field in fields:
+                values = [F.col(f"{side}_{field}") for side in sides] or [F.col("event_type")]
+                fits = F.lit(True) if kind is None else F.col("event_type") == kind
+                for value in values:
+                    fits = fits & value.isNotNull()
+                if len(values) == 2:
+                    fits = fits & (values[0] != values[1])
+                other = values[1] if len(values) == 2 else F.lit(None).cast("string")
+                found.append(F.when(fits, F.struct(F.lit(section).alias("section"), F.lit(field).cast("string").alias("field"), values[0].alias("token"), other.alias("other"))))
+        return found
+
+    wrong = F.col("event_type") != "match"
+    counted = (
+        events.select(F.inline(F.transform(F.array_compact(F.array(*entries())), lambda e: F.struct(e["section"].alias("section"), e["field"].alias("field"), e["token"].alias("token"), e["other"].alias("other"), wrong.alias("wrong")))))
+        .groupBy("section", "field", "token", "other")
+        .agg(F.count("*").alias("n"), F.count_if("wrong").alias("errors"))
+        .where((F.col("section") != "error_rates") | (F.col("n") >= min_count))
+    )
+    share = F.when(F.col("section") == "error_rates", F.col("errors") / F.col("n"))
+    order = W.partitionBy("section", "field").orderBy(F.desc(F.coalesce(share, F.col("n").cast("double"))), "token", "other")
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
+        "section", "field", "rank", "token", "other", "n", "errors", F.bround(share * 100, 1).alias("rate")
+    )
+
+
+def report(events: DataFrame, **frames: DataFrame) -> DataFrame:
+    """The report as one nested row: a list per table of ``report_rows``, and the small ``frames`` as lists beside them."""
+    rows = report_rows(events)
+    shown = {"event_breakdown": ("token", "n"), "substitutions": ("token", "other", "n"), "error_rates": ("token", "n", "errors", "rate")}
+    lists = []
+    for section, _, fields, _ in SECTIONS:
+        for field in fields:
+            own = (F.col("section") == section) & F.col("field").eqNullSafe(F.lit(field).cast("string"))
+            row = F.when(own, F.struct("rank", *shown.get(section, ("token", "n"))))
+            name = section if field is None else f"{section}_{field}"
+            lists.append(F.transform(F.array_sort(F.collect_list(row)), lambda r: r.dropFields("rank")).alias(name))
+    out = rows.agg(*lists).withColumn("_k", F.lit(0))
+    for name, frame in frames.items():  # one-row frames side by side: a join on a constant, bounded by construction
+        out = out.join(frame.agg(F.collect_list(F.struct(*frame.columns)).alias(name)).withColumn("_k", F.lit(0)), "_k")
+    return out.drop("_k").select(F.struct(*[c for c in out.columns if c != "_k"]).alias("report"))
+
+
 def field_frequencies(tokens: DataFrame, fields) -> DataFrame:
     """Counts per value of each field in one pass: unpivot, then one aggregation with map-side combine."""
     long = tokens.select(

@@ -5,15 +5,13 @@ A sample (one page or one turn) is the unit of work; its token lists live in one
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from ..functions import vocabulary as V
+from . import alignment
 
 
 def encode(tokens: Column, dictionary: Column) -> Column:
@@ -237,54 +235,21 @@ def score_samples(samples: DataFrame, sample: str, fields=V.SCORED_FIELDS) -> Da
 # ---- alignment events ----------------------------------------------------------------------------------------------
 
 
-def _pairing(expected: list[str], actual: list[str]) -> Iterator[tuple[str, int | None, int | None]]:
-    """(event, index in expected, index in actual) in alignment order."""
-    blocks = difflib.SequenceMatcher(None, expected, actual, autojunk=False).get_matching_blocks()
-    i = j = 0
-    for start_i, start_j, size in blocks:
-        gap_i, gap_j = start_i - i, start_j - j
-        both = min(gap_i, gap_j)
-        yield from (("substitute", i + k, j + k) for k in range(both))
-        yield from (("delete", i + k, None) for k in range(both, gap_i))
-        yield from (("insert", None, j + k) for k in range(both, gap_j))
-        yield from (("match", start_i + k, start_j + k) for k in range(size))
-        i, j = start_i + size, start_j + size
-
-
-_PAIRS = TY.ArrayType(
-    TY.StructType(
-        [
-            TY.StructField("event_type", TY.StringType()),
-            TY.StructField("i", TY.IntegerType()),
-            TY.StructField("j", TY.IntegerType()),
-        ]
-    )
-)
-
-
-@F.pandas_udf(_PAIRS)
-def pair_tokens(expected: pd.Series, actual: pd.Series) -> pd.Series:
-    return pd.Series([[*_pairing(list(e), list(a))] for e, a in zip(expected, actual)])
-
-
 def alignment_events(parts: DataFrame, keep, fields=V.SCORED_FIELDS) -> DataFrame:
-    """Explode matched parts into match / substitute / delete / insert rows.
+    """Matched parts as match / substitute / delete / insert rows.
 
-    Only the index pairs come from Python (Arrow batches); tokens are looked up by index in the JVM. The matching is
-    by longest common blocks, so the number of errors need not equal the edit distance.
+    The matching is by longest common blocks of whole tokens, so the number of errors need not equal the edit distance.
     """
-    pairs = pair_tokens(_field_text(F.col("expected"), fields), _field_text(F.col("actual"), fields))
-    rows = parts.select(
-        *keep, "part", "n_parts", "expected", "actual", F.posexplode(pairs).alias("event_no", "_p")
-    )
-    exp = F.try_element_at("expected", F.col("_p.i") + 1)
-    act = F.try_element_at("actual", F.col("_p.j") + 1)
+    texts = parts.withColumns({"_e": _field_text(F.col("expected"), fields), "_a": _field_text(F.col("actual"), fields)})
+    rows = alignment.aligned(texts, [*keep, "part"], "_e", "_a")
+    exp = F.try_element_at("expected", F.col("i") + 1)
+    act = F.try_element_at("actual", F.col("j") + 1)
     return rows.select(
         *keep,
         "part",
         "event_no",
         part_name(F.col("part"), F.col("n_parts")).alias("staff"),
-        F.col("_p.event_type").alias("event_type"),
+        "event_type",
         *[exp.getField(f).alias(f"exp_{f}") for f in fields],
         *[act.getField(f).alias(f"act_{f}") for f in fields],
     )

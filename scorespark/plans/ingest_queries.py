@@ -12,6 +12,7 @@ from pyspark.sql import types as TY
 
 from ..functions import tokens as T
 from ..functions import vocabulary as V
+from ..operators import alignment
 from ..operators import analytics as A
 from ..operators import producers
 from ..operators import scoring as S
@@ -21,7 +22,7 @@ from ..sources import archives, kern, musicxml, semantic
 from ..streaming import incremental
 from . import bindings as B
 from .registry import query
-from .scoring_queries import TURNS, alignment_events, turn_scores
+from .scoring_queries import EVENTS, TURNS, alignment_events, turn_scores
 
 # ---- texts derived from the events ---------------------------------------------------------------------------------
 
@@ -291,12 +292,12 @@ def producer_run(spark, sf):
 def alignment_table_function(spark, sf):
     """One pair to many rows: match, substitute and delete rows cover the truth, match, substitute and insert the output."""
     t = turn_scores(spark, sf).where("actual_text is not null")
-    rows = t.select(F.explode(S.pair_tokens("e", "a")).alias("_p"))
-    kind = F.col("_p.event_type")
+    rows = alignment.aligned(t.select("sample_id", "e", "a"), ["sample_id"], "e", "a")
+    kind = F.col("event_type")
     return rows.agg(F.count_if(kind != "insert").alias("expected_tokens"), F.count_if(kind != "delete").alias("actual_tokens"))
 
 
-@query("sq03_event_breakdown_by_staff")
+@query("sq03_event_breakdown_by_staff", f"WITH RECURSIVE {EVENTS} SELECT staff, event_type, count(*) AS n FROM tev GROUP BY 1, 2")
 def event_breakdown_by_staff(spark, sf):
     return alignment_events(spark, sf).groupBy("staff", "event_type").agg(F.count("*").alias("n"))
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import tokens as T
 from ..functions import vocabulary as V
+from ..operators import chords as C
 from ..operators import sampling as S
 from ..sources import datasets as D
 from . import bindings as B
 from .corpus_queries import VOCABULARY_SQL
 from .registry import query
-from .scoring_queries import ZIPPED, zipped_events
 
 FIELDS = V.SCORED_FIELDS
 
@@ -110,6 +110,36 @@ def companion_files(spark, sf):
     return D.companion_files(images, labels)
 
 
+# A decoder is measured place by place: the n-th expected token of a sample against its n-th actual token.
+def zipped_events(spark, sf):
+    t = B.evt(spark, sf)
+    n = F.row_number().over(C.W.partitionBy("seq_id", (F.col("user_id") % 2)).orderBy("pos"))
+    rows = t.withColumn("n", n)
+    exp = rows.where("user_id % 2 = 0").select("seq_id", "n", *[F.col(f).alias(f"exp_{f}") for f in FIELDS])
+    act = rows.where("user_id % 2 = 1").select("seq_id", "n", *[F.col(f).alias(f"act_{f}") for f in FIELDS])
+    both = exp.join(act, ["seq_id", "n"], "full")
+    same = F.lit(True)
+    for f in FIELDS:
+        same = same & (F.col(f"exp_{f}") == F.col(f"act_{f}"))
+    kind = (
+        F.when(F.col("act_rhythm").isNull(), F.lit("delete"))
+        .when(F.col("exp_rhythm").isNull(), F.lit("insert"))
+        .when(same, F.lit("match"))
+        .otherwise(F.lit("substitute"))
+    )
+    return both.withColumn("event_type", kind)
+
+
+_EXP = ", ".join(f"{f} AS exp_{f}" for f in FIELDS)
+_ACT = ", ".join(f"{f} AS act_{f}" for f in FIELDS)
+ZIPPED = B.EVT + f""",
+zn AS (SELECT *, row_number() OVER (PARTITION BY seq_id, user_id % 2 ORDER BY pos) AS n FROM evt),
+ze AS (SELECT seq_id, n, {_EXP} FROM zn WHERE user_id % 2 = 0),
+za AS (SELECT seq_id, n, {_ACT} FROM zn WHERE user_id % 2 = 1),
+zip AS (SELECT *, CASE WHEN act_rhythm IS NULL THEN 'delete' WHEN exp_rhythm IS NULL THEN 'insert'
+  WHEN {" AND ".join(f"exp_{f} = act_{f}" for f in FIELDS)} THEN 'match' ELSE 'substitute' END AS event_type
+  FROM ze FULL JOIN za USING (seq_id, n))"""
+
 _ACC = " UNION ALL ".join(
     [f"SELECT '{f}' AS branch, exp_{f} = act_{f} AS hit FROM pr WHERE exp_{f} <> '.'" for f in FIELDS]
     + [f"SELECT '{n}', exp_pitch = act_pitch FROM pr WHERE exp_pitch <> '.' AND {c}" for n, c in

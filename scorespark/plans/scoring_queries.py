@@ -90,35 +90,37 @@ def turn_scores(spark, sf):
     )
 
 
-# Token events that SQL can state: the n-th expected token of a sample against its n-th actual token.
-def zipped_events(spark, sf):
-    t = B.evt(spark, sf)
-    n = F.row_number().over(C.W.partitionBy("seq_id", (F.col("user_id") % 2)).orderBy("pos"))
-    rows = t.withColumn("n", n)
-    exp = rows.where("user_id % 2 = 0").select("seq_id", "n", *[F.col(f).alias(f"exp_{f}") for f in FIELDS])
-    act = rows.where("user_id % 2 = 1").select("seq_id", "n", *[F.col(f).alias(f"act_{f}") for f in FIELDS])
-    both = exp.join(act, ["seq_id", "n"], "full")
-    same = F.lit(True)
-    for f in FIELDS:
-        same = same & (F.col(f"exp_{f}") == F.col(f"act_{f}"))
-    kind = (
-        F.when(F.col("act_rhythm").isNull(), F.lit("delete"))
-        .when(F.col("exp_rhythm").isNull(), F.lit("insert"))
-        .when(same, F.lit("match"))
-        .otherwise(F.lit("substitute"))
-    )
-    return both.withColumn("event_type", kind)
-
-
-_EXP = ", ".join(f"{f} AS exp_{f}" for f in FIELDS)
-_ACT = ", ".join(f"{f} AS act_{f}" for f in FIELDS)
-ZIPPED = B.EVT + f""",
-zn AS (SELECT *, row_number() OVER (PARTITION BY seq_id, user_id % 2 ORDER BY pos) AS n FROM evt),
-ze AS (SELECT seq_id, n, {_EXP} FROM zn WHERE user_id % 2 = 0),
-za AS (SELECT seq_id, n, {_ACT} FROM zn WHERE user_id % 2 = 1),
-zip AS (SELECT *, CASE WHEN act_rhythm IS NULL THEN 'delete' WHEN exp_rhythm IS NULL THEN 'insert'
-  WHEN {" AND ".join(f"exp_{f} = act_{f}" for f in FIELDS)} THEN 'match' ELSE 'substitute' END AS event_type
-  FROM ze FULL JOIN za USING (seq_id, n))"""
+_TOKEN = ", ".join(FIELDS)
+_SIDES = ", ".join([f"te.{f} AS exp_{f}" for f in FIELDS] + [f"ta.{f} AS act_{f}" for f in FIELDS])
+_BEST = "first_value({'s': s, 'e': e, 'd': d}) OVER (PARTITION BY seq_id, part, lvl, bi, bj ORDER BY e - s DESC, s, d DESC)"
+# The alignment rule as a recursion: every level matches the best run of each open block and clips the others to both sides.
+EVENTS = SAMPLES + f""",
+tk AS (SELECT pi.seq_id, pi.side, pi.i AS p, row_number() OVER (PARTITION BY pi.seq_id, pi.side, pi.i ORDER BY pos) - 1 AS x, txt, {_TOKEN}
+  FROM tx JOIN pi ON pi.seq_id = tx.seq_id AND pi.side = tx.side AND pi.part = tx.part),
+te AS (SELECT al.seq_id, al.i AS part, x, txt, {_TOKEN} FROM al JOIN tk ON tk.seq_id = al.seq_id AND tk.side = 'e' AND tk.p = al.i),
+ta AS (SELECT al.seq_id, al.i AS part, x, txt, {_TOKEN} FROM al JOIN tk ON tk.seq_id = al.seq_id AND tk.side = 'a' AND tk.p = al.j),
+hit AS (SELECT te.seq_id, te.part, te.x - ta.x AS d, te.x AS i FROM te JOIN ta USING (seq_id, part, txt)),
+run AS (SELECT seq_id, part, d, min(i) AS s, max(i) AS e FROM
+  (SELECT *, i - row_number() OVER (PARTITION BY seq_id, part, d ORDER BY i) AS g FROM hit) GROUP BY seq_id, part, d, g),
+rec AS (SELECT seq_id, part, 0 AS lvl, CAST(0 AS BIGINT) AS bi, CAST(0 AS BIGINT) AS bj, d, s, e FROM run
+  UNION ALL SELECT seq_id, part, lvl + 1, nbi, nbj, d, ns, ne FROM (
+    SELECT *, CASE WHEN lft THEN bi ELSE b.e + 1 END AS nbi, CASE WHEN lft THEN bj ELSE b.e - b.d + 1 END AS nbj,
+      CASE WHEN lft THEN s ELSE greatest(s, b.e + 1, b.e - b.d + 1 + d) END AS ns,
+      CASE WHEN lft THEN least(e, b.s - 1, b.s - b.d - 1 + d) ELSE e END AS ne
+    FROM (SELECT *, {_BEST} AS b FROM rec) r, (VALUES (true), (false)) sides(lft)) WHERE ns <= ne),
+blk AS (SELECT seq_id, part, b.s AS i, b.s - b.d AS j, b.e - b.s + 1 AS size FROM (SELECT DISTINCT seq_id, part, lvl, bi, bj, {_BEST} AS b FROM rec)
+  UNION ALL SELECT seq_id, i, elen, alen, 0 FROM al),
+gap AS (SELECT *, coalesce(lag(i + size) OVER w, 0) AS gi, coalesce(lag(j + size) OVER w, 0) AS gj FROM blk WINDOW w AS (PARTITION BY seq_id, part ORDER BY i, j)),
+off AS (SELECT *, greatest(i - gi, j - gj) AS gm, sum(greatest(i - gi, j - gj) + size) OVER (PARTITION BY seq_id, part ORDER BY i, j)
+  - greatest(i - gi, j - gj) - size AS o FROM gap),
+evn AS (SELECT seq_id, part, CAST(o + x AS INTEGER) AS event_no,
+    CASE WHEN x >= gm THEN 'match' WHEN x >= i - gi THEN 'insert' WHEN x >= j - gj THEN 'delete' ELSE 'substitute' END AS event_type,
+    CASE WHEN x >= gm THEN i + x - gm WHEN x < i - gi THEN gi + x END AS ei, CASE WHEN x >= gm THEN j + x - gm WHEN x < j - gj THEN gj + x END AS ai
+  FROM off, unnest(range(CAST(gm + size AS BIGINT))) r(x)),
+tev AS (SELECT evn.seq_id, CAST(evn.part AS INTEGER) AS part, event_no, CASE WHEN n = 2 AND evn.part = 0 THEN 'upper' WHEN n = 2 THEN 'lower'
+    ELSE 'part_' || evn.part END AS staff, event_type, {_SIDES}
+  FROM evn JOIN np USING (seq_id) LEFT JOIN te ON te.seq_id = evn.seq_id AND te.part = evn.part AND te.x = ei
+  LEFT JOIN ta ON ta.seq_id = evn.seq_id AND ta.part = evn.part AND ta.x = ai)"""
 
 # ---- distances and scores ------------------------------------------------------------------------------------------
 
@@ -156,7 +158,7 @@ def alignment_events(spark, sf):
     return S.alignment_events(parts, ["seq_id"])
 
 
-query("sq03_alignment_events")(alignment_events)
+query("sq03_alignment_events", f"WITH RECURSIVE {EVENTS} SELECT * FROM tev")(alignment_events)
 
 
 @query("sq03_alignment_totals", f"""WITH {SAMPLES} SELECT seq_id, CAST(sum(elen) AS BIGINT) AS expected_side,
@@ -345,17 +347,17 @@ def score_histogram(spark, sf):
     return A.score_histogram(B.table(spark, sf, "events"), F.col("value") / 50)
 
 
-@query("ag05_event_breakdown", f"WITH {ZIPPED} SELECT event_type, count(*) AS n FROM zip GROUP BY 1")
+@query("ag05_event_breakdown", f"WITH RECURSIVE {EVENTS} SELECT event_type, count(*) AS n FROM tev GROUP BY 1")
 def event_breakdown(spark, sf):
-    return zipped_events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
+    return alignment_events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("ag06_error_rates", f"""WITH {ZIPPED} SELECT exp_pitch AS token, count(*) AS total,
+@query("ag06_error_rates", f"""WITH RECURSIVE {EVENTS} SELECT exp_pitch AS token, count(*) AS total,
     count(*) FILTER (event_type <> 'match') AS errors, round_even(count(*) FILTER (event_type <> 'match') / count(*) * 100, 1) AS rate
-    FROM zip WHERE exp_pitch IS NOT NULL GROUP BY 1 HAVING count(*) >= 20
+    FROM tev WHERE exp_pitch IS NOT NULL GROUP BY 1 HAVING count(*) >= 20
     ORDER BY count(*) FILTER (event_type <> 'match') / count(*) DESC, 1 LIMIT 20""")
 def error_rates(spark, sf):
-    return A.error_rates(zipped_events(spark, sf), "pitch")
+    return A.error_rates(alignment_events(spark, sf), "pitch")
 
 
 @query("ag07_field_frequencies", f"WITH {B.EVT} " + " UNION ALL ".join(
@@ -369,22 +371,22 @@ def longest_sequence(spark, sf):
     return B.evt(spark, sf).groupBy("seq_id").count().agg(F.max("count").alias("max_seq_len"))
 
 
-@query("sl01_top_missing", f"""WITH {ZIPPED} SELECT exp_pitch AS token, count(*) AS n FROM zip WHERE event_type = 'delete'
+@query("sl01_top_missing", f"""WITH RECURSIVE {EVENTS} SELECT exp_pitch AS token, count(*) AS n FROM tev WHERE event_type = 'delete'
     AND exp_pitch IS NOT NULL GROUP BY 1 ORDER BY n DESC, token LIMIT 20""")
 def top_missing(spark, sf):
-    return A.top_events(zipped_events(spark, sf), "delete", "pitch")
+    return A.top_events(alignment_events(spark, sf), "delete", "pitch")
 
 
-@query("sl01_top_hallucinated", f"""WITH {ZIPPED} SELECT act_rhythm AS token, count(*) AS n FROM zip WHERE event_type = 'insert'
+@query("sl01_top_hallucinated", f"""WITH RECURSIVE {EVENTS} SELECT act_rhythm AS token, count(*) AS n FROM tev WHERE event_type = 'insert'
     AND act_rhythm IS NOT NULL GROUP BY 1 ORDER BY n DESC, token LIMIT 20""")
 def top_hallucinated(spark, sf):
-    return A.top_events(zipped_events(spark, sf), "insert", "rhythm")
+    return A.top_events(alignment_events(spark, sf), "insert", "rhythm")
 
 
-@query("sl02_top_confusions", f"""WITH {ZIPPED} SELECT exp_pitch AS expected, act_pitch AS actual, count(*) AS n FROM zip
+@query("sl02_top_confusions", f"""WITH RECURSIVE {EVENTS} SELECT exp_pitch AS expected, act_pitch AS actual, count(*) AS n FROM tev
     WHERE event_type = 'substitute' AND exp_pitch <> act_pitch GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20""")
 def top_confusions(spark, sf):
-    return A.top_substitutions(zipped_events(spark, sf), "pitch")
+    return A.top_substitutions(alignment_events(spark, sf), "pitch")
 
 
 @query("sc11_samples_upsert", """SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id,
@@ -428,28 +430,32 @@ def limit_before_skip(spark, sf):
     return t.select("seq_id").distinct().orderBy("seq_id").limit(50).join(stored, "seq_id", "left_anti")
 
 
+def _report_sql() -> str:
+    def top(section: str, field: str | None, where: str, token: str, other: str = "NULL", having: str = "true", order: str = "count(*)") -> str:
+        rate = "round_even(count(*) FILTER (event_type <> 'match') / count(*) * 100, 1)" if section == "error_rates" else "NULL"
+        label = f"'{field}'" if field else "NULL"
+        return f"""SELECT '{section}' AS section, CAST({label} AS VARCHAR) AS field, CAST(row_number() OVER (ORDER BY {order} DESC, {token}, {other}) AS INTEGER) AS rank,
+          {token} AS token, CAST({other} AS VARCHAR) AS other, count(*) AS n, count(*) FILTER (event_type <> 'match') AS errors, CAST({rate} AS DOUBLE) AS rate
+          FROM tev WHERE {where} GROUP BY {token}, {other} HAVING {having}"""
+
+    parts = [top("event_breakdown", None, "true", "event_type")]
+    parts += [top("missing", f, f"event_type = 'delete' AND exp_{f} IS NOT NULL", f"exp_{f}") for f in ("rhythm", "pitch", "lift")]
+    parts += [top("hallucinated", f, f"event_type = 'insert' AND act_{f} IS NOT NULL", f"act_{f}") for f in ("rhythm", "pitch", "lift")]
+    parts += [top("substitutions", f, f"event_type = 'substitute' AND exp_{f} <> act_{f}", f"exp_{f}", f"act_{f}") for f in ("rhythm", "pitch")]
+    parts += [top("error_rates", f, f"exp_{f} IS NOT NULL", f"exp_{f}", having="count(*) >= 20", order="count(*) FILTER (event_type <> 'match') / count(*)") for f in ("rhythm", "pitch")]
+    return f"WITH RECURSIVE {EVENTS}, report AS ({' UNION ALL '.join(parts)}) SELECT * FROM report WHERE rank <= 20"
+
+
+@query("sc15_report_rows", _report_sql())
+def report_rows(spark, sf):
+    """Every token table of the report from the aligned events, in one pass."""
+    return A.report_rows(alignment_events(spark, sf))
+
+
 @query("sc15_report_dataset")
 def report_dataset(spark, sf):
-    """All report tables as one row; every part is a bounded aggregate."""
-    events = zipped_events(spark, sf)
-
-    def rows(df, name):
-        return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-
-    parts = [
-        rows(run_summary(spark, sf), "summary"),
-        rows(score_histogram(spark, sf), "ned_distribution"),
-        rows(events.groupBy("event_type").agg(F.count("*").alias("n")), "event_breakdown"),
-        *[rows(A.top_events(events, "delete", f), f"missing_{f}") for f in ("rhythm", "pitch", "lift")],
-        *[rows(A.top_events(events, "insert", f), f"hallucinated_{f}") for f in ("rhythm", "pitch", "lift")],
-        *[rows(A.top_substitutions(events, f), f"substitutions_{f}") for f in ("rhythm", "pitch")],
-        *[rows(A.error_rates(events, f), f"error_rates_{f}") for f in ("rhythm", "pitch")],
-    ]
-    # one-row frames side by side: a join on a constant, bounded by construction
-    out = parts[0].withColumn("_k", F.lit(0))
-    for part in parts[1:]:
-        out = out.join(part.withColumn("_k", F.lit(0)), "_k")
-    return out.drop("_k").select(F.struct(*[c for c in out.columns if c != "_k"]).alias("report"))
+    """All report tables as one row; the aligned events are read once."""
+    return A.report(alignment_events(spark, sf), summary=run_summary(spark, sf), ned_distribution=score_histogram(spark, sf))
 
 
 @query("sc16_diff_export", f"""WITH {B.TURN} SELECT sample_id, 'expected' AS side, expected_text AS content, 'krn' AS extension FROM turn_pairs
@@ -481,9 +487,9 @@ def _col_sql(side):
     return " || ' ' || ".join(f"({p})" for p in parts)
 
 
-@query("sf25_side_by_side", f"""WITH {ZIPPED}, x AS (SELECT *, {_col_sql('exp')} AS e0, {_col_sql('act')} AS a FROM zip),
+@query("sf25_side_by_side", f"""WITH RECURSIVE {EVENTS}, x AS (SELECT *, {_col_sql('exp')} AS e0, {_col_sql('act')} AS a FROM tev),
     y AS (SELECT *, {_pad('e0', 47)} AS e FROM x)
-    SELECT seq_id, CAST(n AS INTEGER) AS n, event_type, CASE event_type WHEN 'match' THEN '  ' || e || '  ' || a WHEN 'delete' THEN '< ' || e
+    SELECT seq_id, part, event_no, event_type, CASE event_type WHEN 'match' THEN '  ' || e || '  ' || a WHEN 'delete' THEN '< ' || e
       WHEN 'insert' THEN '  ' || repeat(' ', 47) || '> ' || a ELSE '! ' || e || '! ' || a END AS line FROM y""")
 def side_by_side(spark, sf):
-    return A.side_by_side(zipped_events(spark, sf), FIELDS).select("seq_id", "n", "event_type", "line")
+    return A.side_by_side(alignment_events(spark, sf), FIELDS).select("seq_id", "part", "event_no", "event_type", "line")
