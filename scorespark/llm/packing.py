@@ -36,11 +36,14 @@ WELL_FILLED = 0.98
 
 #: Beyond these ranges, or with a special token's text, character classes are left to the reference encoder.
 UNUSUAL = re.compile("[^\x00-ɏ‐-‧€]|<\\|")
+#: The faster encoder's expression overflows its stack on about a million white-space characters in a row.
+BLANK_RUN = re.compile(r"\s{256}\s*+")
+LONGEST_BLANK_RUN = 10_000
 
 
 class Encoder:
     """Token ids of a vocabulary file. Everyday Latin text goes through the faster encoder of the same vocabulary (rank
-    file), which gives equal ids there; any other text through the tokenizer file itself."""
+    file), which gives equal ids there; any other text, and one with a very long blank run, through the tokenizer file."""
 
     def __init__(self, json_path: str, rank_path: str | None, pattern: str | None):
         import base64
@@ -57,11 +60,15 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and not UNUSUAL.search(text):
+        if self.fast is not None and not UNUSUAL.search(text) and not has_long_blanks(text):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
+def has_long_blanks(text: str) -> bool:
+    return any(m.end() - m.start() > LONGEST_BLANK_RUN for m in BLANK_RUN.finditer(text))
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
