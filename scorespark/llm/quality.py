@@ -75,15 +75,25 @@ class Model:
         return np.clip(np.interp(self.raw_scores(x), self.raw, self.level), 0.0, 1.0)
 
 
-def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of the best non-decreasing fit, one at the mean of each pool."""
+def pooled(points: list[list[float]]) -> list[list[float]]:
+    """Pool adjacent violators over (sum of raw scores, sum of labels, count), in order of raw scores."""
     pools: list[list[float]] = []
-    for r, y in sorted(zip(raw.tolist(), label.tolist())):
-        pools.append([r, y, 1.0])
+    for point in points:
+        pools.append(list(point))
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            r1, y1, n1 = pools.pop()
-            pools[-1] = [pools[-1][0] + r1, pools[-1][1] + y1, pools[-1][2] + n1]
-    return np.array([r / n for r, _, n in pools]), np.array([(y + 0.5) / (n + 1) for _, y, n in pools])
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return pools
+
+
+def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the best non-decreasing fit, one at the mean of each pool, levels kept off 0 and 1 by half a label.
+
+    That can turn the order of a small pool and a large one round, so the smoothed levels are pooled once more.
+    """
+    first = pooled([[r, y, 1.0] for r, y in sorted(zip(raw.tolist(), label.tolist()))])
+    pools = pooled([[r, n * (y + 0.5) / (n + 1), n] for r, y, n in first])
+    return np.array([r / n for r, _, n in pools]), np.array([y / n for _, y, n in pools])
 
 
 def _stats(texts: DataFrame, parts: int) -> DataFrame:

@@ -50,6 +50,20 @@ def test_encoder_equals_the_tokenizer_file(spark, sf_dir):
     assert all(encode(t) == encode.exact.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n", " \n"])
+def test_encoder_takes_millions_of_blanks(blank):
+    encode = packing.encoder(*queries.byte_vocabulary())
+    for text in ("a" + blank * 2_000_000 + "b", "a" + blank * 5_000 + "b", blank * 12_000):
+        assert encode(text) == encode.exact.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_a_very_long_blank_run(spark):
+    docs = helpers.corpus(spark, [(1, "a" + " " * 3_000_000 + "b"), (2, "x y")])
+    rows = packing.pack(docs, queries.byte_vocabulary()).collect()
+    checked_packing(rows, 1024)
+    assert {r["doc_id"] for r in rows} == {1, 2}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 9), min_size=1), st.integers(0, 5))
 def test_plans_place_every_length_once(demand, seed):
@@ -442,6 +456,19 @@ def test_isotonic_is_monotone():
     assert (np.diff(knots) > 0).all() and (np.diff(level) >= 0).all()
 
 
+def test_isotonic_is_monotone_with_small_pools_beside_large_ones():
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randint(1, 60)
+        raw = np.sort(np.array([rng.random() for _ in range(n)]))
+        label = np.array([float(rng.random() < x) for x in raw])
+        knots, level = quality.isotonic(raw, label)
+        assert (np.diff(knots) > 0).all() and (np.diff(level) > 0).all() and 0 < level.min() and level.max() < 1
+    raw = np.arange(302.0)
+    knots, level = quality.isotonic(raw, np.r_[np.zeros(100), np.ones(200), 0.0, 1.0])
+    assert (np.diff(level) > 0).all()
+
+
 def test_toxicity(spark, sf_dir):
     rng = random.Random(3)
     plain = ["".join(rng.choice(["the", "an", "er", "ing", "on", "th"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
