@@ -6,9 +6,13 @@ hot user or source never becomes a hot sequence. The SQL fragments say the same
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 BLOCK = 64
 
 BASES = ["4", "8", "12", "16", "2", "20", "8.", "28", "1", "0"]
@@ -18,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def pick(values: list[str], index: Column) -> Column:
     """values[index] for a small constant list."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))

@@ -254,7 +254,10 @@ def metadata(spark, sf):
 @query("sc08_metadata_scan", f"""WITH {_META} SELECT page_id, TRY_CAST(n_tracks AS INTEGER) AS n_tracks, TRY_CAST(complexity AS INTEGER) AS complexity
     FROM meta WHERE valid = 'True' AND free = 'True' AND TRY_CAST(n_tracks AS INTEGER) <= 600 AND TRY_CAST(complexity AS INTEGER) <= 3""")
 def metadata_scan(spark, sf):
-    return D.usable_metadata(metadata(spark, sf), 600, 3).select("page_id", "n_tracks", "complexity")
+    """Written as CSV with a header and scanned."""
+    folder = B.work_folder(spark, "metadata")
+    metadata(spark, sf).write.option("header", True).csv(folder)
+    return D.read_metadata(spark, folder, 600, 3).select(F.col("page_id").cast("long").alias("page_id"), "n_tracks", "complexity")
 
 
 @query("sc09_image_listing", """WITH p AS (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) ||
@@ -286,9 +289,12 @@ def benchmark_scan(spark, sf):
 def index_sink(spark, sf):
     accepted, _ = P.quarantine(faulty(spark, sf))
     key = F.col("seq_id").cast("string")
-    return accepted.select("seq_id").distinct().select(
-        F.concat(F.lit("img/"), key, F.lit(".png,tok/"), key, F.lit(".tokens")).alias("line")
+    samples = accepted.select("seq_id").distinct().select(
+        F.concat(F.lit("img/"), key, F.lit(".png")).alias("image"), F.concat(F.lit("tok/"), key, F.lit(".tokens")).alias("tokens")
     )
+    folder = B.work_folder(spark, "index")
+    D.write_index(samples, folder)
+    return D.read_index_bundle(spark, folder).select(F.concat_ws(",", "image", "tokens").alias("line"))
 
 
 _VOC = " UNION ALL ".join(

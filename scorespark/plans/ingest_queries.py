@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 import pandas as pd
@@ -17,7 +16,6 @@ from ..operators import analytics as A
 from ..operators import producers
 from ..operators import scoring as S
 from ..operators import windows as N
-from ..session import ensure_checkpoint_dir
 from ..sources import archives, kern, musicxml, semantic
 from ..streaming import incremental
 from . import bindings as B
@@ -63,16 +61,23 @@ def kern_texts(spark, sf):
     return whole.groupBy(F.col("seq_id").alias("score")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("doc", "text"))).getField("text"), "\n").alias("text"))
 
 
+def stored(spark, texts):
+    """Score texts through a bundle on disk and back."""
+    folder = B.work_folder(spark, "scores")
+    kern.write_bundle(texts, folder)
+    return kern.read_bundle(spark, folder).where("error IS NULL").select(F.col("score").cast("long").alias("score"), "text")
+
+
 @query("sc03_kern_ingest")
 def kern_ingest(spark, sf):
-    tokens = kern.kern_tokens(kern_texts(spark, sf))
+    tokens = kern.kern_tokens(stored(spark, kern_texts(spark, sf)))
     return tokens.groupBy("score", "part", *V.TOKEN_FIELDS).agg(F.count("*").alias("n"))
 
 
 @query("sc03_kern_merged")
 def kern_merged(spark, sf):
     """Both staffs as one sequence of upper and lower tokens."""
-    tokens = kern.kern_tokens(kern_texts(spark, sf), merged=True)
+    tokens = kern.kern_tokens(stored(spark, kern_texts(spark, sf)), merged=True)
     return tokens.groupBy("score", *V.TOKEN_FIELDS).agg(F.count("*").alias("n"))
 
 
@@ -80,10 +85,35 @@ def kern_merged(spark, sf):
       WHEN k % 13 = 0 THEN 2 ELSE 1 END AS notes FROM evt) SELECT seq_id AS score, CAST(sum(notes) AS BIGINT) AS notes FROM r GROUP BY 1""")
 def kern_note_count(spark, sf):
     """Conservation: every sounding cell of the text gives one note or rest."""
-    tokens = kern.kern_tokens(kern_texts(spark, sf))
+    tokens = kern.kern_tokens(stored(spark, kern_texts(spark, sf)))
     return tokens.groupBy("score").agg(F.count_if(T.is_sounding(F.col("rhythm"))).alias("notes"))
 
 
+# Every sounding cell of the kern text as SQL states it from the event columns: fields and place.
+_KERN_NOTES = B.EVT + """,
+cells AS (SELECT *, user_id % 2 AS odd, ['4', '8', '16', '2.', '12', ''][k % 6 + 1] AS base, (k // 30) % 3 + 1 AS reps,
+    CASE WHEN k % 13 = 0 THEN 1 WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS part FROM evt
+  WHERE NOT (starts_with(rhythm, 'key') OR starts_with(rhythm, 'clef') OR starts_with(rhythm, 'time') OR contains(rhythm, 'barline') OR contains(rhythm, 'repeat'))),
+notes AS (SELECT seq_id AS score, part, pos, 0 AS member, k % 9 = 0 AS rests,
+    CASE WHEN k % 9 = 0 THEN 'rest_' ELSE 'note_' END || CASE WHEN base = '' THEN '4' ELSE replace(base, '.', '') END
+      || CASE WHEN k % 9 <> 0 AND k % 11 = 0 THEN 'G' ELSE '' END || CASE WHEN base = '2.' THEN '.' ELSE '' END AS rhythm,
+    ['C', 'D', 'E', 'F', 'G', 'A', 'B'][(k + 0) % 7 + 1] || CASE WHEN event_id % 3 = 0 THEN 4 - reps ELSE reps + 3 END AS pitch,
+    ['_', '#', 'b', '_'][event_id % 4 + 1] AS lift, ['_', 'staccato', 'accent', 'fermata', '_', '_', '_', '_'][event_id % 8 + 1] AS articulation,
+    ['_', '_', '_', '_', 'slurStart', 'slurStop', 'slurStart', 'slurStop'][event_id % 8 + 1] AS slur FROM cells
+  UNION ALL SELECT seq_id, 1, pos, 1, true, 'rest_4', '_', '_', '_', '_' FROM cells WHERE k % 13 = 0),
+placed AS (SELECT score, CAST(part AS INTEGER) AS part, CAST(row_number() OVER (PARTITION BY score, part ORDER BY pos, member) - 1 AS INTEGER) AS n, rhythm,
+    CASE WHEN rests THEN '_' ELSE pitch END AS pitch, CASE WHEN rests THEN '_' ELSE lift END AS lift,
+    CASE WHEN rests THEN '_' ELSE articulation END AS articulation, CASE WHEN rests THEN '_' ELSE slur END AS slur FROM notes)"""
+
+
+@query("sc03_kern_notes", f"WITH {_KERN_NOTES} SELECT score, part, n, rhythm, pitch, lift, articulation, slur FROM placed")
+def kern_notes(spark, sf):
+    """Notes and rests of every staff in order, with all their fields."""
+    tokens = kern.kern_tokens(stored(spark, kern_texts(spark, sf))).where(T.is_sounding(F.col("rhythm")))
+    n = F.row_number().over(N.ordered("score", "part", by="ord")) - 1
+    return tokens.select("score", "part", n.alias("n"), "rhythm", "pitch", "lift", "articulation", "slur")
+
+
 def musicxml_texts(spark, sf):
     """One part per sequence, a measure per eight events, some notes in chords, on the second staff or after a backup."""
     t = B.evt(spark, sf)
@@ -110,13 +140,25 @@ def musicxml_texts(spark, sf):
 
 @query("sc04_musicxml_ingest")
 def musicxml_ingest(spark, sf):
-    tokens = musicxml.musicxml_tokens(musicxml_texts(spark, sf))
+    tokens = musicxml.musicxml_tokens(stored(spark, musicxml_texts(spark, sf)))
     return tokens.groupBy("score", "part", "measure", *V.TOKEN_FIELDS).agg(F.count("*").alias("n"))
 
 
+@query("sc04_musicxml_notes", f"""WITH {B.EVT}, x AS (SELECT seq_id AS score, CAST(pos // 8 AS INTEGER) AS measure, k % 9 = 0 AS rests,
+      ['4', '8', '16', '2'][k % 4 + 1] AS base, ['C', 'D', 'E', 'F', 'G', 'A', 'B'][k % 7 + 1] || ((k // 20) + 2) AS pitch, CASE WHEN event_id % 5 = 0 THEN '#' ELSE '_' END AS lift,
+      ['_', 'staccato', '_', 'fermata'][event_id % 4 + 1] AS articulation, ['_', '_', 'slurStart', '_'][event_id % 4 + 1] AS slur, ['upper', 'lower'][event_id % 2 + 1] AS position
+    FROM evt WHERE pos > 0 AND NOT (contains(rhythm, 'barline') OR contains(rhythm, 'repeat')))
+    SELECT score, measure, CASE WHEN rests THEN 'rest_' ELSE 'note_' END || base AS rhythm, CASE WHEN rests THEN '_' ELSE pitch END AS pitch,
+      CASE WHEN rests THEN '_' ELSE lift END AS lift, articulation, slur, position, count(*) AS n FROM x GROUP BY ALL""")
+def musicxml_notes(spark, sf):
+    """Notes and rests of every measure with all their fields."""
+    tokens = musicxml.musicxml_tokens(stored(spark, musicxml_texts(spark, sf))).where(T.is_sounding(F.col("rhythm")))
+    return tokens.groupBy("score", "measure", *V.TOKEN_FIELDS).agg(F.count("*").alias("n"))
+
+
 @query("sc04_musicxml_note_count", f"""WITH {B.EVT} SELECT seq_id AS score, count(*) FILTER (pos > 0 AND NOT (contains(rhythm, 'barline') OR contains(rhythm, 'repeat'))) AS notes FROM evt GROUP BY 1""")
 def musicxml_note_count(spark, sf):
-    tokens = musicxml.musicxml_tokens(musicxml_texts(spark, sf))
+    tokens = musicxml.musicxml_tokens(stored(spark, musicxml_texts(spark, sf)))
     return tokens.groupBy("score").agg(F.count_if(T.is_sounding(F.col("rhythm"))).alias("notes"))
 
 
@@ -305,12 +347,6 @@ def event_breakdown_by_staff(spark, sf):
 # ---- streams -------------------------------------------------------------------------------------------------------
 
 
-def _work_folder(spark, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf, name: str):
     schema = B.table(spark, sf, name).schema
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
@@ -319,7 +355,7 @@ def _stream(spark, sf, name: str):
 @query("st01_incremental_scoring", f"""WITH {TURNS} SELECT sample_id, distance FROM turn_scores WHERE actual_text IS NOT NULL""")
 def incremental_scoring(spark, sf):
     """Turns written as arriving files, scored by a file stream into a store; equals the batch result."""
-    folder = _work_folder(spark, "scoring")
+    folder = B.work_folder(spark, "scoring")
     pairs = B.turns(spark, sf).where("actual_text is not null").select("sample_id", "expected_text", "actual_text")
     pairs.write.parquet(f"{folder}/in")
 
@@ -334,7 +370,7 @@ def incremental_scoring(spark, sf):
 
 @query("st02_running_counts", "SELECT 'event_type' AS field, event_type AS token, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'props', props, count(*) FROM events GROUP BY 2")
 def running_counts(spark, sf):
-    folder = _work_folder(spark, "counts")
+    folder = B.work_folder(spark, "counts")
     incremental.running_counts(_stream(spark, sf, "events"), ["event_type", "props"], f"{folder}/out", f"{folder}/cp")
     return spark.read.parquet(f"{folder}/out")
 
@@ -343,7 +379,7 @@ def running_counts(spark, sf):
     l AS (SELECT *, lag(rhythm) OVER (PARTITION BY score, part, kind ORDER BY doc, pos) AS prev FROM s WHERE kind IS NOT NULL)
     SELECT score, part, doc, pos, kind, rhythm FROM l WHERE prev IS DISTINCT FROM rhythm""")
 def signature_stream(spark, sf):
-    folder = _work_folder(spark, "signatures")
+    folder = B.work_folder(spark, "signatures")
     t = B.evt(spark, sf).select(
         F.col("seq_id").alias("score"), (F.col("user_id") % 2).cast("int").alias("part"), F.expr("cast(pos div 16 as int)").alias("doc"), "pos", N.signature_kind(F.col("rhythm")).alias("kind"), "rhythm"
     ).where("kind is not null")

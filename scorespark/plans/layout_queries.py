@@ -10,7 +10,7 @@ from ..operators import graphs as GR
 from ..operators import layout as L
 from ..operators import series as SE
 from ..session import ensure_checkpoint_dir
-from ..sources import layout_files
+from ..sources import bundles, layout_files
 from . import bindings as B
 from .registry import query
 
@@ -693,8 +693,11 @@ def affine_points(spark, sf):
 
 @query("sc13_layout_sink", f"""WITH {B.BOX} SELECT box_id, (kind % 2) || ' ' || printf('%.8f', (cx + 400) / {W0}) || ' ' || printf('%.8f', (cy + 400) / {H0}) || ' ' || printf('%.8f', w / {W0}) || ' ' || printf('%.8f', h / {H0}) AS line FROM box""")
 def layout_sink(spark, sf):
-    b = B.boxes(spark, sf).select("box_id", (F.col("kind") % 2).alias("class"), (F.col("cx") + 400).alias("cx"), (F.col("cy") + 400).alias("cy"), "w", "h")
-    return b.select("box_id", layout_files.to_line(W0, H0, digits=8).alias("line"))
+    """Written as a bundle and read back."""
+    b = B.boxes(spark, sf).select("page", "box_id", (F.col("kind") % 2).alias("class"), (F.col("cx") + 400).alias("cx"), (F.col("cy") + 400).alias("cy"), "w", "h")
+    folder = B.work_folder(spark, "layout")
+    layout_files.write_layout(b, folder, W0, H0, "box_id", digits=8)
+    return bundles.read(spark, folder).select(F.col("number").alias("box_id"), F.col("value").alias("line"))
 
 
 @query("sc14_layout_scan", f"""WITH {B.BOX}, n AS (SELECT box_id, kind % 2 <> 0 AS grand, CAST(printf('%.8f', (cx + 400) / {W0}) AS DOUBLE) * {W0} AS x, CAST(printf('%.8f', (cy + 400) / {H0}) AS DOUBLE) * {H0} AS y,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..functions import tokens as T
 from ..functions import vocabulary as V
 from ..operators import analytics as A
 from ..operators import chords as C
 from ..operators import neighbours as N
 from ..operators import scoring as S
+from ..sources import datasets as D
 from ..sources import token_lines
 from . import bindings as B
 from .registry import query
@@ -458,23 +458,16 @@ def report_dataset(spark, sf):
     return A.report(alignment_events(spark, sf), summary=run_summary(spark, sf), ned_distribution=score_histogram(spark, sf))
 
 
-@query("sc16_diff_export", f"""WITH {B.TURN} SELECT sample_id, 'expected' AS side, expected_text AS content, 'krn' AS extension FROM turn_pairs
-    UNION ALL SELECT sample_id, 'actual', actual_text, CASE WHEN starts_with(ltrim(actual_text), '**')
-      OR contains(substr(ltrim(actual_text), 1, 200), chr(9) || '**kern') THEN 'krn' ELSE 'musicxml' END
-    FROM turn_pairs WHERE actual_text IS NOT NULL AND actual_text <> ''""")
+@query("sc16_diff_export", f"""WITH {B.TURN}, l AS (SELECT sample_id, actual_text,
+      regexp_extract(regexp_replace(actual_text, '^\\s+', ''), '(?m)^([^!\\n][^\\n]*|!([^!\\n][^\\n]*)?)$', 1) AS line FROM turn_pairs)
+    SELECT sample_id, 'expected' AS side, expected_text AS content, 'krn' AS extension FROM turn_pairs WHERE expected_text <> ''
+    UNION ALL SELECT sample_id, 'actual', actual_text, CASE WHEN starts_with(line, '**') OR contains(line, chr(9) || '**kern') THEN 'krn' ELSE 'musicxml' END
+    FROM l WHERE actual_text <> ''""")
 def diff_export(spark, sf):
-    t = B.turns(spark, sf)
-    side = F.explode(
-        F.array(
-            F.struct(F.lit("expected").alias("side"), F.col("expected_text").alias("content"), F.lit("krn").alias("extension")),
-            F.struct(
-                F.lit("actual").alias("side"),
-                F.col("actual_text").alias("content"),
-                F.when(X.is_kern(F.col("actual_text")), F.lit("krn")).otherwise(F.lit("musicxml")).alias("extension"),
-            ),
-        )
-    )
-    return t.select("sample_id", side.alias("_s")).select("sample_id", "_s.*").where("content <> ''")
+    """Written as a bundle and read back."""
+    folder = B.work_folder(spark, "diff")
+    D.export_diff(B.turns(spark, sf).withColumnRenamed("expected_text", "kern_text"), folder)
+    return D.read_diff(spark, folder)
 
 
 def _pad(x, n):

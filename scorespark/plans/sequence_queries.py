@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions import vocabulary as V
 from ..operators import chords as C
+from ..sources import token_lines
 from . import bindings as B
 from .registry import query
 
@@ -233,7 +235,11 @@ def annotation_hoisting(spark, sf):
 @query("sc02_token_line_sink", f"""WITH {HOISTED} SELECT seq_id, chord_id,
     string_agg(concat_ws(' ', {FIELDS}), '&' ORDER BY rank) AS line FROM hoisted GROUP BY 1, 2""")
 def token_line_sink(spark, sf):
-    return C.chord_lines(C.group_chords(B.evt(spark, sf)))
+    """Written as a bundle and read back."""
+    folder = B.work_folder(spark, "token-lines")
+    token_lines.write_lines(C.chord_lines(C.group_chords(B.evt(spark, sf))), folder, "seq_id")
+    lines = token_lines.read_bundle(spark, folder)
+    return lines.select(F.col("score").cast("long").alias("seq_id"), F.col("line_no").cast("int").alias("chord_id"), "line")
 
 
 GATE = """min(CASE WHEN chord_id < 5 AND starts_with(rhythm, 'clef') AND position = 'lower' THEN pos END)

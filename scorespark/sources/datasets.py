@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import bundles
 
 INDEX_SCHEMA = "image string, tokens string"
 
@@ -23,8 +24,14 @@ def parse_index(line: Column) -> Column:
     return F.from_csv(line, F.lit(INDEX_SCHEMA))
 
 
-def write_index(samples: DataFrame, path: str) -> None:
-    samples.where("image is not null and tokens is not null").select("image", "tokens").write.csv(path)
+def write_index(samples: DataFrame, path: str, **options: object) -> None:
+    """Index lines of the complete samples, appended to a text bundle by image."""
+    complete = samples.where("image is not null and tokens is not null")
+    bundles.write(complete, path, "image", F.lit(0), F.to_csv(F.struct("image", "tokens")), **options)
+
+
+def read_index_bundle(spark: SparkSession, path: str) -> DataFrame:
+    return bundles.read(spark, path).where("error IS NULL").select(parse_index(F.col("value")).alias("_i")).select("_i.*")
 
 
 def read_metadata(spark: SparkSession, path: str, max_tracks: int, max_complexity: int) -> DataFrame:
@@ -72,15 +79,23 @@ def joined_regions(regions: Column) -> Column:
     return F.array_join(F.filter(regions, lambda r: r != ""), "\n")
 
 
-def export_diff(samples: DataFrame, path: str) -> None:
-    """expected / actual text per sample as text files, by extension of the sniffed format."""
+def export_diff(samples: DataFrame, path: str, **options: object) -> None:
+    """Expected and actual text of every sample as a text bundle, named `sample/side.ext` by the sniffed format. Empty texts
+    are left out."""
     actual_ext = F.when(X.is_kern(F.col("actual_text")), F.lit("krn")).otherwise(F.lit("musicxml"))
     sides = F.array(
         F.struct(F.lit("expected").alias("side"), F.col("kern_text").alias("value"), F.lit("krn").alias("ext")),
         F.struct(F.lit("actual").alias("side"), F.col("actual_text").alias("value"), actual_ext.alias("ext")),
     )
     rows = samples.select("sample_id", F.explode(sides).alias("_s")).select("sample_id", "_s.*").where("value <> ''")
-    rows.write.partitionBy("sample_id", "side", "ext").text(path)
+    name = F.concat(F.col("sample_id").cast("string"), F.lit("/"), "side", F.lit("."), "ext")
+    bundles.write(rows, path, name, F.lit(0), "value", **options)
+
+
+def read_diff(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, side, content, extension) of an exported bundle."""
+    part = [F.regexp_extract("entry", r"(?s)^(.*)/([^/.]*)\.([^.]*)$", i) for i in (1, 2, 3)]
+    return bundles.read(spark, path).where("error IS NULL").select(part[0].alias("sample_id"), part[1].alias("side"), F.col("value").alias("content"), part[2].alias("extension"))
 
 
 def companion_files(images: DataFrame, labels: DataFrame) -> DataFrame:

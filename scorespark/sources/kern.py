@@ -15,6 +15,7 @@ from ..functions import vocabulary as V
 from ..operators import chords as C
 from ..operators import windows as N
 from ..session import ensure_checkpoint_dir
+from . import bundles
 
 # Kern key signatures, bar lines, slur and articulation marks, ignored signs.
 _SHARPS, _FLATS = "f#c#g#d#a#e#b#", "b-e-a-d-g-c-f-"
@@ -37,10 +38,20 @@ NOTE = _PREFIX + r"(\d*\.*)(?:[^a-grA-GR#]*)([a-grA-GR]+)(--|-|n|##|#)?([^#]*)"
 
 
 def read_kern(spark: SparkSession, path: str) -> DataFrame:
-    """(score, text), one row per file."""
+    """(score, text), one row per file; a filter on the path prunes files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("score"), F.col("value").alias("text"))
 
 
+def read_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """(score, text, error) of a text bundle: many scores a file, read by byte ranges; a filter on score prunes buckets."""
+    return bundles.read(spark, path).select(F.col("entry").alias("score"), F.col("value").alias("text"), "error")
+
+
+def write_bundle(texts: DataFrame, path: str, score: str = "score", **options: object) -> None:
+    """Whole score texts of any format as a text bundle."""
+    bundles.write(texts, path, score, F.lit(0), "text", **options)
+
+
 # ---- scalar decoding -----------------------------------------------------------------------------------------------
 
 

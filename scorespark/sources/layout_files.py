@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bundles
+
 
 def to_line(width: float, height: float, digits: int | None = None) -> Column:
     """Text of one staff; all digits by default, so that reading gives the same box."""
@@ -34,5 +36,12 @@ def read_layout(spark: SparkSession, path: str, width: float, height: float) ->
     return parse_lines(lines, width, height)
 
 
-def write_layout(boxes: DataFrame, path: str, width: float, height: float) -> None:
-    boxes.select("page", to_line(width, height).alias("value")).write.partitionBy("page").text(path)
+def write_layout(boxes: DataFrame, path: str, width: float, height: float, order: str, digits: int | None = None, **options: object) -> None:
+    """Boxes of pages as a text bundle: a line per staff, in the order of a column."""
+    bundles.write(boxes, path, "page", order, to_line(width, height, digits), **options)
+
+
+def read_bundle(spark: SparkSession, path: str, width: float, height: float) -> DataFrame:
+    """Page boxes of a bundle, with page and number of the line; damaged lines are skipped like unreadable ones in a file."""
+    lines = bundles.read(spark, path).where("error IS NULL").select(F.col("entry").alias("page"), "number", F.col("value").alias("line"))
+    return parse_lines(lines, width, height)

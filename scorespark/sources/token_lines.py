@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from . import bundles
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +60,11 @@ def with_markers(parsed: DataFrame, keys) -> DataFrame:
     return rows.select(*keys, pos.alias("pos"), "line_no", "member_no", "_t.*").drop("slot")
 
 
-def write_lines(lines: DataFrame, path: str, score: str) -> None:
-    """Chord lines (score, chord_id, line) as text, one folder per score, in order."""
-    ordered = lines.repartition(score).sortWithinPartitions(score, "chord_id")
-    ordered.select(score, F.col("line").alias("value")).write.partitionBy(score).text(path)
+def write_lines(lines: DataFrame, path: str, score: str, line_no: str = "chord_id", **options: object) -> None:
+    """Chord lines (score, line number, line) as a text bundle: all scores of a bucket in few files, sorted inside."""
+    bundles.write(lines, path, score, line_no, "line", **options)
+
+
+def read_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """(score, line_no, line, error) of a bundle of token lines; damaged lines have an error only."""
+    return bundles.read(spark, path).select(F.col("entry").alias("score"), F.col("number").alias("line_no"), F.col("value").alias("line"), "error")

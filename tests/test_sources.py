@@ -2,6 +2,8 @@
 
 import zipfile
 
+from pyspark.sql import functions as F
+
 from scorespark.operators import windows as N
 from scorespark.sources import archives, datasets, kern, layout_files, musicxml, semantic
 
@@ -133,7 +135,38 @@ def test_index_and_listing(spark, tmp_path):
 
 
 def test_layout_round_trip(spark, tmp_path):
-    boxes = spark.createDataFrame([(1, 1, 100.0, 60.0, 40.0, 20.0)], "page int, class int, cx double, cy double, w double, h double")
-    layout_files.write_layout(boxes, str(tmp_path / "out"), 200.0, 120.0)
-    row = layout_files.read_layout(spark, str(tmp_path / "out/*"), 200.0, 120.0).first()
+    boxes = spark.createDataFrame([(1, 1, 100.0, 60.0, 40.0, 20.0), (2, 0, 50.0, 60.0, 40.0, 20.0)], "page int, class int, cx double, cy double, w double, h double")
+    layout_files.write_layout(boxes, str(tmp_path / "out"), 200.0, 120.0, "class")
+    row = layout_files.read_bundle(spark, str(tmp_path / "out"), 200.0, 120.0).where("page = '1'").first()
     assert (row.grand, row.x1, row.y1, row.x2, row.y2) == (True, 80, 50, 120, 70)
+    (tmp_path / "plain.txt").write_text("1 0.5 0.5 0.2 0.1\nnot a box\n")
+    assert layout_files.read_layout(spark, str(tmp_path / "plain.txt"), 200.0, 120.0).count() == 1
+
+
+def test_index_and_diff_bundles(spark, tmp_path):
+    samples = spark.createDataFrame([("a,1.png", "a.tokens"), ("b.png", None), (None, "c.tokens")], "image string, tokens string")
+    datasets.write_index(samples, str(tmp_path / "index"))
+    datasets.write_index(samples, str(tmp_path / "index"))
+    assert [tuple(r) for r in datasets.read_index_bundle(spark, str(tmp_path / "index")).collect()] == [("a,1.png", "a.tokens")] * 2
+    pairs = spark.createDataFrame([("s/1", "**kern\n4c\n", "<score/>\n"), ("s2", "", "**kern\n4d\n")], "sample_id string, kern_text string, actual_text string")
+    datasets.export_diff(pairs, str(tmp_path / "diff"))
+    assert sorted(tuple(r) for r in datasets.read_diff(spark, str(tmp_path / "diff")).collect()) == [
+        ("s/1", "actual", "<score/>\n", "musicxml"), ("s/1", "expected", "**kern\n4c\n", "krn"), ("s2", "actual", "**kern\n4d\n", "krn"),
+    ]
+
+
+def test_scores_from_files_and_bundles_give_the_same_tokens(spark, tmp_path):
+    (tmp_path / "a.krn").write_text(KERN)
+    (tmp_path / "b.krn").write_text("**kern\n4c\n*-\n")
+    files = kern.read_kern(spark, str(tmp_path / "*.krn"))
+    kern.write_bundle(files, str(tmp_path / "bundle"))
+    bundle = kern.read_bundle(spark, str(tmp_path / "bundle")).where(F.col("score").endswith("a.krn")).drop("error")
+    assert listed(kern.kern_tokens(bundle).where("part = 0"), "ord") == listed(kern.kern_tokens(files.where(F.col("score").endswith("a.krn"))).where("part = 0"), "ord")
+    (tmp_path / "x.musicxml").write_text("<score-partwise><part><measure><note><rest/><duration>1</duration><type>quarter</type></note></measure></part></score-partwise>")
+    rows = listed(musicxml.musicxml_tokens(musicxml.read_musicxml(spark, str(tmp_path / "*.musicxml"))), "ord")
+    assert rows[0][0] == "rest_4"
+
+
+def test_metadata_file(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("path,n_tracks,complexity,subset:all_valid,subset:no_license_conflict\na,1,2,True,True\nb,x,2,True,True\nc,1,9,True,True\nd,1,1,true,True\ne,1,1,True,False\n")
+    assert [r.path for r in datasets.read_metadata(spark, str(tmp_path / "m.csv"), 2, 3).collect()] == ["a"]
