@@ -6,6 +6,8 @@ does not replay the loop. The greedy selections run per page, a bounded group, a
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,16 +66,20 @@ def _with_answer(packed: DataFrame, keys, udf, columns, name: str) -> DataFrame:
 
 
 def _spaced(distance: float):
-    def keep(positions) -> list[bool]:
-        chosen: list = []
-        flags = []
-        for p in positions:
-            flags.append(all(abs(p - c) >= distance for c in chosen))
-            if flags[-1]:
-                chosen.append(p)
-        return flags
+    """Kept positions stay sorted, so that only the two neighbours of a new one can be too near."""
 
-    return F.pandas_udf(lambda s: s.map(keep), TY.ArrayType(TY.BooleanType()))
+    def flags(positions) -> list[bool]:
+        kept: list = []
+        out = []
+        for p in positions:
+            at = bisect_left(kept, p)
+            free = (at == 0 or p - kept[at - 1] >= distance) and (at == len(kept) or kept[at] - p >= distance)
+            if free:
+                kept.insert(at, p)
+            out.append(free)
+        return out
+
+    return F.pandas_udf(lambda s: s.map(flags), TY.ArrayType(TY.BooleanType()))
 
 
 def spaced_peaks(peaks: DataFrame, key: str, distance: float) -> DataFrame:

@@ -21,24 +21,26 @@ def union_sources(sources: list[DataFrame], key: str = "key") -> DataFrame:
 def quotas(sizes: list[int], weights: list[float], wanted: int) -> list[int]:
     """Rows to take per source so that sources follow their weights as far as they last.
 
-    Each round splits the rest in proportion (whole numbers, the last source takes the remainder), scales the split
-    to what the scarcest source still has, takes it, and goes on with the sources that are not used up. A round that
-    cannot move any further ends the loop (a share of zero would otherwise repeat for ever).
+    Filling by weight, the source with the fewest rows per weight runs out first. Going through the sources in that order,
+    one runs out if its rows are no more than its share of what is still to be filled; the first that lasts, and all after
+    it, share the rest in proportion. Shares are cut to whole numbers and the remainder goes to the last sources with rows
+    left. Sources without rows or weight give nothing.
     """
-    taken = [0] * len(sizes)
-    live = [i for i, size in enumerate(sizes) if size > 0]
-    while wanted > 0 and live:
-        total = sum(weights[i] for i in live)
-        share = {i: int(wanted * weights[i] / total) for i in live}
-        share[live[-1]] = wanted - sum(share[i] for i in live[:-1])
-        scale = min(min((sizes[i] - taken[i]) / share[i], 1) for i in live if share[i] > 0)
-        step = {i: int(scale * share[i]) for i in live}
-        if not any(step.values()):
+    usable = [i for i, size in enumerate(sizes) if size > 0 and weights[i] > 0]
+    rest, weight, taken = wanted, sum(weights[i] for i in usable), [0] * len(sizes)
+    by_scarcity = sorted(usable, key=lambda i: sizes[i] / weights[i])
+    exhausted = 0
+    for i in by_scarcity:
+        if sizes[i] * weight > weights[i] * rest:
             break
-        for i in live:
-            taken[i] += step[i]
-            wanted -= step[i]
-        live = [i for i in live if taken[i] < sizes[i]]
+        taken[i], rest, weight, exhausted = sizes[i], rest - sizes[i], weight - weights[i], exhausted + 1
+    sharing = sorted(by_scarcity[exhausted:])
+    for i in sharing:
+        taken[i] = int(rest * weights[i] / weight)
+    remainder = rest - sum(taken[i] for i in sharing)
+    for i in reversed(sharing):
+        more = min(remainder, sizes[i] - taken[i])
+        taken[i], remainder = taken[i] + more, remainder - more
     return taken
 
 

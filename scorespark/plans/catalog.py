@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     corpus_queries,
     ingest_queries,
     layout_queries,
+    long_queries,
     mixing_queries,
     scoring_queries,
     sequence_queries,

@@ -169,7 +169,18 @@ def test_part_order_does_not_matter(spark):
 def test_quotas():
     assert sampling.quotas([7, 5, 3], [0.5, 1, 1], 10) == [2, 5, 3]
     assert sampling.quotas([10, 10], [1, 1], 30) == [10, 10]
-    assert sum(sampling.quotas([100, 1, 50], [0.1, 5, 1], 60)) <= 60
+    assert sampling.quotas([100, 1, 50], [0.1, 5, 1], 60) == [9, 1, 50]
+    assert sampling.quotas([5, 5, 0], [1, 0, 3], 8) == [5, 0, 0]
+    assert sampling.quotas([], [], 3) == [] and sampling.quotas([4], [2.0], 0) == [0]
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(1, 6)
+        sizes, weights, wanted = [rng.randint(0, 40) for _ in range(n)], [rng.choice([0.5, 1.0, 2.0, 3.5]) for _ in range(n)], rng.randint(0, 150)
+        taken = sampling.quotas(sizes, weights, wanted)
+        assert sum(taken) == min(wanted, sum(sizes)) and all(0 <= t <= s for t, s in zip(taken, sizes))
+        lasting = [t / w for t, s, w in zip(taken, sizes, weights) if t < s]
+        level = max(lasting, default=0)
+        assert all(t == s or level - t / w <= (n + 1) / min(weights) for t, s, w in zip(taken, sizes, weights))
 
 
 def test_quota_mix(spark):
