@@ -347,11 +347,6 @@ def event_breakdown_by_staff(spark, sf):
 # ---- streams -------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, sf, name: str):
-    schema = B.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
-
-
 @query("st01_incremental_scoring", f"""WITH {TURNS} SELECT sample_id, distance FROM turn_scores WHERE actual_text IS NOT NULL""")
 def incremental_scoring(spark, sf):
     """Turns written as arriving files, scored by a file stream into a store; equals the batch result."""
@@ -370,9 +365,13 @@ def incremental_scoring(spark, sf):
 
 @query("st02_running_counts", "SELECT 'event_type' AS field, event_type AS token, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'props', props, count(*) FROM events GROUP BY 2")
 def running_counts(spark, sf):
+    """Events arrive in several files, two a batch; the counts are those of the whole table."""
     folder = B.work_folder(spark, "counts")
-    incremental.running_counts(_stream(spark, sf, "events"), ["event_type", "props"], f"{folder}/out", f"{folder}/cp")
-    return spark.read.parquet(f"{folder}/out")
+    events = B.table(spark, sf, "events").select("event_type", "props", "event_id")
+    events.repartition(9, F.floor(F.col("event_id") / 100)).select("event_type", "props").write.parquet(f"{folder}/in")
+    arrivals = spark.readStream.schema("event_type string, props string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    incremental.running_counts(arrivals, ["event_type", "props"], f"{folder}/out", f"{folder}/cp", compact_every=3)
+    return incremental.read_counts(spark, f"{folder}/out")
 
 
 @query("st03_signature_stream", f"""WITH {B.EVT}, s AS (SELECT seq_id AS score, CAST(user_id % 2 AS INTEGER) AS part, CAST(pos // 16 AS INTEGER) AS doc, pos, CASE WHEN starts_with(rhythm, 'clef') THEN 'clef' WHEN starts_with(rhythm, 'key') THEN 'key' WHEN starts_with(rhythm, 'time') THEN 'time' END AS kind, rhythm FROM evt),
@@ -383,7 +382,7 @@ def signature_stream(spark, sf):
     t = B.evt(spark, sf).select(
         F.col("seq_id").alias("score"), (F.col("user_id") % 2).cast("int").alias("part"), F.expr("cast(pos div 16 as int)").alias("doc"), "pos", N.signature_kind(F.col("rhythm")).alias("kind"), "rhythm"
     ).where("kind is not null")
-    t.write.parquet(f"{folder}/in")
-    arrivals = spark.readStream.schema(t.schema).parquet(f"{folder}/in")
+    t.repartition(5, F.hash("doc", "score")).write.parquet(f"{folder}/in")  # documents of a score arrive in any order
+    arrivals = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     incremental.carry_stream(arrivals, f"{folder}/out", f"{folder}/cp")
-    return spark.read.parquet(f"{folder}/out")
+    return incremental.read_changes(spark, f"{folder}/out")

@@ -1,86 +1,188 @@
 """Incremental scoring, running counts and signature carry over arriving files.
 
 All three run with `availableNow`: they take what has arrived, keep their progress in a checkpoint and stop, so a
-scheduler can call them again. Results go to files in a shared folder, never through the driver.
+scheduler can call them again. Results go to files in a shared folder, never through the driver, and nothing that a reader
+may hold is overwritten: a batch that is replayed after a failure writes its own folder again, with the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import analytics as A
 
+BUCKETS = 64
 
-def score_arrivals(arrivals: DataFrame, score: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, key: str = "sample_id") -> None:
-    """Score new samples batch by batch and append them to the store, stamped with their batch.
 
-    A batch that is replayed after a failure overwrites its own folder. Samples already stored are skipped, failed
-    ones included; the newest row per key wins on reading (`read_store`).
-    """
+def run_available(stream, checkpoint: str) -> None:
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = _stored_before(spark, store, number)
-        fresh = batch if seen is None else batch.join(seen.select(key).distinct(), key, "left_anti")
-        score(fresh).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{store}/run={number}")
 
-    arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A parquet folder, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
 
+# ---- scoring -------------------------------------------------------------------------------------------------------
 
-def _stored_before(spark: SparkSession, store: str, number: int) -> DataFrame | None:
-    if number == 0:
+
+def bucket_of(key: str, buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def stored_keys(spark: SparkSession, store: str, batch: DataFrame, number: int, key: str, buckets: int = BUCKETS) -> DataFrame | None:
+    """Keys that earlier runs stored, read from the buckets of this batch only: at most ``buckets`` numbers are collected and
+    become a partition filter."""
+    stored = _read(spark, store)
+    if stored is None:
         return None
-    return spark.read.parquet(store).where(F.col("run") < number)
+    wanted = [r["bucket"] for r in batch.select(bucket_of(key, buckets).alias("bucket")).distinct().collect()]
+    return stored.where(F.col("bucket").isin(wanted) & (F.col("run") < number)).select(key).distinct()
+
+
+def score_arrivals(
+    arrivals: DataFrame, score: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, key: str = "sample_id", buckets: int = BUCKETS
+) -> None:
+    """Score new samples batch by batch into a store by run and bucket of the key, stamped with their batch.
+
+    Samples already stored are skipped, failed ones included; the newest row per key wins on reading (`read_store`).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = stored_keys(batch.sparkSession, store, batch, number, key, buckets)
+        fresh = batch if seen is None else batch.join(seen, key, "left_anti")
+        scored = score(fresh).withColumn("batch", F.lit(number)).withColumn("bucket", bucket_of(key, buckets))
+        scored.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/run={number}")
+
+    run_available(arrivals.writeStream.foreachBatch(write), checkpoint)
 
 
 def read_store(spark: SparkSession, store: str, key: str = "sample_id") -> DataFrame:
-    rows = spark.read.parquet(store).drop("run")
+    rows = spark.read.parquet(store).drop("run", "bucket")
     return A.latest_rows(rows, [key], ["batch"])
 
 
-def running_counts(arrivals: DataFrame, fields, target: str, checkpoint: str) -> None:
-    """Vocabulary counts over everything that has arrived; the target always holds the complete table."""
-    counts = A.field_frequencies(arrivals, fields)
+# ---- counts --------------------------------------------------------------------------------------------------------
+
+
+def running_counts(arrivals: DataFrame, fields, target: str, checkpoint: str, compact_every: int = 16) -> None:
+    """Vocabulary counts of everything that has arrived, as counts per batch that readers add up (`read_counts`).
 
-    def write(batch: DataFrame, _number: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    No state is kept but these files: ``deltas/batch=n`` holds the counts of one batch. Every ``compact_every`` batches the
+    deltas so far are added up into a base of their own, which counts from when it is logged, by one file; a batch that a
+    logged base holds is not counted again when it is replayed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number <= logged_base(spark, target):
+            return
+        A.field_frequencies(batch, fields).write.mode("overwrite").parquet(f"{target}/deltas/batch={number}")
+        if (number + 1) % compact_every == 0:
+            compact(spark, target, number)
+
+    run_available(arrivals.writeStream.foreachBatch(write), checkpoint)
+
+
+def logged_base(spark: SparkSession, target: str) -> int:
+    """Last batch that the newest complete base holds, -1 without one."""
+    log = _read(spark, f"{target}/log")
+    return -1 if log is None else log.agg(F.max("upto")).first()[0]
+
+
+def compact(spark: SparkSession, target: str, upto: int) -> None:
+    read_counts(spark, target, upto).write.mode("overwrite").parquet(f"{target}/bases/upto={upto}")
+    spark.range(1).select(F.lit(upto).alias("upto")).coalesce(1).write.mode("append").parquet(f"{target}/log")
 
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+def read_counts(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame:
+    """(field, token, n) over all batches, or those up to ``upto``: the newest base and the deltas after it."""
+    base = logged_base(spark, target)
+    deltas = spark.read.parquet(f"{target}/deltas").where(F.col("batch") > base)
+    if upto is not None:
+        deltas = deltas.where(F.col("batch") <= upto)
+    rows = deltas.select("field", "token", "n")
+    if base >= 0:
+        rows = rows.unionByName(spark.read.parquet(f"{target}/bases/upto={base}").select("field", "token", "n"))
+    return rows.groupBy("field", "token").agg(F.sum("n").alias("n"))
+
+
+# ---- signatures ----------------------------------------------------------------------------------------------------
+
+CHANGES = "score bigint, part int, doc int, pos int, kind string, rhythm string, version bigint, changes boolean"
+_BUFFERED = "doc int, pos int, kind string, rhythm string, changes boolean, version bigint"
 
 
 class SignatureCarry(StatefulProcessor):
-    """Keeps the signatures in force per (score, part) in the state store and emits only real changes.
+    """Signatures in force per (score, part), whatever the order in which documents arrive.
 
-    Input rows: score, part, doc, pos, kind, rhythm. Within one call rows are taken in document order; documents of
-    earlier batches are taken as earlier.
+    The state is a list of the signatures seen so far, each with whether it changes something. A batch reads the list once,
+    adds its rows, walks it in order and writes it back once. What differs from before is emitted with the next version of
+    the key: new rows, and rows of later documents that a late document makes or stops from being a change.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.force = handle.getMapState("force", "kind string", "rhythm string")
+        self.seen = handle.getListState("seen", _BUFFERED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["doc", "pos"])
-        changed = []
-        for row in frame.itertuples():
-            known = self.force.getValue((row.kind,)) if self.force.containsKey((row.kind,)) else None
-            changed.append(known is None or known[0] != row.rhythm)
-            if changed[-1]:
-                self.force.updateValue((row.kind,), (row.rhythm,))
-        yield frame[changed]
+        known, version = {}, 0
+        for doc, pos, kind, rhythm, changes, at in self.seen.get():
+            known[doc, pos, kind] = (rhythm, changes, at)
+            version = max(version, at)
+        found = {k: (rhythm, None, 0) for k, (rhythm, _, _) in known.items()}
+        for frame in rows:
+            for row in frame.itertuples(index=False):
+                found[row.doc, row.pos, row.kind] = (row.rhythm, None, 0)
+        force: dict[str, str] = {}
+        out, state = [], []
+        for doc, pos, kind in sorted(found):
+            rhythm = found[doc, pos, kind][0]
+            changes = force.get(kind) != rhythm
+            force[kind] = rhythm
+            before = known.get((doc, pos, kind))
+            if before is None or before[:2] != (rhythm, changes):
+                out.append((*key, doc, pos, kind, rhythm, version + 1, changes))
+            state.append((doc, pos, kind, rhythm, changes, version + 1))
+        self.seen.put(state)
+        yield pd.DataFrame(out, columns=["score", "part", "doc", "pos", "kind", "rhythm", "version", "changes"])
 
     def close(self) -> None:
         pass
 
 
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that list state needs, for the length of a run."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def carry_stream(signatures: DataFrame, target: str, checkpoint: str) -> None:
-    """Write the signature changes of a stream of (score, part, doc, pos, kind, rhythm) rows."""
-    spark = signatures.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = "score bigint, part int, doc int, pos int, kind string, rhythm string"
-    out = signatures.groupBy("score", "part").transformWithStateInPandas(SignatureCarry(), schema, "append", "none")
-    out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    """Follow the signature changes of a stream of (score, part, doc, pos, kind, rhythm) rows; read with `read_changes`."""
+    with state_store(signatures.sparkSession):
+        out = signatures.groupBy("score", "part").transformWithStateInPandas(SignatureCarry(), CHANGES, "append", "none")
+        run_available(out.writeStream.format("parquet").option("path", target).outputMode("append"), checkpoint)
+
+
+def read_changes(spark: SparkSession, target: str) -> DataFrame:
+    """Signatures that change something, in the newest version of each."""
+    rows = spark.read.parquet(target)
+    latest = A.latest_rows(rows, ["score", "part", "doc", "pos", "kind"], ["version"])
+    return latest.where("changes").drop("version", "changes")
