@@ -13,14 +13,14 @@ from ..functions import tokens as T
 from ..functions import vocabulary as V
 from ..operators import alignment
 from ..operators import analytics as A
-from ..operators import producers
+from ..operators import producers, table_functions
 from ..operators import scoring as S
 from ..operators import windows as N
 from ..sources import archives, kern, musicxml, semantic
 from ..streaming import incremental
 from . import bindings as B
 from .registry import query
-from .scoring_queries import EVENTS, TURNS, alignment_events, turn_scores
+from .scoring_queries import EVENTS, TURN_EVENTS, TURNS, alignment_events, turn_scores
 
 # ---- texts derived from the events ---------------------------------------------------------------------------------
 
@@ -330,13 +330,26 @@ def producer_run(spark, sf):
     return producers.run(B.turns(spark, sf), "underscore", seconds=60.0)
 
 
+def aligned_turns(spark, sf):
+    """Matched blocks of turns and outputs, by joins and windows, expanded by a table function in SQL."""
+    t = alignment.cut(turn_scores(spark, sf).where("actual_text is not null").select("sample_id", "e", "a"))
+    blocks = alignment.matching_blocks(t, ["sample_id"], "e", "a")
+    ends = t.select("sample_id", F.size("e").alias("i"), F.size("a").alias("j"), F.lit(0).alias("size"))
+    table_functions.register(spark)
+    rows = blocks.unionByName(ends).withColumnRenamed("sample_id", "pair").select("pair", "i", "j", "size")
+    return spark.sql("SELECT * FROM aligned_events(TABLE({blocks}) PARTITION BY pair ORDER BY (i, j))", blocks=rows)
+
+
+@query("ud05_aligned_rows", f"WITH RECURSIVE {TURN_EVENTS} SELECT sample_id AS pair, event_no, event_type, CAST(ei AS INTEGER) AS i, CAST(ai AS INTEGER) AS j FROM evn")
+def aligned_rows(spark, sf):
+    return aligned_turns(spark, sf)
+
+
 @query("ud05_alignment_table_function", f"""WITH {TURNS} SELECT CAST(sum(el) AS BIGINT) AS expected_tokens, CAST(sum(alen) AS BIGINT) AS actual_tokens FROM turn_scores WHERE actual_text IS NOT NULL""")
 def alignment_table_function(spark, sf):
     """One pair to many rows: match, substitute and delete rows cover the truth, match, substitute and insert the output."""
-    t = turn_scores(spark, sf).where("actual_text is not null")
-    rows = alignment.aligned(t.select("sample_id", "e", "a"), ["sample_id"], "e", "a")
     kind = F.col("event_type")
-    return rows.agg(F.count_if(kind != "insert").alias("expected_tokens"), F.count_if(kind != "delete").alias("actual_tokens"))
+    return aligned_turns(spark, sf).agg(F.count_if(kind != "insert").alias("expected_tokens"), F.count_if(kind != "delete").alias("actual_tokens"))
 
 
 @query("sq03_event_breakdown_by_staff", f"WITH RECURSIVE {EVENTS} SELECT staff, event_type, count(*) AS n FROM tev GROUP BY 1, 2")

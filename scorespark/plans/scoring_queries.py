@@ -92,36 +92,53 @@ def turn_scores(spark, sf):
 
 _TOKEN = ", ".join(FIELDS)
 _SIDES = ", ".join([f"te.{f} AS exp_{f}" for f in FIELDS] + [f"ta.{f} AS act_{f}" for f in FIELDS])
-_BEST = "first_value({'s': s, 'e': e, 'd': d}) OVER (PARTITION BY seq_id, part, lvl, bi, bj ORDER BY e - s DESC, s, d DESC)"
-# The alignment rule as a recursion: every level matches the best run of each open block and clips the others to both sides.
-EVENTS = SAMPLES + f""",
-tk AS (SELECT pi.seq_id, pi.side, pi.i AS p, row_number() OVER (PARTITION BY pi.seq_id, pi.side, pi.i ORDER BY pos) - 1 AS x, txt, {_TOKEN}
-  FROM tx JOIN pi ON pi.seq_id = tx.seq_id AND pi.side = tx.side AND pi.part = tx.part),
-te AS (SELECT al.seq_id, al.i AS part, x, txt, {_TOKEN} FROM al JOIN tk ON tk.seq_id = al.seq_id AND tk.side = 'e' AND tk.p = al.i),
-ta AS (SELECT al.seq_id, al.i AS part, x, txt, {_TOKEN} FROM al JOIN tk ON tk.seq_id = al.seq_id AND tk.side = 'a' AND tk.p = al.j),
-hit AS (SELECT te.seq_id, te.part, te.x - ta.x AS d, te.x AS i FROM te JOIN ta USING (seq_id, part, txt)),
-run AS (SELECT seq_id, part, d, min(i) AS s, max(i) AS e FROM
-  (SELECT *, i - row_number() OVER (PARTITION BY seq_id, part, d ORDER BY i) AS g FROM hit) GROUP BY seq_id, part, d, g),
-rec AS (SELECT seq_id, part, 0 AS lvl, CAST(0 AS BIGINT) AS bi, CAST(0 AS BIGINT) AS bj, d, s, e FROM run
-  UNION ALL SELECT seq_id, part, lvl + 1, nbi, nbj, d, ns, ne FROM (
+
+
+def alignment_sql(keys: str) -> str:
+    """Tables `te` and `ta` (keys, x, txt) and `ends` (keys, elen, alen) to `evn`: events with their indices ei and ai.
+
+    The rule as a recursion: every level matches the best run of each open block and clips the others to both sides.
+    """
+    best = f"first_value({{'s': s, 'e': e, 'd': d}}) OVER (PARTITION BY {keys}, lvl, bi, bj ORDER BY e - s DESC, s, d DESC)"
+    return f""",
+hit AS (SELECT {keys}, te.x - ta.x AS d, te.x AS i FROM te JOIN ta USING ({keys}, txt)),
+run AS (SELECT {keys}, d, min(i) AS s, max(i) AS e FROM
+  (SELECT *, i - row_number() OVER (PARTITION BY {keys}, d ORDER BY i) AS g FROM hit) GROUP BY {keys}, d, g),
+rec AS (SELECT {keys}, 0 AS lvl, CAST(0 AS BIGINT) AS bi, CAST(0 AS BIGINT) AS bj, d, s, e FROM run
+  UNION ALL SELECT {keys}, lvl + 1, nbi, nbj, d, ns, ne FROM (
     SELECT *, CASE WHEN lft THEN bi ELSE b.e + 1 END AS nbi, CASE WHEN lft THEN bj ELSE b.e - b.d + 1 END AS nbj,
       CASE WHEN lft THEN s ELSE greatest(s, b.e + 1, b.e - b.d + 1 + d) END AS ns,
       CASE WHEN lft THEN least(e, b.s - 1, b.s - b.d - 1 + d) ELSE e END AS ne
-    FROM (SELECT *, {_BEST} AS b FROM rec) r, (VALUES (true), (false)) sides(lft)) WHERE ns <= ne),
-blk AS (SELECT seq_id, part, b.s AS i, b.s - b.d AS j, b.e - b.s + 1 AS size FROM (SELECT DISTINCT seq_id, part, lvl, bi, bj, {_BEST} AS b FROM rec)
-  UNION ALL SELECT seq_id, i, elen, alen, 0 FROM al),
-gap AS (SELECT *, coalesce(lag(i + size) OVER w, 0) AS gi, coalesce(lag(j + size) OVER w, 0) AS gj FROM blk WINDOW w AS (PARTITION BY seq_id, part ORDER BY i, j)),
-off AS (SELECT *, greatest(i - gi, j - gj) AS gm, sum(greatest(i - gi, j - gj) + size) OVER (PARTITION BY seq_id, part ORDER BY i, j)
+    FROM (SELECT *, {best} AS b FROM rec) r, (VALUES (true), (false)) sides(lft)) WHERE ns <= ne),
+blk AS (SELECT {keys}, b.s AS i, b.s - b.d AS j, b.e - b.s + 1 AS size FROM (SELECT DISTINCT {keys}, lvl, bi, bj, {best} AS b FROM rec)
+  UNION ALL SELECT {keys}, elen, alen, 0 FROM ends),
+gap AS (SELECT *, coalesce(lag(i + size) OVER w, 0) AS gi, coalesce(lag(j + size) OVER w, 0) AS gj FROM blk WINDOW w AS (PARTITION BY {keys} ORDER BY i, j)),
+off AS (SELECT *, greatest(i - gi, j - gj) AS gm, sum(greatest(i - gi, j - gj) + size) OVER (PARTITION BY {keys} ORDER BY i, j)
   - greatest(i - gi, j - gj) - size AS o FROM gap),
-evn AS (SELECT seq_id, part, CAST(o + x AS INTEGER) AS event_no,
+evn AS (SELECT {keys}, CAST(o + x AS INTEGER) AS event_no,
     CASE WHEN x >= gm THEN 'match' WHEN x >= i - gi THEN 'insert' WHEN x >= j - gj THEN 'delete' ELSE 'substitute' END AS event_type,
     CASE WHEN x >= gm THEN i + x - gm WHEN x < i - gi THEN gi + x END AS ei, CASE WHEN x >= gm THEN j + x - gm WHEN x < j - gj THEN gj + x END AS ai
-  FROM off, unnest(range(CAST(gm + size AS BIGINT))) r(x)),
+  FROM off, unnest(range(CAST(gm + size AS BIGINT))) r(x))"""
+
+
+EVENTS = SAMPLES + f""",
+tk AS (SELECT pi.seq_id, pi.side, pi.i AS p, row_number() OVER (PARTITION BY pi.seq_id, pi.side, pi.i ORDER BY pos) - 1 AS x, txt, {_TOKEN}
+  FROM tx JOIN pi ON pi.seq_id = tx.seq_id AND pi.side = tx.side AND pi.part = tx.part),
+te AS (SELECT al.seq_id, al.i AS part, x, txt, {_TOKEN} FROM al JOIN tk ON tk.seq_id = al.seq_id AND tk.side = 'e' AND tk.p = al.i),
+ta AS (SELECT al.seq_id, al.i AS part, x, txt, {_TOKEN} FROM al JOIN tk ON tk.seq_id = al.seq_id AND tk.side = 'a' AND tk.p = al.j),
+ends AS (SELECT seq_id, i AS part, elen, alen FROM al)""" + alignment_sql("seq_id, part") + f""",
 tev AS (SELECT evn.seq_id, CAST(evn.part AS INTEGER) AS part, event_no, CASE WHEN n = 2 AND evn.part = 0 THEN 'upper' WHEN n = 2 THEN 'lower'
     ELSE 'part_' || evn.part END AS staff, event_type, {_SIDES}
   FROM evn JOIN np USING (seq_id) LEFT JOIN te ON te.seq_id = evn.seq_id AND te.part = evn.part AND te.x = ei
   LEFT JOIN ta ON ta.seq_id = evn.seq_id AND ta.part = evn.part AND ta.x = ai)"""
 
+# Words of a turn against the words of its output.
+TURN_EVENTS = TURNS + """,
+scored_turns AS (SELECT sample_id, e, a, len(e) AS elen, len(a) AS alen FROM turn_scores WHERE actual_text IS NOT NULL),
+te AS (SELECT sample_id, i - 1 AS x, e[i] AS txt FROM scored_turns, unnest(range(1, elen + 1)) r(i)),
+ta AS (SELECT sample_id, i - 1 AS x, a[i] AS txt FROM scored_turns, unnest(range(1, alen + 1)) r(i)),
+ends AS (SELECT sample_id, elen, alen FROM scored_turns)""" + alignment_sql("sample_id")
+
 # ---- distances and scores ------------------------------------------------------------------------------------------
 
 

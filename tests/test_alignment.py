@@ -3,7 +3,7 @@
 import difflib
 import random
 
-from scorespark.operators import alignment, scoring
+from scorespark.operators import alignment, scoring, table_functions
 
 KIND = "id int, e array<string>, a array<string>"
 
@@ -56,3 +56,15 @@ def test_inserted_token_does_not_shift_what_follows(spark):
         ("match", "C", "C", "upper"), ("insert", None, "X", "upper"), ("match", "D", "D", "upper"), ("match", "E", "E", "upper"),
         ("match", "F", "F", "upper"), ("delete", "G", None, "upper"),
     ]
+
+
+def test_table_function_equals_the_matcher(spark):
+    rng = random.Random(8)
+    pairs = [(n, [rng.choice("abc") for _ in range(rng.randrange(20))], [rng.choice("abc") for _ in range(rng.randrange(20))]) for n in range(25)]
+    blocks = [(str(n), b.a, b.b, b.size) for n, e, a in pairs for b in difflib.SequenceMatcher(None, e, a, autojunk=False).get_matching_blocks()]
+    table_functions.register(spark)
+    rows = spark.createDataFrame(blocks, "pair string, i int, j int, size int")
+    found = spark.sql("SELECT * FROM aligned_events(TABLE({rows}) PARTITION BY pair ORDER BY (i, j))", rows=rows).collect()
+    for n, e, a in pairs:
+        own = sorted((r for r in found if r["pair"] == str(n)), key=lambda r: r["event_no"])
+        assert [(r["event_type"], r["i"], r["j"]) for r in own] == brute(e, a)
