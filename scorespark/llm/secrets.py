@@ -7,11 +7,13 @@ candidate texts are verified with the expression; a rule without a mandatory tri
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scoring import let
 from .common import free_name
 
 
@@ -114,26 +116,42 @@ def _spans_of(rule: Rule, order: int, text: Column) -> Column:
     """
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
-    sized = F.transform(matches, lambda m: F.struct(
-        F.length(m).alias("size"),
-        (F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)).alias("body"),
+    body = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)
+    steps = F.zip_with(between, matches, lambda g, m: F.when(m.isNotNull(), F.struct((g + F.length(m)).alias("step"), F.length(m).alias("size"), body(m).alias("body"))))
+
+    def span(end: Column, step: Column) -> Column:
+        return F.when(step["body"] >= rule.least, F.struct(
+            (end - step["size"]).alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), end.alias("end")
+        ))
+
+    spans = let(F.array_compact(steps), lambda st: let(
+        running(F.transform(st, lambda x: x["step"]), lambda a, x: a + x), lambda ends: F.array_compact(F.zip_with(ends, st, span))
     ))
-    zero = F.lit(0)
-    empty = F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int>>")
-    state = F.struct(zero.alias("at"), empty.alias("spans"))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int>>"))
+
+
+#: Elements that are worked on together where each step copies what the steps before it made.
+CHUNK = 256
+
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["m"]["size"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(
-            end.alias("at"),
-            F.when(x["m"]["body"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running combination (a sum, a maximum) of whole numbers from 0: inside chunks, then over the chunks' last values."""
+    ints = F.array().cast("array<int>")
 
-    paired = F.zip_with(F.slice(between, 1, F.size(sized)), sized, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    spans = F.aggregate(paired, state, add, lambda acc: acc["spans"])
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(empty)
+    def inside(chunk: Column) -> Column:
+        return F.aggregate(chunk, ints, lambda acc, x: F.concat(acc, F.array(combine(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), x))))
+
+    def over(acc: Column, chunk: Column) -> Column:
+        moved = F.transform(chunk, lambda x: combine(acc["at"], x))
+        return F.struct(F.element_at(moved, -1).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    return let(values, lambda v: F.aggregate(F.transform(chunks_of(v), inside), start, over, lambda acc: F.flatten(acc["out"])))
+
+
+def chunks_of(array: Column) -> Column:
+    starts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(array, at, CHUNK))
 
 
 def find_secrets(
@@ -168,16 +186,23 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     """``docs`` with every span replaced by ``mark``, spans that overlap by one mark; columns stay as they are."""
     spans = free_name(docs, "spans")
     found = _scanned(docs, spans, rules, id_col, text_col)
-    state = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def add(acc: Column, s: Column) -> Column:
-        part = F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(F.concat(acc["done"], part, F.lit(mark)).alias("done"), s["end"].alias("at"))
-        grown = F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when((s["start"] >= acc["at"]) | (F.length(acc["done"]) == 0), fresh).otherwise(grown)
-
-    rest = F.aggregate(spans, state, add, lambda acc: F.concat(
-        acc["done"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))
+    text = F.col(text_col)
+
+    def pieces(furthest: Column) -> Column:
+        """Text kept before each span that begins at or after the end of all before it: where it starts and stops."""
+        ends = lambda i: F.coalesce(F.get(furthest, i - 1), F.lit(0))
+        cuts = F.transform(spans, lambda s, i: F.when(s["start"] >= ends(i), F.struct(ends(i).alias("at"), s["start"].alias("stop"))))
+        return F.array_compact(cuts)
+
+    def kept(own: Column) -> Column:
+        """A chunk of pieces, cut out of its own stretch of the text."""
+        base = own[0]["at"]
+        stretch = F.substring(text, base + 1, F.element_at(own, -1)["stop"] - base)
+        return let(stretch, lambda part: F.array_join(F.transform(own, lambda x: F.concat(F.substring(part, x["at"] - base + 1, x["stop"] - x["at"]), F.lit(mark))), ""))
+
+    rest = let(running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x)), lambda furthest: F.concat(
+        let(pieces(furthest), lambda cuts: F.array_join(F.transform(chunks_of(cuts), kept), "")),
+        F.substring(text, F.element_at(furthest, -1) + 1, F.length(text)),
     ))
     clean = F.when(F.size(spans) > 0, rest).otherwise(F.col(text_col))
     return found.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
