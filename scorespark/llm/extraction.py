@@ -6,6 +6,7 @@ per path and compared with a threshold of the page. Paths that pass give content
 Inline tags belong to the path around them, the text of links weighs little, and headings go with what they introduce.
 Tags and class names that announce boilerplate (menus, footers, adverts, forms, scripts, comments) weigh nothing. Names that
 an article's own parts may bear as well, and ids there, only count if the element holds neither a sentence nor a title.
+Where a page has ``article`` or ``main`` elements, those that hold most of the content by these ratios bound the result.
 """
 
 from __future__ import annotations
@@ -58,11 +59,13 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<cut>[/a-zA-Z][^>]*\Z)",
-    re.DOTALL,
+_CDATA = r"<!\[CDATA\[(?P<cdata>.*?)\]\]>|"
+_MARKUP = (
+    r"<!--.*?(?:-->|\Z)|{cdata}<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^>])*+)>|<(?P<cut>[/a-zA-Z][^>]*\Z)"
 )
+TAG = re.compile(_MARKUP.replace("{cdata}", _CDATA), re.DOTALL)
+TAG_AFTER_CDATA = re.compile(_MARKUP.replace("{cdata}", "(?P<cdata>(?!))|"), re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟।]")
@@ -71,26 +74,44 @@ SENTENCE = 20
 LINK_WEIGHT = 0.1
 SHARE_OF_MEAN = 0.1
 KERNEL = (0.05, 0.1, 0.7, 0.1, 0.05)
+# A container is entered if it holds this share of the content around it; several of like size together need more.
+ALONE, TOGETHER, LIKE = 1 / 3, 2 / 3, 0.5
+
+
+class Open:
+    """An open element: what holds for the text below it. ``path`` numbers the tags from the root, without inline tags;
+    ``doubt`` and ``container`` number the innermost doubtful element and the innermost ``article`` or ``main``."""
+
+    __slots__ = ("tag", "path", "side", "doubt", "container", "heading", "linked")
+
+    def __init__(self, tag: str, path: int, side: bool, doubt: int, container: int, heading: str, linked: bool):
+        self.tag, self.path, self.side, self.doubt = tag, path, side, doubt
+        self.container, self.heading, self.linked = container, heading, linked
 
 
 class Node:
-    """A run of text: its path without inline tags, block number, whether a side element holds it, the numbers of the doubtful
-    elements that do, whether it is a link's, and the heading that it is in."""
+    """A run of text in a block, and what holds for it; ``link`` if it is a link's and no heading's."""
+
+    __slots__ = ("path", "block", "side", "doubt", "container", "heading", "link", "text")
+
+    def __init__(self, around: Open, block: int, text: str):
+        self.path, self.block, self.side, self.doubt = around.path, block, around.side, around.doubt
+        self.container, self.heading, self.text = around.container, around.heading, text
+        self.link = around.linked and not around.heading
 
-    __slots__ = ("path", "block", "side", "doubts", "link", "heading", "text")
 
-    def __init__(self, stack: list[tuple[str, bool, int]], block: int, text: str):
-        tags = [t for t, _, _ in stack]
-        self.path, self.block, self.text = "/".join(t for t in tags if t not in INLINE), block, text
-        self.side = bool(stack) and stack[-1][1]
-        self.doubts = [d for _, _, d in stack if d]
-        self.heading = next((t for t in tags if t in HEADINGS), "")
-        self.link = "a" in tags and not self.heading
+class Page:
+    """Text nodes of a page in order, and the parents of its doubtful elements and of its containers (0: none)."""
 
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.doubts: list[int] = [0]
+        self.containers: list[int] = [0]
 
-def _is_side(name: str, attrs: str, inside: tuple[str, ...]) -> bool | None:
-    """None: in doubt, its text decides."""
-    own = bool({"article", "main"} & set(inside))
+
+def _is_side(name: str, attrs: str, own: bool) -> bool | None:
+    """Whether an element holds something else than the article; ``own``: inside an ``article`` or ``main``. None: in doubt,
+    its text decides."""
     if name in SIDE_TAGS or name == "header" and not own:
         return True
     doubt = False
@@ -113,56 +134,69 @@ def _is_side(name: str, attrs: str, inside: tuple[str, ...]) -> bool | None:
     return None if doubt else False
 
 
-def _settled(found: list[Node]) -> list[Node]:
-    """Nodes outside side elements, and outside the doubtful ones without a sentence or a title."""
-    kept = [n for n in found if not n.side]
-    good: set[int] = set()
-    plain: dict[tuple[int, int], list[str]] = {}
+def _settled(page: Page) -> list[Node]:
+    """Nodes outside side elements, and outside the doubtful ones without a sentence or a title.
+
+    A sentence is a block with enough text and punctuation. What a doubtful element shows speaks for all that it is in, so
+    elements are judged from the inside; a block that goes on outside an inline one is judged there with all its text.
+    """
+    kept = [n for n in page.nodes if not n.side]
+    good = [False] * len(page.doubts)
+    shown: list[dict[int, list]] = [{} for _ in page.doubts]
     for node in kept:
-        for d in node.doubts:
-            if node.heading == "h1" and node.text.strip():
-                good.add(d)
-            elif not node.link and not node.heading:
-                plain.setdefault((d, node.block), []).append(node.text)
-    for (d, _), parts in plain.items():
-        text = SPACE.sub(" ", "".join(parts)).strip()
-        if len(text) >= SENTENCE and PUNCTUATION.search(text):
-            good.add(d)
-    return [n for n in kept if good.issuperset(n.doubts)]
-
-
-def nodes(page: str) -> list[Node]:
+        if node.doubt and node.heading == "h1" and node.text.strip():
+            good[node.doubt] = True
+        elif node.doubt and not node.link and not node.heading:
+            size, marks = shown[node.doubt].get(node.block, (0, False))
+            text = SPACE.sub(" ", node.text)
+            shown[node.doubt][node.block] = (size + len(text if size else text.lstrip()), marks or bool(PUNCTUATION.search(text)))
+    for d in range(len(page.doubts) - 1, 0, -1):
+        parent, blocks = page.doubts[d], shown[d]
+        good[d] = good[d] or any(size >= SENTENCE and marks for size, marks in blocks.values())
+        good[parent] = good[parent] or good[d]
+        for block in {min(blocks), max(blocks)} if blocks and parent and not good[d] else ():
+            size, marks = shown[parent].get(block, (0, False))
+            shown[parent][block] = (size + blocks[block][0], marks or blocks[block][1])
+    passed = [True] * len(good)
+    for d in range(1, len(good)):
+        passed[d] = good[d] and passed[page.doubts[d]]
+    return [n for n in kept if passed[n.doubt]]
+
+
+def nodes(text: str) -> Page:
     """Text nodes of a page in order. Unclosed paragraphs and list items end where the next one starts; what a page cut
-    short leaves of a tag is dropped."""
-    stack: list[tuple[str, bool, int]] = []  # tag, side, number if doubtful
-    out: list[Node] = []
-    block = doubtful = 0
-    at = 0
-
-    def add(text: str) -> None:
-        if text:
-            out.append(Node(stack, block, text))
+    short leaves of a tag is dropped, and so is a tag with a quote that never ends, up to its first ``>``."""
+    page = Page()
+    stack = [Open("", 0, False, 0, 0, "", False)]
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
+    paths: dict[tuple[int, str], int] = {}
+    block = at = 0
+    last_cdata = text.rfind("]]>")
+
+    def add(run: str) -> None:
+        if run:
+            page.nodes.append(Node(stack[-1], block, run))
 
     def leave(index: int) -> None:
         nonlocal block
-        if any(t in BLOCK for t, _, _ in stack[index:]):
-            block += 1
+        gone = [element.tag for element in stack[index:]]
         del stack[index:]
+        for tag in gone:
+            places[tag].pop()
+        block += not BLOCK.isdisjoint(gone)
 
     def last(names: tuple[str, ...], until: tuple[str, ...] = ()) -> int | None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in until:
-                return None
-        return None
-
-    while at < len(page):
-        m = TAG.search(page, at)
+        """Place of the innermost open element of these names, unless one of ``until`` is further in."""
+        found = max((places[n][-1] for n in names if places.get(n)), default=-1)
+        barrier = max((places[n][-1] for n in until if places.get(n)), default=-1)
+        return found if found >= 0 and found >= barrier else None
+
+    while at < len(text):
+        m = (TAG if at <= last_cdata else TAG_AFTER_CDATA).search(text, at)
         if m is None:
-            add(html.unescape(page[at:]))
+            add(html.unescape(text[at:]))
             break
-        add(html.unescape(page[at : m.start()]))
+        add(html.unescape(text[at : m.start()]))
         at = m.end()
         if m["cdata"] is not None:
             add(m["cdata"])
@@ -192,19 +226,29 @@ def nodes(page: str) -> list[Node]:
                 block += 1
         if name in VOID or attrs.rstrip().endswith("/"):
             continue
-        side = bool(stack) and stack[-1][1] or _is_side(name, attrs, tuple(t for t, _, _ in stack))
-        doubtful += side is None
+        around = stack[-1]
+        side = around.side or _is_side(name, attrs, bool(around.container))
         if name in RAW:
-            end = RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            end = RAW_END[name].search(text, at)
+            at = end.end() if end else len(text)
             continue
-        stack.append((name, bool(side), doubtful if side is None else 0))
-    return out
-
-
-def content_paths(found: list[Node], contained: bool = False) -> set[str]:
+        doubt, container = around.doubt, around.container
+        if side is None:
+            page.doubts.append(doubt)
+            doubt = len(page.doubts) - 1
+        if name in ("article", "main"):
+            page.containers.append(container)
+            container = len(page.containers) - 1
+        path = around.path if name in INLINE else paths.setdefault((around.path, name), len(paths) + 1)
+        heading = around.heading or (name if name in HEADINGS else "")
+        places.setdefault(name, []).append(len(stack))
+        stack.append(Open(name, path, bool(side), doubt, container, heading, around.linked or name == "a"))
+    return page
+
+
+def content_paths(found: list[Node], contained: bool = False) -> set[int]:
     """Paths whose fused ratio passes the page's threshold. Inside a container, only paths that are mostly links can fail."""
-    total: dict[str, list[float]] = {}
+    total: dict[int, list[float]] = {}
     blocks = set()
     for node in found:
         text = node.text.strip()
@@ -234,20 +278,47 @@ def content_paths(found: list[Node], contained: bool = False) -> set[str]:
     return {p for p, f in zip(order, fused) if f >= SHARE_OF_MEAN * mean or contained and total[p][3] <= 0}
 
 
+def content_containers(found: list[Node], parents: list[int]) -> set[int]:
+    """The ``article`` and ``main`` elements that bound the content, with all inside them; 0 is the page itself.
+
+    From the page inwards: the containers directly inside that have the most text on content paths, or several of like size,
+    are entered if they hold most of what there is.
+    """
+    chosen = content_paths(found)
+    mass = [0.0] * len(parents)
+    for node in found:
+        if not node.heading and (node.path in chosen or not chosen):
+            mass[node.container] += len(node.text.strip()) * (LINK_WEIGHT if node.link else 1.0)
+    for c in range(len(parents) - 1, 0, -1):
+        mass[parents[c]] += mass[c]
+    inside: dict[int, list[int]] = {}
+    for c in range(1, len(parents)):
+        inside.setdefault(parents[c], []).append(c)
+    now = [0]
+    while len(now) == 1 and inside.get(now[0]):
+        most = max(mass[c] for c in inside[now[0]])
+        like = [c for c in inside[now[0]] if mass[c] >= LIKE * most]
+        if most == 0 or sum(mass[c] for c in like) < (ALONE if len(like) == 1 else TOGETHER) * mass[now[0]]:
+            break
+        now = like
+    kept = set(now)
+    for c in range(1, len(parents)):
+        if parents[c] in kept:
+            kept.add(c)
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page in order, white space inside a block as one space, blocks joined by a line feed.
 
-    Null, empty and text-free pages give the empty text. Ratios are those of all nodes; inside an ``article`` or ``main``
-    element, if the page has one with text, only nodes below it are returned. A first-level heading stays, any other if the
-    text after it does.
+    Null, empty and text-free pages give the empty text. Ratios are those of all nodes; where ``article`` or ``main`` elements
+    hold most of the content, only nodes below them are returned. A first-level heading stays, any other if the text after
+    it does.
     """
-    found = _settled(nodes(page or ""))
-    inner: list[Node] = []
-    for container in ("article", "main"):
-        inner = [n for n in found if container in n.path.split("/")]
-        if any(n.text.strip() for n in inner):
-            break
-        inner = []
+    read = nodes(page or "")
+    found = _settled(read)
+    containers = content_containers(found, read.containers)
+    inner = [] if 0 in containers else [n for n in found if n.container in containers]
     chosen = content_paths(found, bool(inner))
     blocks: dict[int, list[str]] = {}
     keep = follows = not chosen or bool(inner)

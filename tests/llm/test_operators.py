@@ -417,6 +417,39 @@ def test_names_inside_articles_do_not_delete_their_text():
     assert extraction.main_text(page) == f"Title\nPrices\n{text}"
 
 
+LINE = "A sentence of the article, long enough to matter. "
+
+
+def test_containers_are_chosen_by_what_they_hold():
+    body = LINE * 8
+    paragraphs = f"<p>{body}</p>" * 3
+    want = "\n".join([body.strip()] * 3)
+    teaser = "<article class=teaser><h2>Other</h2><p>Teaser, one.</p></article>"
+    assert extraction.main_text(f"{teaser}<main><h1>Real</h1>{paragraphs}</main>") == f"Real\n{want}"
+    assert extraction.main_text(f"<main><h1>Real</h1>{paragraphs}</main>{teaser * 3}") == f"Real\n{want}"
+    cards = "".join(f"<article><p>Card {k} says, nice.</p></article>" for k in range(4))
+    assert extraction.main_text(f"<body><div class=story>{paragraphs}</div>{cards}</body>").startswith(want)
+    assert extraction.main_text(f"<main><article>{paragraphs}</article><div>Read on, or not.</div></main>") == want
+    two = extraction.main_text(f"<article><p>{body}</p></article><article><p>{body}</p></article>")
+    assert two == "\n".join([body.strip()] * 2)
+    assert extraction.main_text("<article></article><p>Only this, here.</p>") == "Only this, here."
+
+
+def test_broken_markup_is_no_text():
+    assert extraction.main_text('<p title="a>first words, here.</p><p>second ones, there.</p>') == "first words, here.\nsecond ones, there."
+    assert extraction.main_text("<p title=it's>first words, here.</p><p>don't stop, go on.</p>") == "first words, here.\ndon't stop, go on."
+    assert extraction.main_text('<p title="x > y">kept text, here.</p>') == "kept text, here."
+    assert extraction.main_text("<p>one, two.</p><!DOCTYPE never closed") == "one, two."
+    assert extraction.main_text("<p><![CDATA[a < b, c]]></p><p>d <![CDATA[ e, f.</p>g, h.") != ""
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "<p>x, y.", "<li>a", "</x><li>a", "<div class=related>a", "<p title=\"a>text ", "<!", "<![CDATA[", "<a ", "<span class=share>a, b</span>", "<dt>a<dd>b"])
+def test_extraction_time_grows_with_the_page(unit):
+    start = time.perf_counter()
+    extraction.main_text("<article>" + unit * 100_000 + "deep text, here.")
+    assert time.perf_counter() - start < 20
+
+
 def test_extraction_keeps_whole_articles(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in table(spark, sf_dir, "pages").collect()}
     rows = queries.op5(spark, sf_dir).collect()
