@@ -116,18 +116,34 @@ def _spans_of(rule: Rule, order: int, text: Column) -> Column:
     """
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
-    body = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)
-    steps = F.zip_with(between, matches, lambda g, m: F.when(m.isNotNull(), F.struct((g + F.length(m)).alias("step"), F.length(m).alias("size"), body(m).alias("body"))))
+    sized = F.transform(matches, lambda m: F.struct(
+        F.length(m).alias("size"),
+        (F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)).alias("body"),
+    ))
+    none = F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int>>")
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
 
-    def span(end: Column, step: Column) -> Column:
-        return F.when(step["body"] >= rule.least, F.struct(
-            (end - step["size"]).alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), end.alias("end")
-        ))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["m"]["size"]
+        grown = F.concat(acc["spans"], F.array(span(start, end)))
+        return F.struct(end.alias("at"), F.when(x["m"]["body"] >= rule.least, grown).otherwise(acc["spans"]).alias("spans"))
 
-    spans = let(F.array_compact(steps), lambda st: let(
-        running(F.transform(st, lambda x: x["step"]), lambda a, x: a + x), lambda ends: F.array_compact(F.zip_with(ends, st, span))
+    def over(acc: Column, chunk: Column) -> Column:
+        """Spans of a chunk, counted from its own start, moved behind the chunks before it."""
+        moved = F.transform(chunk["spans"], lambda s: span(acc["at"] + s["start"], acc["at"] + s["end"]))
+        grown = F.when(F.size(chunk["spans"]) > 0, F.concat(acc["out"], F.array(moved))).otherwise(acc["out"])
+        return F.struct((acc["at"] + chunk["at"]).alias("at"), grown.alias("out"))
+
+    paired = F.zip_with(F.slice(between, 1, F.size(sized)), sized, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    all_chunks = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind_order:int,kind:string,end:int>>>").alias("out"))
+    spans = let(paired, lambda steps: F.aggregate(
+        F.transform(chunks_of(steps), lambda c: F.aggregate(c, start, step)), all_chunks, over, lambda acc: F.flatten(acc["out"])
     ))
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int>>"))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(none)
 
 
 #: Elements that are worked on together where each step copies what the steps before it made.
