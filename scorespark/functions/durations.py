@@ -35,11 +35,27 @@ def gcd(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step, lambda s: s["a"])
 
 
-def lcm_of(values: Column) -> Column:
-    """Least common multiple of an array of positive longs (a set of denominators)."""
-    return F.aggregate(
-        values, F.lit(1).cast("bigint"), lambda acc, x: (acc / gcd(acc, x)).cast("bigint") * x.cast("bigint")
-    )
+def prime_powers(n: int) -> dict[int, int]:
+    """Prime factors of a number with their exponents."""
+    found, p = {}, 2
+    while n > 1:
+        while n % p == 0:
+            found[p] = found.get(p, 0) + 1
+            n //= p
+        p += 1
+    return found
+
+
+def exponent(value: Column, prime: int, most: int) -> Column:
+    """How often a prime divides a positive long, counted up to ``most``."""
+    out = F.lit(0)
+    for k in range(1, most + 1):
+        out = out + (value % prime**k == 0).cast("int")
+    return out
+
+
+def power(prime: int, exponent: Column, most: int) -> Column:
+    return F.element_at(F.array(*[F.lit(prime**k).cast("bigint") for k in range(most + 1)]), exponent + 1)
 
 
 def duration(kern: Column) -> Column:

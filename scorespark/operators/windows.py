@@ -464,14 +464,21 @@ def rhythmic_layers(members: DataFrame, group) -> DataFrame:
 
 
 def division_and_numerator(measured: DataFrame, keys=SEQ) -> DataFrame:
-    """Median measure length (whole notes, 1 by default) and the least common denominator of all chord lengths."""
+    """Median measure length (whole notes, 1 by default) and the least common denominator of all chord lengths and 4.
+
+    Denominators divide the ticks of a whole note, so their common multiple is the greatest exponent of each of its primes:
+    an aggregate that is merged map-side like any maximum.
+    """
     ticks = T.duration_ticks(F.col("rhythm"))
     chords = measured.groupBy(*keys, "measure", "chord_id").agg(F.coalesce(F.min(ticks), F.lit(0)).alias("ticks"))
     whole = F.lit(T.TICKS_PER_WHOLE).cast("bigint")
-    chords = chords.withColumn("den", F.when(F.col("ticks") > 0, (whole / DU.gcd(F.col("ticks"), whole)).cast("bigint")))
-    per_measure = chords.groupBy(*keys, "measure").agg(F.sum("ticks").alias("ticks"), F.collect_set("den").alias("dens"))
-    length = F.when(F.col("ticks") > 0, F.col("ticks") / whole)
-    dens = F.array_union(F.flatten(F.collect_list("dens")), F.array(F.lit(4).cast("bigint")))
-    return per_measure.groupBy(*keys).agg(
-        F.coalesce(F.median(length), F.lit(1.0)).alias("numerator"), DU.lcm_of(dens).alias("division")
+    chords = chords.withColumn("_den", F.when(F.col("ticks") > 0, (whole / DU.gcd(F.col("ticks"), whole)).cast("bigint")))
+    primes, least = DU.prime_powers(T.TICKS_PER_WHOLE), DU.prime_powers(4)
+    per_measure = chords.groupBy(*keys, "measure").agg(
+        F.sum("ticks").alias("ticks"), *[F.max(DU.exponent(F.col("_den"), p, m)).alias(f"_e{p}") for p, m in primes.items()]
     )
+    length = F.when(F.col("ticks") > 0, F.col("ticks") / whole)
+    division = F.lit(1).cast("bigint")
+    for p, m in primes.items():
+        division = division * DU.power(p, F.greatest(F.max(f"_e{p}"), F.lit(least.get(p, 0))), m)
+    return per_measure.groupBy(*keys).agg(F.coalesce(F.median(length), F.lit(1.0)).alias("numerator"), division.alias("division"))

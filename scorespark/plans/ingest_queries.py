@@ -330,6 +330,20 @@ def producer_run(spark, sf):
     return producers.run(B.turns(spark, sf), "underscore", seconds=60.0)
 
 
+@producers.register_batch("exclaim")
+def _exclaim(texts: list[str]) -> list[str]:
+    if any("." not in t for t in texts):
+        raise ValueError("a text without a sentence")
+    return [t.replace(".", "!") for t in texts]
+
+
+@query("ud01_batch_producer", f"""WITH {B.TURN} SELECT sample_id, 'exclaim' AS tool, CASE WHEN contains(expected_text, '.') THEN replace(expected_text, '.', '!') END AS output,
+    CASE WHEN expected_text IS NULL THEN 'no input' WHEN NOT contains(expected_text, '.') THEN 'ValueError: a text without a sentence' END AS error FROM turn_pairs""")
+def batch_producer(spark, sf):
+    """Ten texts a call; a batch with a bad text is run again one by one."""
+    return producers.run(B.turns(spark, sf), "exclaim", seconds=60.0)
+
+
 def aligned_turns(spark, sf):
     """Matched blocks of turns and outputs, by joins and windows, expanded by a table function in SQL."""
     t = alignment.cut(turn_scores(spark, sf).where("actual_text is not null").select("sample_id", "e", "a"))

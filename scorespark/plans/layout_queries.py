@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
+from ..operators import containment as CT
 from ..operators import graphs as GR
 from ..operators import layout as L
 from ..operators import series as SE
@@ -381,21 +382,10 @@ def predicted_anchors(spark, sf):
     n AS (SELECT item_id, count(*) AS need FROM iw GROUP BY 1)
     SELECT item_id, doc_id FROM iw JOIN dw USING (word) JOIN n USING (item_id) GROUP BY item_id, doc_id, need HAVING count(*) = need""")
 def set_containment(spark, sf):
-    """Documents that hold every word of an item.
-
-    Only the rarest word of an item is joined on; candidates are then checked inside one row. A word every document
-    has never drives the join.
-    """
-    items = B.table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.split("text", " ")).alias("need"))
-    docs = B.table(spark, sf, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("have"))
-    item_words = items.select("item_id", F.explode("need").alias("word"))
-    doc_words = docs.select("doc_id", F.explode("have").alias("word"))
-    wanted = doc_words.join(item_words.select("word").distinct(), "word", "left_semi")
-    frequency = wanted.groupBy("word").agg(F.count("*").alias("df"))
-    rarest = item_words.join(frequency, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
-    candidates = wanted.join(rarest, "word").select("item_id", "doc_id")
-    checked = candidates.join(items, "item_id").join(docs, "doc_id")
-    return checked.where(F.size(F.array_except("need", "have")) == 0).select("item_id", "doc_id")
+    """Documents that hold every word of an item."""
+    items = B.table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("words"))
+    docs = B.table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    return CT.containing(docs, "doc_id", items, "item_id", "words")
 
 
 @query("sq13_connected_components", f"""WITH RECURSIVE {BX}, e AS (SELECT a.box_id AS s, b.box_id AS t FROM bx a JOIN bx b ON {HIT} AND a.box_id <> b.box_id),
