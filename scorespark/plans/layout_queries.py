@@ -356,7 +356,19 @@ def anchors(spark, sf):
 query("jn20_anchor_probes")(anchors)
 
 
-@query("jn24_predicted_anchors")
+@query("jn24_predicted_anchors", f"""WITH {BX}, kn AS (SELECT * FROM bx WHERE kind IN (0, 1)),
+    rg AS (SELECT page, box_id AS iv_id, CAST(trunc(cx - w / 2) AS INTEGER) AS start, CAST(trunc(cx + w / 2 + 10) AS INTEGER) AS stop FROM kn),
+    nw AS (SELECT *, CASE WHEN start < lag(stop) OVER w THEN 0 ELSE 1 END AS fresh FROM rg WINDOW w AS (PARTITION BY page ORDER BY start, iv_id)),
+    zn AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY start, iv_id) AS zone FROM nw),
+    zones AS (SELECT page, CAST(zone AS BIGINT) AS zone, min(start) AS start, last(stop ORDER BY start, iv_id) AS stop FROM zn GROUP BY page, zone),
+    lines AS (SELECT DISTINCT box.page, zone, start, stop, CAST(round_even(cy + (g.n - 2) * 10, 0) AS INTEGER) AS y
+      FROM box, (SELECT unnest(range(5)) AS n) g, zones z WHERE z.page = box.page AND cx >= start AND cx < stop),
+    gp AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page, zone ORDER BY y) > 15 THEN 1 ELSE 0 END AS gap FROM lines),
+    gr AS (SELECT *, sum(gap) OVER (PARTITION BY page, zone ORDER BY y) AS grp FROM gp),
+    fd AS (SELECT page, zone || '_' || grp AS box_id, (start + stop) / 2.0 AS cx, (min(y) + max(y)) / 2.0 AS cy, CAST(stop - start AS DOUBLE) AS w, CAST(max(y) - min(y) AS DOUBLE) AS h
+      FROM gr GROUP BY page, zone, grp, start, stop HAVING count(*) = 5)
+    SELECT page, box_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy, w, h FROM fd WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.page = fd.page
+      AND fd.cx - fd.w / 2 <= kn.x2 AND kn.x1 <= fd.cx + fd.w / 2 AND fd.cy - fd.h / 2 <= kn.y2 AND kn.y1 <= fd.cy + fd.h / 2)""")
 def predicted_anchors(spark, sf):
     """Merged zones of known symbols, five-line groups in their projection profile, minus what overlaps a known one."""
     b = boxes(spark, sf)
