@@ -27,8 +27,9 @@ WINDOW = 160
 SURROUNDINGS = ((24, 0), (0, 24), (48, 16), (16, 48), (72, 0), (0, 72), (40, 40))
 ORDINARY_BYTES = 110 << 10
 TOXIC_BYTES = 4 << 10
-MOST_PASSAGES = 60_000
+MOST_BYTES = 24 << 20
 PASSAGE = 200
+LONGEST_PASSAGE = 800
 RUNS = (4, 6, 8)
 FEATURES = 5
 
@@ -161,31 +162,30 @@ def train(
 ) -> Model:
     """Fit on at most about ``max_labelled`` labelled texts outside the held-out fold.
 
-    The ordinary dictionary is trained on passages of at most ``max_ordinary`` of the ordinary ones (bounded, so the driver
-    can hold them), the toxic one on passages of as many toxic ones: on their telling stretches, or on the passages as they
-    are where none has enough evidence. Without labels of both kinds the model gives every text the share of toxic labels
-    (0.0 if there are none).
+    The ordinary dictionary is trained on all passages of at most about ``max_ordinary`` of the ordinary ones, the toxic one
+    on all passages of as many toxic ones: on their telling stretches, or on the passages as they are where none has enough
+    evidence. Where these texts are long, fewer of them are taken, so that about ``MOST_BYTES`` of each kind reach the
+    driver; a text that is taken is read whole. Null texts and labels count as empty and are left out; repeated label rows
+    are averaged. Without labels of both kinds the model gives every text the share of toxic labels (0.0 if there are none).
     """
     sample = labelled_sample(docs, labels, "toxic", max_labelled).repartition(32, "doc_id").cache()
-    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    sums = sample.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    counts = {r["label"]: r["n"] for r in sums}
     constant = np.zeros(FEATURES + 1)
     if len(counts) < 2:
         constant[-1] = 40.0 if counts.get(1) else -40.0
         sample.unpersist()
         return Model(b"", b"", np.zeros(FEATURES), np.ones(FEATURES), constant)
     shuffled = random.Random(1)
-    per_text = {k: max(1, MOST_PASSAGES // min(n, max_ordinary)) for k, n in counts.items()}
-    share = {k: int(min(1.0, max_ordinary / n) * (1 << 20)) for k, n in counts.items()}
+    share = {r["label"]: int(min(1.0, max_ordinary / r["n"], MOST_BYTES / max(1, r["bytes"])) * (1 << 20)) for r in sums}
     pick = F.pmod(F.xxhash64(F.lit("ordinary"), "doc_id"), F.lit(1 << 20)) < F.when(F.col("label") == 1, share[1]).otherwise(share[0])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, kinds = [], batch.column(batch.schema.get_field_index("label"))
-            for text, kind in zip(texts_of(batch), kinds.to_pylist()):
-                body, most = normal(text), 4 * PASSAGE
-                spans = [(i, min(b, i + most)) for a, b in windows(body, PASSAGE) for i in range(a, b, most)]
-                own = random.Random(len(body))
-                out.append([body[a:b] for a, b in own.sample(spans, min(len(spans), per_text[kind]))])
+            for text in texts_of(batch):
+                body, most = normal(text), LONGEST_PASSAGE
+                out.append([body[i : min(b, i + most)] for a, b in windows(body, PASSAGE) for i in range(a, b, most)])
             yield pa.RecordBatch.from_arrays([kinds, pa.array(out, pa.list_(pa.binary()))], names=["label", "passages"])
 
     found: dict[int, list[list[bytes]]] = {0: [], 1: []}
@@ -228,7 +228,8 @@ def _scored_batches(batches: Iterator[pa.RecordBatch], model: Model, text_col: s
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score 0 to 1) for every row; null and empty texts are scored like a text without windows."""
+    """(doc_id, score 0 to 1) for every row; null and empty texts are scored like a text without windows. Rows may repeat and
+    ids be null; other columns are not read. An empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -240,7 +241,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose score is below the threshold, unchanged."""
+    """Rows of ``docs`` whose score is below the threshold, unchanged: null and empty texts score like a text without
+    windows, repeated rows alike, columns of any name pass through, an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
