@@ -279,7 +279,8 @@ def remove_overlaps(
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """``docs`` with the spans of :func:`find_overlaps` cut out of the text; other columns, and rows without hits, are
-    unchanged. A text that consists of hits only becomes empty of words but its row stays."""
+    unchanged. A text that consists of hits only becomes empty of words but its row stays. Null and empty texts stay as they
+    are, repeated rows are cut alike, and an empty table, or one without phrases, comes back as it was."""
     blocks = phrase_blocks(phrases, phrase_id, phrase_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

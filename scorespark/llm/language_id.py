@@ -118,7 +118,8 @@ def train(docs: DataFrame, max_per_language: int = 3_000, id_col: str = "doc_id"
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score 0 to 1, ambiguous) for every row; ``und`` with score 0 where no text or no letter is."""
+    """(doc_id, lang_pred, score 0 to 1, ambiguous) for every row; ``und`` with score 0 where no text or no letter is. Repeated
+    texts are told alike, ids may be null or repeat, other columns are not read, an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -327,7 +327,9 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, score, base_score, perplexity) for every row; null texts are empty (one end mark)."""
+    """(doc_id, n_tokens, n_known, score, base_score, perplexity) for every row; null texts are empty (one end mark). Repeated
+    rows score alike, ids may be null, other columns are not read, an empty table gives no rows. Words and pairs are known
+    by hashes of 48 and 32 bits (a pair's within its bucket): two that clash are taken for one."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n_tokens", "n_known", "score", "base_score", "perplexity"]
 

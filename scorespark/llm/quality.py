@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, seed:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score 0 to 1) for every row; a null text counts as empty. Repeated texts have equal scores."""
+    """(doc_id, score 0 to 1) for every row; a null text counts as empty. Repeated texts have equal scores, ids may be null or
+    repeat, other columns are not read, an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
