@@ -57,3 +57,21 @@ def test_common_multiple_by_exponents(spark):
     for p, m in powers.items():
         out = out * DU.power(p, F.max(DU.exponent(F.col("d"), p, m)), m)
     assert {r["g"]: r["x"] for r in df.groupBy("g").agg(out.alias("x")).collect()} == {g: math.lcm(*ds) for g, ds in groups.items()}
+
+
+def test_containment_copies_no_set_per_element(spark):
+    """Long sets: what is written grows with their elements, not with the square; rows of one id count together."""
+    import glob
+    import os
+
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**/*", recursive=True) if os.path.isfile(f))
+    folder = spark.sparkContext.getCheckpointDir() or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    folder = folder.removeprefix("file:")
+    words = F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.concat(F.lit("word"), i.cast("string"), F.col("s").cast("string")))
+    sets = spark.range(200).withColumnRenamed("id", "s").withColumn("e", words)
+    items = sets.select((F.col("s") + 1000).alias("t"), "e").unionByName(spark.createDataFrame([(5000, ["half", "other half"])], "t bigint, e array<string>"))
+    both = sets.unionByName(spark.createDataFrame([(7000, ["half", "more"]), (7000, ["other half"])], "s bigint, e array<string>"))
+    before = size()
+    found = {tuple(r) for r in containment.containing(both, "s", items, "t", "e").collect()}
+    assert found == {(s + 1000, s) for s in range(200)} | {(5000, 7000)}
+    assert size() - before < 2_000_000  # the sets themselves are 5 MB
