@@ -93,7 +93,8 @@ def onsets(rows: DataFrame, keys=SEQ) -> DataFrame:
     """Onset of each row of a measure from running durations.
 
     Input: kind (note, symbol, bar, clef, move, chord), duration, visible. Symbols advance by one first (bar lines sort
-    one later), clefs and moves take no slot; a chord member takes the onset of its head and restarts the clock there.
+    one later), clefs and moves take no slot; a chord member takes the onset of its head and restarts the clock there. One
+    that no head comes before starts at the clock and moves it on, whatever other members came before.
     Adds onset, and broken: the clock ran below zero somewhere in the group.
     """
     w = ordered(*keys)
@@ -121,7 +122,7 @@ def onsets(rows: DataFrame, keys=SEQ) -> DataFrame:
     delta = (
         F.when(kind != "chord", F.col("_lin"))
         .when(F.col("_prev_head"), F.col("_head_off") + d - drift)
-        .when(F.col("_prev").isNotNull(), d - F.col("_prev.d") - drift)
+        .when((F.col("_h") > 0) & F.col("_prev").isNotNull(), d - F.col("_prev.d") - drift)
         .otherwise(d)
     )
     out = (

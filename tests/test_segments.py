@@ -62,3 +62,12 @@ def test_empty(spark):
     df = spark.createDataFrame([], "seq_id int, pos int, kind string, duration int, visible boolean")
     assert S.onsets(df).collect() == []
     assert S.last_before(S.with_blocks(df), ["seq_id"], F.col("kind"), "k").collect() == []
+
+
+def test_chord_members_that_no_head_comes_before(spark):
+    """Each starts at the clock and moves it on, as in the SQL twin of wn08; the long form says the same."""
+    rows = [(1, n, *r, True) for n, r in enumerate([("move", 45), ("chord", 16), ("chord", 68), ("move", 5), ("chord", 2), ("note", 87), ("chord", 3), ("chord", 4)])]
+    df = spark.createDataFrame(rows, "seq_id bigint, pos int, kind string, duration int, visible boolean")
+    want = [0, 45, 61, 129, 134, 136, 136, 136]
+    for found in (N.onsets(df), *(S.onsets(df, size=size) for size in (1, 2, 3, 50))):
+        assert [r["onset"] for r in found.orderBy("pos").collect()] == want
