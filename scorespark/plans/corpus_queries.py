@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import durations as DU
@@ -522,7 +523,9 @@ def bulk_text_rewrite(spark, sf):
     SELECT doc_id, word FROM t WHERE r = 1""")
 def top_by_score(spark, sf):
     """Best scored text per page: box height over text length, the first on ties."""
-    docs = B.table(spark, sf, "documents").select("doc_id", "n_chars", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    score = F.col("n_chars") / F.length("word")
-    ranked = docs.where(F.length("word") > 0).groupBy("doc_id").agg(F.max_by("word", F.struct(score, -F.col("pos"))).alias("word"))
-    return ranked
+    def rated(word: Column, pos: Column) -> Column:
+        return F.when(F.length(word) > 0, F.struct((F.col("n_chars") / F.length(word)).alias("score"), (-pos).alias("at"), word.alias("word")))
+
+    # best inside each row first: one word of a text is shuffled, not all
+    best = B.table(spark, sf, "documents").select("doc_id", F.array_max(F.transform(F.split("text", " "), rated)).alias("best"))
+    return best.where("best is not null").groupBy("doc_id").agg(F.max("best").getField("word").alias("word"))

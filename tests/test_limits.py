@@ -88,3 +88,13 @@ def test_unknown_tokens_are_reported_not_lost(spark):
     done = {r["seq_id"] for r in sampling.encode_sequences(df).collect()}
     left = {r["seq_id"]: r["reason"] for r in sampling.encoding_rejects(df).collect()}
     assert done | set(left) == {1, 2} and 2 in left
+
+
+def test_best_word_is_found_before_anything_is_shuffled(spark, tmp_path):
+    from scorespark.plans import catalog
+
+    rows = [(1, " a bb a", 7), (2, "", 3), (3, None, 1), (4, "bb  a c", None), (5, "ccc bb dd", 9), (6, "ccc bb", -6)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["sl03_top_by_score"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["word"] for r in found.collect()} == {1: "a", 4: "bb", 5: "bb", 6: "ccc"}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
