@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
@@ -231,9 +231,9 @@ def semantic_ingest(spark, sf):
     return semantic.semantic_tokens(semantic_texts(spark, sf)).select("score", "pos", *V.TOKEN_FIELDS)
 
 
-@F.pandas_udf(TY.BinaryType())
-def _zipped(text: pd.Series, folder: pd.Series) -> pd.Series:
-    return pd.Series([_zip(t, "inner/score.xml" if f else "score.xml") for t, f in zip(text, folder)])
+@F.arrow_udf(TY.BinaryType())
+def _zipped(text: pa.Array, folder: pa.Array) -> pa.Array:
+    return pa.array((_zip(t.as_py(), "inner/score.xml" if f.as_py() else "score.xml") for t, f in zip(text, folder)), pa.binary())
 
 
 @query("sc06_archive_scan", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<container/>' WHEN page_id % 7 = 3 THEN NULL ELSE html END AS text, page_id % 2 = 1 AND page_id % 7 = 3 AS failed FROM pages""")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+#: Archives taken out of a batch at a time.
+TAKEN = 64
+
 
 def _score(content: bytes) -> dict:
     try:
@@ -23,9 +26,12 @@ def _score(content: bytes) -> dict:
         return {"text": None, "error": f"{type(exc).__name__}: {exc}"}
 
 
-@F.pandas_udf(TY.StructType([TY.StructField("text", TY.StringType()), TY.StructField("error", TY.StringType())]))
-def unpack_score(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_score(c) for c in content], columns=["text", "error"])
+@F.arrow_udf(TY.StructType([TY.StructField("text", TY.StringType()), TY.StructField("error", TY.StringType())]))
+def unpack_score(content: pa.Array) -> pa.Array:
+    """A few archives at a time become Python values, however many a batch holds."""
+    kind = pa.struct([("text", pa.string()), ("error", pa.string())])
+    pieces = [pa.array([_score(c) for c in content.slice(start, TAKEN).to_pylist()], kind) for start in range(0, len(content), TAKEN)]
+    return pa.concat_arrays(pieces) if pieces else pa.array([], kind)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
