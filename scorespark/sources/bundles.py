@@ -34,7 +34,8 @@ WRITTEN = "bucket int, entry string, number bigint, value string"
 READ = "entry string, number bigint, value string, error string"
 BUCKETS = 32
 SPLIT_BYTES = 64 << 20
-LINES = 4096
+#: Lines, and bytes of them, that a reader holds before they leave; lines that a writer takes out of a batch at a time.
+LINES, HELD_BYTES, TAKEN = 4096, 4 << 20, 64
 #: Lines of one entry that one task writes; a longer entry spreads over several tasks, in the same bucket folder.
 LINES_PER_TASK = 1 << 20
 
@@ -82,7 +83,7 @@ class BundleWriter(DataSourceArrowWriter):
         store, root = located(self.path)
         done, attempt, out, current = Written(), uuid.uuid4().hex, None, None
         try:
-            for batch in iterator:
+            for batch in pieces(iterator):
                 get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
                 for bucket, entry, number, value in zip(get["bucket"], get["entry"], get["number"], get["value"]):
                     if bucket != current:
@@ -164,18 +165,27 @@ class BundleReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         store, _ = located(self.path)
         held: list[tuple] = []
+        room = HELD_BYTES
         for path, start, end in partition.pieces:
             for line in lines_of(store, path, start, end):
                 row = parsed(line)
                 if self.entries is None or row[0] in self.entries:
                     held.append(row)
-                if len(held) == LINES:
+                    room -= len(line)
+                if len(held) == LINES or room <= 0:
                     yield batch_of(held)
-                    held = []
+                    held, room = [], HELD_BYTES
         if held:
             yield batch_of(held)
 
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of ``TAKEN`` rows: what a step makes Python values of at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, TAKEN):
+            yield batch.slice(start, TAKEN)
+
+
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     s = pa.string()
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (s, pa.int64(), s, s))], ["entry", "number", "value", "error"])

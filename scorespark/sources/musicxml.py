@@ -8,11 +8,13 @@ tuplets, clefs, bar lines, chords) is DataFrame work on those rows.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from ..functions import durations as DU
@@ -36,7 +38,8 @@ _TYPES = {
 }
 _FIELDS = [TY.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in ROW.split(", "))]
 _NAMES = [field.name for field in _FIELDS]
-_SHREDDED = TY.StructType([TY.StructField("rows", TY.ArrayType(TY.StructType(_FIELDS))), TY.StructField("error", TY.StringType())])
+#: Texts parsed at a time, and rows of a batch that leaves.
+TEXTS, ROWS = 16, 4096
 
 
 def _note(node: ET.Element) -> dict:
@@ -119,24 +122,35 @@ def _children(text: str) -> list[dict]:
                 rows += [{"part": p, "measure": m, **row} for row in found]
     for i, row in enumerate(rows):
         row["ord"] = i
-    return [{name: row.get(name) for name in _NAMES} for row in rows]
+    return rows
 
 
-@F.pandas_udf(_SHREDDED)
-def shred(texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in texts:
-        try:
-            out.append((_children(text), None))
-        except Exception as exc:  # a broken score is a row, not a failed job
-            out.append(([], f"{type(exc).__name__}: {exc}"))
-    return pd.DataFrame(out, columns=["rows", "error"])
+def shred(batches: Iterator[pa.RecordBatch], key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(key, error, raw columns) of batches of (key, text). What is held does not grow with the batch: a few texts at a time
+    are taken out of it, and their rows leave in batches of ``ROWS``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS):
+            piece = batch.slice(start, TEXTS)
+            rows = []
+            for key, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                try:
+                    found, error = _children(text), None
+                except Exception as exc:  # a broken score is a row, not a failed job
+                    found, error = [], f"{type(exc).__name__}: {exc}"
+                rows += [(key, error, row) for row in found or [{}]]
+            for first in range(0, len(rows), ROWS):
+                part = rows[first : first + ROWS]
+                columns = [pa.array([key for key, _, _ in part], key_type), pa.array([error for _, error, _ in part], pa.string())]
+                columns += [pa.array([row.get(f.name) for _, _, row in part], to_arrow_type(f.dataType)) for f in _FIELDS]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "error", *_NAMES])
 
 
 def event_rows(texts: DataFrame, key: str = "score") -> DataFrame:
     """(key, error, raw columns): one row per child element; a text that cannot be read gives one row with an error."""
-    shredded = texts.select(key, shred("text").alias("_x")).select(key, "_x.*")
-    return shredded.select(key, "error", F.explode_outer("rows").alias("_r")).select(key, "error", "_r.*")
+    kind = texts.schema[key].dataType
+    schema = TY.StructType([TY.StructField("key", kind), TY.StructField("error", TY.StringType()), *_FIELDS])
+    key_type = to_arrow_type(kind)
+    return texts.select(key, "text").mapInArrow(lambda batches: shred(batches, key_type), schema).withColumnRenamed("key", key)
 
 
 def read_musicxml(spark: SparkSession, path: str) -> DataFrame:
