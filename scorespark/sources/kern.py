@@ -88,13 +88,20 @@ def pitch_name(letters: Column) -> Column:
 def marks(suffix: Column, names: dict[str, str]) -> Column:
     """Marks named by single characters, in order of appearance; `_` when there are none."""
     found = F.filter(F.transform(F.split(suffix, ""), lambda c: T.literal_map(names, c)), lambda m: m.isNotNull())
-    return F.when(F.size(found) > 0, F.array_join(found, "_")).otherwise(F.lit(V.EMPTY))
+    return F.when(suffix == "", F.lit(V.EMPTY)).when(F.size(found) > 0, F.array_join(found, "_")).otherwise(F.lit(V.EMPTY))
 
 
-def note_token(cell: Column, chord_duration: Column) -> Column:
-    """One kern note or rest as token fields; rhythm is NULL when the cell is no note."""
-    part = [F.regexp_extract(cell, NOTE, i) for i in range(1, 5)]
-    known = cell.rlike(NOTE)
+def note_parts(cell: Column) -> Column:
+    """The groups of `NOTE` by one match, as an array; any other size when the cell is no note. A cell holds no tab."""
+    return F.split(F.regexp_replace(cell, NOTE + r"[\s\S]*", "$1\t$2\t$3\t$4"), "\t")
+
+
+def note_token(cell: Column, chord_duration: Column, parts: Column | None = None) -> Column:
+    """One kern note or rest as token fields; rhythm is NULL when the cell is no note. `parts` are its `note_parts`, where a
+    column holds them."""
+    parts = note_parts(cell) if parts is None else parts
+    known = F.size(parts) == 4
+    part = [F.when(known, F.get(parts, i)).otherwise(F.lit("")) for i in range(4)]
     length = F.when(part[0] == "", chord_duration).otherwise(part[0])
     digits = F.replace(length, F.lit("."), F.lit("")).try_cast("int").cast("string")
     rest = part[1] == "r"
@@ -119,6 +126,12 @@ def note_token(cell: Column, chord_duration: Column) -> Column:
 # ---- documents, spines, staffs -------------------------------------------------------------------------------------
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many parts as the session shuffles into. Texts grow many times over when they become tokens, so parts
+    that adaptive execution joins by their compressed size would be too large to sort in memory."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def split_documents(texts: DataFrame, key: str = "score") -> DataFrame:
     """(key, doc, line_no, line): a text may hold several documents, each closed by a line of `*-` cells only."""
     lines = texts.select(key, F.posexplode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("line_no", "line"))
@@ -201,11 +214,9 @@ def kern_tokens(texts: DataFrame, key: str = "score", merged: bool = False) -> D
     """
     ensure_checkpoint_dir(texts.sparkSession)
     decoded = _decode(texts, key, merged).checkpoint()  # read four times below; parsed once
-    good = decoded.join(_faults(decoded, key).select(key), key, "left_anti")
+    rows = decoded.join(_faults(decoded, key).select(key), key, "left_anti")
     part_keys = [key, "part"]
     fields = V.TOKEN_FIELDS
-    first_data = F.min(F.when(F.col("kind") == "data", F.col("line"))).over(W.partitionBy(key, "part", "doc"))
-    rows = good.withColumn("_first", first_data)
     # signatures: what the carry keeps; the opening ones sit before everything else of their document
     signs = rows.where("kind in ('clef', 'key', 'time')").withColumn("_open", F.coalesce(F.col("line") < F.col("_first"), F.lit(True)))
     parts = rows.groupBy(*part_keys).agg(F.min("doc").alias("doc"))
@@ -217,7 +228,7 @@ def kern_tokens(texts: DataFrame, key: str = "score", merged: bool = False) -> D
         F.struct(F.lit("time").alias("kind"), F.lit("timeSignature/4").alias("rhythm"), F.lit(".").alias("position")),
     ))
     defaults = parts.select(*part_keys, "doc", default.alias("_d")).select(*part_keys, "doc", F.lit(-1).alias("line"), F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(-1).cast("bigint").alias("nth")).alias("slot"), "_d.*", F.lit(True).alias("_open"))
-    signs = signs.select(*part_keys, "doc", "line", "slot", "kind", F.col("token.rhythm").alias("rhythm"), F.lit(".").alias("position"), "_open").unionByName(defaults)
+    signs = signs.select(*part_keys, "doc", "line", "slot", "kind", F.col("token.rhythm").alias("rhythm"), F.lit(".").alias("position"), "_open").unionByName(defaults).repartition(*part_keys)
     order = F.struct("line", "slot")
     latest = F.max(F.when(F.col("_open"), order)).over(W.partitionBy(*part_keys, "doc", "kind"))
     counted = signs.withColumn("_latest", latest).where(~F.col("_open") | (order == F.col("_latest")))
@@ -236,8 +247,9 @@ def kern_tokens(texts: DataFrame, key: str = "score", merged: bool = False) -> D
     else:
         staff, group = F.lit("upper"), [key, "part", "doc"]
     placed = every.withColumn("position", F.when(T.has_position(F.col("rhythm")) & (F.col("position") == "."), staff).otherwise(F.col("position")))
+    # one exchange for all windows of the merge: each of their keys holds the group
     flat = placed.withColumn("pos", F.struct("part", "line", "slot"))
-    one = N.merge_staves(flat, tuple(group), "onset")
+    one = N.merge_staves(dealt(flat, *group), tuple(group), "onset")
     one = one.withColumn("ord", F.struct("onset", "rank", "pos", "slot"))
     out_keys = [key] if merged else part_keys
     one = _collapse(one, group)
@@ -252,33 +264,36 @@ def _collapse(tokens: DataFrame, group) -> DataFrame:
 
 
 def _decode(texts: DataFrame, key: str, merged: bool = False) -> DataFrame:
-    """One row per decoded cell entry: kind, line (shared by neighbouring control lines), slot, token, error."""
-    cells = staff_cells(split_documents(texts, key), key, merged)
+    """One row per decoded cell entry: kind, line (shared by neighbouring control lines), slot, token; with the first data
+    line of its staff and document."""
+    cells = staff_cells(split_documents(dealt(texts, key), key), key, merged)
     numbered = N.control_line_numbers(cells, F.col("cell").startswith("*"), (key, "part", "doc"))
     c = F.col("cell")
     kind = (
         F.when(c.startswith("="), F.lit("bar")).when(c.startswith("*k"), F.lit("key")).when(c.startswith("*M"), F.lit("time"))
         .when(c.startswith("*clef"), F.lit("clef")).when(c.startswith("*"), F.lit("other")).otherwise(F.lit("data"))
     )
-    rows = numbered.withColumn("kind", kind).where("kind <> 'other'")
+    first_data = F.min(F.when(F.col("kind") == "data", F.col("line_no").cast("int"))).over(W.partitionBy(key, "part", "doc"))
+    rows = numbered.withColumn("kind", kind).withColumn("_first", first_data).where("kind <> 'other'")
     names = F.filter(F.split(c, r"\s+"), lambda x: (x != "") & (x != "."))
     chord = F.regexp_extract(F.coalesce(F.try_element_at(names, F.lit(1)), F.lit("")), DURATION, 1)
     rows = rows.withColumn("_names", names).withColumn("_chord", F.when(chord == "", F.lit("4")).otherwise(chord))
     entries = F.when(F.col("kind") == "data", F.when(F.size("_names") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.col("_names"))).otherwise(F.array(c))
-    rows = rows.select(key, "doc", "part", F.col("line_no").cast("int").alias("line"), F.col("pos"), "kind", "_chord", F.posexplode(entries).alias("_i", "entry"))
+    rows = rows.select(key, "doc", "part", F.col("line_no").cast("int").alias("line"), F.col("pos"), "kind", "_first", "_chord", F.posexplode(entries).alias("_i", "entry"))
     e = F.col("entry")
+    rows = rows.withColumn("_parts", F.when(F.col("kind") == "data", note_parts(e)))
 
     def plain(rhythm: Column) -> Column:
         return F.struct(rhythm.alias("rhythm"), *[F.lit(V.NOT_APPLICABLE).alias(f) for f in V.TOKEN_FIELDS[1:5]])
 
     token = (
-        F.when((F.col("kind") == "data") & e.isNotNull(), note_token(e, F.col("_chord")))
+        F.when((F.col("kind") == "data") & e.isNotNull(), note_token(e, F.col("_chord"), F.col("_parts")))
         .when(F.col("kind") == "bar", plain(bar_token(e))).when(F.col("kind") == "key", plain(key_token(e)))
         .when(F.col("kind") == "time", plain(time_token(e))).when(F.col("kind") == "clef", plain(clef_token(e)))
     )
     # slot keeps the order of lines that share a number, and of the notes on a line
     slot = F.struct(F.col("pos").cast("bigint").alias("at"), F.col("_i").cast("bigint").alias("nth"))
-    return rows.select(key, "doc", "part", "line", slot.alias("slot"), "kind", "entry", token.alias("token"))
+    return rows.select(key, "doc", "part", "line", slot.alias("slot"), "kind", "_first", "entry", token.alias("token"))
 
 
 def _faults(decoded: DataFrame, key: str) -> DataFrame:

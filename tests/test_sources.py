@@ -46,6 +46,16 @@ def test_kern_documents_carry_signatures(spark):
     assert rhythms == ["clef_G2", "keySignature_0", "timeSignature/4", "note_4", "barline", "note_4", "barline", "keySignature_-1", "note_4", "barline"]
 
 
+def test_kern_parts_keep_the_width_of_the_session(spark):
+    """Small texts become many tokens: parts are not joined by the size of the texts, and one exchange serves the merge."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert kern._decode(frame(spark, a=KERN, b=KERN), "score").rdd.getNumPartitions() == width > 1
+    for merged in (False, True):
+        plan = kern.kern_tokens(frame(spark, a=KERN), merged=merged)._jdf.queryExecution().executedPlan().toString()
+        main = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ":" not in line.split("Exchange")[0]]
+        assert sum("onset" in line for line in main) == 0 and sum("REPARTITION_BY_NUM" in line for line in main) == 1
+
+
 def test_kern_errors(spark):
     texts = frame(spark, good="**kern\n4c\n*-\n", bad="**kern\n*k[q]\n4c\n*-\n")
     assert [r.score for r in kern.kern_errors(texts).collect()] == ["bad"]
