@@ -21,7 +21,8 @@ from .common import free_name
 class Rule:
     """``words``: literals, one of which every match contains (lower case if ``any_case``); none: scan fully.
 
-    ``least`` characters are needed in the match, or in what ``pattern`` group ``group`` takes.
+    ``least`` characters are needed in the match, or in what ``pattern`` group ``group`` takes. ``enough``: an expression that
+    finds just those matches of ``pattern`` (never others, nor parts of the short ones); none: all are found and measured.
     """
 
     kind: str
@@ -30,10 +31,11 @@ class Rule:
     group: int
     least: int
     any_case: bool = False
+    enough: str = ""
 
     def trigrams(self) -> list[list[str]]:
-        """One list of mandatory trigrams per alternative."""
-        return [[w[i : i + 3] for i in range(len(w) - 2)] for w in self.words]
+        """One list of mandatory trigrams per alternative, each of them once."""
+        return [list(dict.fromkeys(w[i : i + 3] for i in range(len(w) - 2))) for w in self.words]
 
 
 # A private key from its BEGIN line to its END line. Where the END line is missing: the header lines of an encrypted key and
@@ -56,7 +58,8 @@ RULES = (
         ("password", "passwd", "secret", "token", "apikey", "api_key"), 2, 12, True,
     ),
     Rule("access", r"AKIA[A-Z0-9]+", ("AKIA",), 0, 18),
-    Rule("hex", r"[0-9a-f]+", (), 0, 16),
+    # Single letters of prose match here, so the least length is part of the scan; a listed class is tested faster than ranges.
+    Rule("hex", r"[0-9a-f]+", (), 0, 16, enough=r"[0123456789abcdef]{16,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), 0, 24),
     Rule("pem", PRIVATE_KEY, ("-----BEGIN ", "PRIVATE KEY-----"), 0, 27),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), 0, 16),
@@ -70,15 +73,28 @@ def text_key(id_col: str, text_col: str) -> Column:
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index (folded boolean, trigram string, key long) for the trigrams that the rules need."""
-    wanted = sorted({(r.any_case, t) for r in rules for alternative in r.trigrams() for t in alternative})
-    text, lower = F.col(text_col), F.lower(text_col)
-    present = [
-        F.when(F.contains(lower if folded else text, F.lit(t)), F.struct(F.lit(folded).alias("folded"), F.lit(t).alias("trigram")))
-        for folded, t in wanted
-    ]
-    found = docs.select(text_key(id_col, text_col).alias("key"), F.array_compact(F.array(*present)).alias("found"))
-    return found.select("key", F.explode("found").alias("t")).select("t.folded", "t.trigram", "key")
+    """The inverted index (folded boolean, trigram string, key long) for the trigrams that the rules need.
+
+    The postings of a text for an alternative end before the first trigram that it lacks: it cannot fulfil the rest.
+    """
+    # Folded once here: inside the conditions below, it would be folded again for each of them.
+    texts = docs.select(text_key(id_col, text_col).alias("key"), F.col(text_col).alias("plain"), F.lower(text_col).alias("lower"))
+    none = F.array().cast("array<struct<folded:boolean,trigram:string>>")
+
+    def held(folded: bool, alternatives: list[list[str]]) -> Column:
+        """Postings of the first trigrams that the text has, each with those of what follows it; equal beginnings are tested once."""
+        behind: dict[str, list[list[str]]] = {}
+        for first, *rest in filter(None, alternatives):
+            behind.setdefault(first, []).append(rest)
+        own = {t: F.array(F.struct(F.lit(folded).alias("folded"), F.lit(t).alias("trigram"))) for t in behind}
+        text = F.col("lower" if folded else "plain")
+        return F.concat(none, *[
+            F.when(F.contains(text, F.lit(t)), F.concat(own[t], held(folded, rest))).otherwise(none) for t, rest in behind.items()
+        ])
+
+    # Not as a column first: Spark would derive a filter from it that does all tests twice.
+    found = F.array_distinct(F.concat(none, *[held(r.any_case, r.trigrams()) for r in rules]))
+    return texts.select("key", F.explode(found).alias("t")).select("t.folded", "t.trigram", "key")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -114,8 +130,9 @@ def _spans_of(rule: Rule, order: int, text: Column) -> Column:
 
     The text between matches, from a split by the same expression, gives the offsets.
     """
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
+    searched = rule.enough or rule.pattern
+    matches = F.regexp_extract_all(text, F.lit(searched), F.lit(0))
+    between = F.transform(F.split(text, searched, -1), F.length)
     sized = F.transform(matches, lambda m: F.struct(
         F.length(m).alias("size"),
         (F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)).alias("body"),
@@ -143,7 +160,7 @@ def _spans_of(rule: Rule, order: int, text: Column) -> Column:
     spans = let(paired, lambda steps: F.aggregate(
         F.transform(chunks_of(steps), lambda c: F.aggregate(c, start, step)), all_chunks, over, lambda acc: F.flatten(acc["out"])
     ))
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(searched)), spans).otherwise(none)
 
 
 #: Elements that are worked on together where each step copies what the steps before it made.

@@ -301,6 +301,50 @@ def test_many_spans_in_one_text(spark):
     assert clean[1] == out + text[at:]
 
 
+def test_secret_postings_end_where_an_alternative_fails(spark):
+    docs = [(1, "PASS words"), (2, "a key"), (3, "my apikey, api_key"), (4, "xoxb-"), (5, None), (6, ""), (None, "AKIA")]
+    index = secrets.postings(helpers.corpus(spark, docs))
+    keys = {r["k"]: r["doc_id"] for r in helpers.corpus(spark, docs).select("doc_id", secrets.text_key("doc_id", "text").alias("k")).collect()}
+    found = {}
+    for r in index.collect():
+        found.setdefault(keys[r["key"]], []).append((r["folded"], r["trigram"]))
+    folded = lambda *trigrams: sorted((True, t) for t in trigrams)
+    plain = lambda *trigrams: sorted((False, t) for t in trigrams)
+    assert {i: sorted(found[i]) for i in found} == {
+        1: folded("pas", "ass"), 3: folded("api", "pik", "ike", "key", "pi_", "i_k", "_ke"), 4: plain("xox", "oxb", "xb-"), None: plain("AKI", "KIA"),
+    }
+    rules = {keys[r["key"]]: r["rules"] for r in secrets.candidates(index).collect()}
+    assert rules == {3: ["assign"], 4: ["slack"], None: ["access"]}
+
+
+def test_secret_postings_test_each_trigram_once(spark):
+    docs = helpers.corpus(spark, [(1, "password")])
+    plan = secrets.postings(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1
+    assert all(plan.count(f", {t})") == 1 for t in ("pas", "api", "sec", "xox", "AKI", "--B"))
+
+
+def test_secret_rule_with_a_repeated_trigram(spark):
+    rule = secrets.Rule("zeros", r"00000+", ("00000",), 0, 5)
+    docs = helpers.corpus(spark, [(1, "a 000000 b"), (2, "a 0000 b"), (3, "none")])
+    rows = {r["doc_id"]: [(s["start"], s["end"]) for s in r["_spans"]] for r in secrets.find_secrets(docs, (rule,)).collect()}
+    assert rows == {1: [(2, 8)], 2: [], 3: []}
+
+
+def test_rules_that_find_only_long_enough_matches(spark):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(["0", "7", "9", "a", "f", "cafe", "0123456789abcde", "A", "g", " ", "é"]) for _ in range(200)) for _ in range(50)]
+    texts += ["0123456789abcde", "0123456789abcdef", "f" * 17, "x" + "a" * 15 + "x" + "a" * 16, "ab" * 500_000]
+    rules = [r for r in secrets.RULES if r.enough]
+    assert [r.kind for r in rules] == ["hex"]
+    for rule in rules:
+        wanted = [[m.span() for m in re.finditer(rule.pattern, t) if len(m[rule.group]) >= rule.least] for t in texts]
+        assert wanted == [[m.span() for m in re.finditer(rule.enough, t)] for t in texts]
+        rows = secrets.find_secrets(helpers.corpus(spark, list(enumerate(texts))), (rule, secrets.RULES[0])).collect()
+        spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["_spans"] if s["kind"] == rule.kind] for r in rows}
+        assert spans == dict(enumerate(wanted))
+
+
 def test_secrets_awkward(spark):
     assert secrets.find_secrets(helpers.awkward(spark)).count() == 10
     assert secrets.find_secrets(helpers.empty(spark)).collect() == []
